@@ -28,7 +28,7 @@ from .common import table, written
 ORDER, QUANTILE, MIN_HELD = 5, 0.98, 30
 SENT_ROWS = 3_000_000
 _PAD = "\x02"
-_CHUNK = 1 << 20
+_CHUNK = 1 << 22
 _P = np.uint64(0x100000001B3)
 
 
