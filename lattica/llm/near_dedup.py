@@ -6,11 +6,12 @@ in text order; equal picks make a bucket. Unlike plain MinHash this is sensitive
 the text, so to edit similarity. Candidates are verified by a banded alignment of words: linked if
 ``1 - distance / longer length`` is ``similarity`` or more.
 
-A bucket never emits all its pairs. Each round compares its members with one leader; members that
-are linked to it leave. As edit distance is a metric, an unlinked member b can only be linked to a
-member a of the leader's if d(a, leader) >= d(b, leader) - limit; just those pairs are compared
-beside the leader's. What the rounds leave, texts that are unlike two leaders, is compared in pairs
-of like length. Classes are the connected components of links.
+A bucket never emits all its pairs. First its members are compared with one leader, and components
+of those links are formed. A later comparison is only of use between components, so in buckets that
+hold several, the leader's component meets the other members, and those meet each other; pairs of
+one component never do. Two exact filters stand before every alignment: the ratio of lengths, and
+the parities of hashed word counts, of which one edit changes two at most. No pair of a bucket that
+could link two components is left out.
 
 Null and empty texts are equal texts. Texts of fewer than k words have one shingle of all their
 words. A class is named by its smallest id; null ids only name a class without others. Of rows that
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import SPLIT, table, written
 
-K, SKETCHES, PICKS, SIMILARITY, ROUNDS = 5, 32, 3, 0.8, 2
+K, SKETCHES, PICKS, SIMILARITY = 5, 32, 3, 0.8
+#: 64-bit words of the parity map.
+PARITY = 8
 #: Texts of up to SHORT words have few shingles to pick from, so they get further sketches of shorter ones.
 SHORT, SHORT_K, SHORT_SKETCHES = 64, 2, 16
 _WORDS = re.compile(SPLIT.replace("[", "[^", 1))
@@ -79,62 +82,92 @@ def order_minhash(words: np.ndarray, k: int = K, sketches: int = SKETCHES, picks
     return out
 
 
+def distances(pairs: list[tuple[np.ndarray, np.ndarray]], most: list[int]) -> list[int]:
+    """Edit distance of each pair of sequences if it is at most its most, else that and one. Pairs are aligned many at once; bands widen only for those that need it."""
+    out = [0] * len(pairs)
+    todo = []
+    for p, ((a, b), limit_) in enumerate(zip(pairs, most, strict=True)):
+        n = min(len(a), len(b))
+        ne = np.flatnonzero(a[:n] != b[:n])
+        head = int(ne[0]) if len(ne) else n
+        a, b = a[head:], b[head:]
+        n -= head
+        if n:
+            ne = np.flatnonzero(a[::-1][:n] != b[::-1][:n])
+            tail = int(ne[0]) if len(ne) else n
+            a, b = a[: len(a) - tail], b[: len(b) - tail]
+        if len(a) > len(b):
+            a, b = b, a
+        if not len(a) or len(b) - len(a) > limit_:
+            out[p] = min(len(b), limit_ + 1)
+        else:
+            todo.append((p, a, b, limit_))
+    band = 16
+    while todo:
+        todo.sort(key=lambda x: -len(x[1]))
+        left, lo = [], 0
+        while lo < len(todo):
+            # so many pairs at once that the texts and the cells of a row stay small
+            hi = lo + max(1, min(256, 4_000_000 // (len(todo[lo][1]) + 2 * band + 2), 400_000 // (2 * band + 1)))
+            part = todo[lo:hi]
+            for x, d in zip(part, _banded([x[1] for x in part], [x[2] for x in part], band), strict=True):
+                if d <= band:
+                    out[x[0]] = min(d, x[3] + 1)
+                elif band >= x[3]:
+                    out[x[0]] = x[3] + 1
+                else:
+                    left.append(x)
+            lo = hi
+        todo, band = left, band * 4
+    return out
+
+
 def distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Edit distance of two sequences if it is at most ``most``, else most + 1. The band widens only as far as needed."""
-    n = min(len(a), len(b))
-    ne = np.flatnonzero(a[:n] != b[:n])
-    head = int(ne[0]) if len(ne) else n
-    a, b = a[head:], b[head:]
-    n = min(len(a), len(b))
-    if n:
-        ne = np.flatnonzero(a[::-1][:n] != b[::-1][:n])
-        tail = int(ne[0]) if len(ne) else n
-        a, b = a[: len(a) - tail], b[: len(b) - tail]
-    if len(a) > len(b):
-        a, b = b, a
-    if not len(a) or len(b) - len(a) > most:
-        return min(len(b), most + 1)
-    # words that the longer one has and the other lacks must each be edited
-    va, ca = np.unique(a, return_counts=True)
-    vb, cb = np.unique(b, return_counts=True)
-    at = np.minimum(np.searchsorted(va, vb), len(va) - 1)
-    if len(b) - int(np.minimum(cb, np.where(va[at] == vb, ca[at], 0)).sum()) > most:
-        return most + 1
-    band = max(8, len(b) - len(a))
-    while True:
-        band = min(band, most)
-        d = _banded(a, b, band)
-        if d <= band or band == most:
-            return min(d, most + 1)
-        band *= 4
-
-
-def _banded(a: np.ndarray, b: np.ndarray, k: int) -> int:
-    """Edit distance within diagonals -k..k of the alignment of a and the not shorter b; over k: k + 1."""
-    n, m, w = len(a), len(b), 2 * k + 1
-    j = np.arange(-k, k + 1)
-    far = np.int32(1 << 28)
-    cells = np.where(j >= 0, j, far).astype("i4")
-    pad = np.concatenate((np.zeros(k + 1, b.dtype), b, np.zeros(k + 1, b.dtype)))
-    ramp = np.arange(w, dtype="i4")
-    for i in range(1, n + 1):
-        seg = pad[i : i + w]  # b[j - 1] for j = i - k .. i + k
-        new = cells + (seg != a[i - 1])
-        new[:-1] = np.minimum(new[:-1], cells[1:] + 1)
-        lo, hi = k - i, k + m - i  # diagonals of j = 0 and j = m
-        if lo >= 0:
-            new[:lo] = far
-            new[lo] = i
-        if hi < w - 1:
-            new[hi + 1 :] = far
-        cells = np.minimum.accumulate(new - ramp) + ramp
-        if lo > 0:
-            cells[:lo] = far
-        if hi < w - 1:
-            cells[hi + 1 :] = far
-        if cells.min() > k:
-            return k + 1
-    return int(min(cells[m - n + k], k + 1))
+    """Edit distance of two sequences if it is at most ``most``, else most + 1."""
+    return distances([(a, b)], [most])[0]
+
+
+def _banded(left: list[np.ndarray], right: list[np.ndarray], k: int) -> list[int]:
+    """Edit distances within diagonals -k..k, for pairs in falling order of the left length, which is the shorter; over k: k + 1."""
+    size, w = len(left), 2 * k + 1
+    n, m = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+    out = np.full(size, k + 1)
+    a = np.zeros((size, n[0]), "u8")
+    pad = np.zeros((size, n[0] + w + 1), "u8")
+    for p in range(size):
+        a[p, : n[p]] = left[p]
+        b = right[p][: n[0] + k]
+        pad[p, k + 1 : k + 1 + len(b)] = b
+    far, ramp = np.int32(1 << 28), np.arange(w, dtype="i4")
+    cells = np.tile(np.where(ramp >= k, ramp - k, far).astype("i4"), (size, 1))
+    rows = np.arange(size)
+    fits = m - n <= k
+    for i in range(1, n[0] + 1):
+        # cells beyond the end of the right text stay: nothing before it comes from them
+        new = cells + (pad[:, i : i + w] != a[:, i - 1 : i])
+        np.minimum(new[:, :-1], cells[:, 1:] + 1, out=new[:, :-1])
+        low = k - i
+        if low >= 0:
+            new[:, :low] = far
+            new[:, low] = i
+        new -= ramp
+        np.minimum.accumulate(new, axis=1, out=new)
+        new += ramp
+        if low > 0:
+            new[:, :low] = far
+        cells = new
+        done = n[rows] == i
+        stop = done.any()
+        if stop:
+            at = np.flatnonzero(done & fits[rows])
+            out[rows[at]] = cells[at, (m - n)[rows[at]] + k]
+        if stop or not i % 64:
+            alive = ~done & (cells.min(axis=1) <= k)
+            if not alive.all():
+                rows, cells, a, pad = rows[alive], cells[alive], a[alive], pad[alive]
+                if not len(rows):
+                    break
+    return np.minimum(out, k + 1).tolist()
 
 
 def limit(longer: int, similarity: float) -> int:
@@ -142,51 +175,55 @@ def limit(longer: int, similarity: float) -> int:
     return int((1 - similarity) * longer + 1e-9)
 
 
+def parities(words: np.ndarray) -> np.ndarray:
+    """A map of 64 * PARITY bits, each the parity of how many words hash to it."""
+    odd = np.bincount((words % np.uint64(64 * PARITY)).astype("i8"), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype("u1"), bitorder="little").view("i8")
+
+
 def sketched(nodes: DataFrame, k: int = K, sketches: int = SKETCHES, picks: int = PICKS) -> DataFrame:
-    """(h, n, sketch) of (h, text); n: words."""
+    """(h, n, sketch, p0 ...) of (h, text); n: words."""
 
     def run(batches):
         memo = _Hashes()
         for pdf in batches:
-            n, sk = [], []
+            n, sk, odd = [], [], []
             for text in pdf["text"]:
                 w = _WORDS.findall(text)
                 n.append(len(w))
-                if not w:
-                    sk.append(np.zeros(0, "i8"))
-                    continue
                 codes = np.fromiter(map(memo.__getitem__, w), "u8", len(w))
-                own = order_minhash(codes, k, sketches, picks)
-                if len(w) <= SHORT:
+                odd.append(parities(codes))
+                own = order_minhash(codes, k, sketches, picks) if w else np.zeros(0, "u8")
+                if 0 < len(w) <= SHORT:
                     own = np.concatenate((own, order_minhash(codes, SHORT_K, SHORT_SKETCHES, picks)))
                 sk.append(own.view("i8"))
-            yield pd.DataFrame({"h": pdf["h"], "n": n, "sketch": sk})
+            bits = np.array(odd, "i8").reshape(len(pdf), PARITY)
+            yield pd.DataFrame({"h": pdf["h"], "n": n, "sketch": sk} | {f"p{i}": bits[:, i] for i in range(PARITY)})
 
-    return nodes.mapInPandas(run, "h binary, n long, sketch array<long>")
+    return nodes.mapInPandas(run, "h binary, n long, sketch array<long>, " + ", ".join(f"p{i} long" for i in range(PARITY)))
 
 
 def aligned(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, d, most) of (a, b): the distance, up to twice the largest one that is similar enough, which is most."""
+    """(a, b) of the pairs that are similar enough."""
     left = texts.select(F.col("h").alias("a"), F.col("text").alias("x"))
     right = texts.select(F.col("h").alias("b"), F.col("text").alias("y"))
 
     def run(batches):
         memo = _Hashes()
         for pdf in batches:
-            d, most = [], []
-            last, arr = None, None
-            for x, y in zip(pdf["x"], pdf["y"], strict=True):
-                if x is not last and x != last:
-                    w = _WORDS.findall(x)
-                    last, arr = x, np.fromiter(map(memo.__getitem__, w), "u8", len(w))
-                w = _WORDS.findall(y)
-                other = np.fromiter(map(memo.__getitem__, w), "u8", len(w))
-                t = limit(max(len(arr), len(other)), similarity)
-                most.append(t)
-                d.append(distance(arr, other, 2 * t))
-            yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "d": d, "most": most})
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(run, "a binary, b binary, d long, most long")
+            for lo in range(0, len(pdf), 1000):
+                part = pdf.iloc[lo : lo + 1000]
+                known: dict[str, np.ndarray] = {}
+                for t in [*part["x"], *part["y"]]:
+                    if t not in known:
+                        w = _WORDS.findall(t)
+                        known[t] = np.fromiter(map(memo.__getitem__, w), "u8", len(w))
+                both = [(known[x], known[y]) for x, y in zip(part["x"], part["y"], strict=True)]
+                most = [limit(max(len(x), len(y)), similarity) for x, y in both]
+                ok = np.array(distances(both, most)) <= np.array(most)
+                yield pd.DataFrame({"a": part["a"][ok], "b": part["b"][ok]})
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(run, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -205,40 +242,44 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def links(nodes: DataFrame, *, k: int = K, sketches: int = SKETCHES, picks: int = PICKS, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): verified links between different texts; nodes: (h, text), each text once."""
+def _named(df: DataFrame, to: str, **more: str) -> DataFrame:
+    """h, n and the parities of bucket members under names of their own."""
+    return df.select("i", "v", F.col("h").alias(to), F.col("n").alias(f"n{to}"), *[F.col(f"p{i}").alias(f"p{i}{to}") for i in range(PARITY)], *[F.col(v).alias(k) for k, v in more.items()])
+
+
+def _possible(similarity: float):
+    """What every pair (a, b) that is similar enough fulfils: like lengths, and few odd differences."""
+    longer = F.greatest("na", "nb")
+    odd = sum((F.bit_count(F.col(f"p{i}a").bitwiseXOR(F.col(f"p{i}b"))) for i in range(PARITY)), F.lit(0))
+    return (F.least("na", "nb") >= F.lit(similarity - 1e-9) * longer) & (odd <= 2 * F.floor(F.lit(1 - similarity) * longer + 1e-6))
+
+
+def components_of(nodes: DataFrame, *, k: int = K, sketches: int = SKETCHES, picks: int = PICKS, similarity: float = SIMILARITY) -> DataFrame:
+    """(h, root) of the nodes that have links; nodes: (h, text), each text once."""
     sketch = written(sketched(nodes, k, sketches, picks).where(F.size("sketch") > 0), "sketches")
-    dealt = sketch.select("h", "n", F.posexplode("sketch").alias("i", "v"))
+    dealt = sketch.select("h", F.posexplode("sketch").alias("i", "v"))
     shared = dealt.groupBy("i", "v").agg(F.count("*").alias("c")).where(F.col("c") > 1).select("i", "v")
-    left = written(dealt.join(shared, ["i", "v"], "left_semi"), "buckets")
-    texts = written(nodes.join(left.select("h").distinct(), "h", "left_semi"), "bucket-texts")
-    ratio = F.lit(similarity - 1e-9)
-    like = lambda x, y: F.least(x, y) >= ratio * F.greatest(x, y)  # noqa: E731  no other pair can be similar enough
-    found = []
-    for _ in range(ROUNDS):
-        lead = left.groupBy("i", "v").agg(F.min(F.struct("h", "n")).alias("l")).select("i", "v", F.col("l.h").alias("leader"), F.col("l.n").alias("ln"))
-        member = left.join(lead, ["i", "v"]).where(F.col("h") != F.col("leader"))
-        pairs = member.where(like(F.col("n"), F.col("ln"))).select(F.col("leader").alias("a"), F.col("h").alias("b")).distinct()
-        known = written(aligned(pairs, texts, similarity), "aligned")
-        found.append(known.where(F.col("d") <= F.col("most")).select("a", "b"))
-        seen = member.join(known.select(F.col("a").alias("leader"), F.col("b").alias("h"), "d", "most"), ["leader", "h"], "left")
-        seen = written(seen, "seen")
-        linked = F.coalesce(F.col("d") <= F.col("most"), F.lit(False))
-        left = seen.where(~linked).select("h", "n", "i", "v")
-        # unlinked members close enough to the leader to be linked to one of its own
-        inner = seen.where(linked & (F.col("d") > 0)).select("i", "v", F.col("h").alias("a"), F.col("n").alias("an"), F.col("d").alias("ad"))
-        outer = seen.where(~linked & (F.col("d") <= 2 * F.col("most"))).select("i", "v", F.col("h").alias("b"), F.col("n").alias("bn"), F.col("d").alias("bd"))
-        allowed = F.floor((1 - similarity) * F.greatest("an", "bn") + 1e-9)
-        across = inner.join(outer, ["i", "v"]).where(like(F.col("an"), F.col("bn")) & (F.col("ad") >= F.col("bd") - allowed)).select("a", "b").distinct()
-        found.append(aligned(across, texts, similarity).where(F.col("d") <= F.col("most")).select("a", "b"))
-    one = left.select("i", "v", F.col("h").alias("a"), F.col("n").alias("an"))
-    two = left.select("i", "v", F.col("h").alias("b"), F.col("n").alias("bn"))
-    rest = one.join(two, ["i", "v"]).where((F.col("a") < F.col("b")) & like(F.col("an"), F.col("bn"))).select("a", "b").distinct()
-    found.append(aligned(rest, texts, similarity).where(F.col("d") <= F.col("most")).select("a", "b"))
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out
+    met = dealt.join(shared, ["i", "v"], "left_semi")
+    bucket = written(met.join(sketch.drop("sketch"), "h"), "buckets")
+    texts = written(nodes.join(bucket.select("h").distinct(), "h", "left_semi"), "bucket-texts")
+    possible = _possible(similarity)
+
+    row = F.struct("h", "n", *[f"p{i}" for i in range(PARITY)])
+    lead = bucket.groupBy("i", "v").agg(F.min(row).alias("l"))
+    first = _named(lead.select("i", "v", "l.*"), "a").join(_named(bucket, "b"), ["i", "v"]).where((F.col("a") != F.col("b")) & possible)
+    star = written(aligned(first.select("a", "b").distinct(), texts, similarity), "star-links")
+    roots = components(star)
+
+    member = bucket.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
+    leader = lead.select("i", "v", F.col("l.h").alias("h")).join(roots, "h", "left").select("i", "v", F.coalesce("root", "h").alias("main"))
+    other = written(member.join(leader, ["i", "v"]).where(F.col("root") != F.col("main")), "other-members")
+    mixed = other.select("i", "v", "main").distinct()
+    main = member.join(mixed, ["i", "v"]).where(F.col("root") == F.col("main"))
+    across = _named(main, "a").join(_named(other, "b"), ["i", "v"]).where(possible).select("a", "b")
+    one, two = _named(other, "a", ra="root"), _named(other, "b", rb="root")
+    among = one.join(two, ["i", "v"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & possible).select("a", "b")
+    late = written(aligned(across.union(among).distinct(), texts, similarity), "late-links")
+    return roots if late.isEmpty() else components(star.unionByName(late))
 
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -253,7 +294,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     once = keyed.join(hot.select("h"), "h", "left_anti").select("h", "text")
     # equal ids and texts may repeat, so one row of each is taken
     more = keyed.join(hot, "h").where(F.col("id").eqNullSafe(F.col("least"))).select("h", "text").dropDuplicates(["h"])
-    roots = components(links(once.unionByName(more), **how))
+    roots = components_of(once.unionByName(more), **how)
     of = copies.join(roots, "h", "left").select("h", "least", "n", F.coalesce("root", "h").alias("root"))
     total = of.groupBy("root").agg(F.min(F.struct("least", "h")).alias("m"), F.sum("n").alias("class_size"))
     of = of.join(total, "root").select("h", F.col("m.least.id").alias("class_id"), F.col("m.h").alias("kh"), "class_size")
