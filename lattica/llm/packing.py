@@ -62,28 +62,26 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int
         left, rank = counts[length], 0
         while left:
             room = tree.at_least(length)
-            if room is None:  # as many new sequences as these pieces fill, each with one piece of the run after the other
-                per = capacity // length
-                full = left // per
-                new = full or 1
-                each = per if full else left
-                for k in range(each):
-                    plan.append((length, rank, new, bins, k * length))
-                    rank += new
-                left -= new * each
-                open_[capacity - each * length].append((bins, new))
-                tree.add(capacity - each * length, new)
-                bins += new
-                continue
-            first, n = open_[room].pop()
-            take = min(n, left)
-            if take < n:
-                open_[room].append((first + take, n - take))
-            tree.add(room, -take)
-            plan.append((length, rank, take, first, capacity - room))
-            rank, left = rank + take, left - take
-            open_[room - length].append((first, take))
-            tree.add(room - length, take)
+            if room is None:
+                room, first, n = capacity, bins, None
+            else:
+                first, n = open_[room].pop()
+            # a sequence that takes a piece is then the tightest one, until no other fits in: pieces fill one after the other
+            per = room // length
+            full = left // per
+            take, each = (full if n is None else min(full, n), per) if full else (1, left)
+            if n is None:
+                bins += take
+            else:
+                tree.add(room, -take)
+                if take < n:
+                    open_[room].append((first + take, n - take))
+            for k in range(each):
+                plan.append((length, rank, take, first, capacity - room + k * length))
+                rank += take
+            left -= take * each
+            open_[room - each * length].append((first, take))
+            tree.add(room - each * length, take)
     return plan
 
 
