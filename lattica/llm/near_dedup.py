@@ -226,20 +226,26 @@ def aligned(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(run, "a binary, b binary")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(h, root) of links (a, b): root is the smallest node that links lead to. Each step takes the smallest label around and then that label's own."""
-    both = written(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "links")
-    labels = written(both.groupBy(F.col("a").alias("h")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
-    while True:
-        around = both.join(labels, both["b"] == labels["h"]).groupBy("a").agg(F.min("root").alias("near"))
-        nearer = labels.join(around, labels["h"] == around["a"]).select("h", F.col("root").alias("was"), F.least("root", "near").alias("root"))
-        nearer = written(nearer, "nearer")
-        jump = nearer.select(F.col("h").alias("via"), F.col("root").alias("far"))
-        new = nearer.join(jump, nearer["root"] == jump["via"], "left").select("h", "was", F.least("root", F.coalesce("far", "root")).alias("root"))
-        new = written(new, "labels")
-        labels = new.select("h", "root")
-        if new.where(F.col("was") != F.col("root")).isEmpty():
-            return labels
+def components(links: DataFrame, jumps: int = 2) -> DataFrame:
+    """(h, root) of links (a, b): one node of each component stands for all of its nodes.
+
+    Every step maps a node to the smallest one around it, follows the map a few times, and replaces
+    the links' ends by what they map to. Links inside a component so vanish, and what is left shrinks.
+    """
+    edges = written(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).where(F.col("a") != F.col("b")).distinct(), "links")
+    labels = edges.select(F.col("a").alias("h")).distinct().withColumn("root", F.col("h"))
+    while not edges.isEmpty():
+        to = edges.groupBy(F.col("a").alias("h")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        for _ in range(jumps):
+            to = written(to, "hooks")
+            to = to.join(to.select(F.col("h").alias("m"), F.col("m").alias("n")), "m").select("h", F.col("n").alias("m"))
+        to = written(to, "hooks")
+        moved = labels.join(to.select(F.col("h").alias("root"), "m"), "root", "left").select("h", F.coalesce("m", "root").alias("root"))
+        labels = written(moved, "labels")
+        one = edges.join(to.select(F.col("h").alias("a"), F.col("m").alias("x")), "a").select("b", "x")
+        two = one.join(to.select(F.col("h").alias("b"), F.col("m").alias("y")), "b")
+        edges = written(two.where(F.col("x") != F.col("y")).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "links")
+    return labels
 
 
 def _named(df: DataFrame, to: str, **more: str) -> DataFrame:
