@@ -130,8 +130,9 @@ def score_toxicity(docs: DataFrame, labelled: DataFrame, *, id_col: str = "doc_i
     for label in (0, 1):
         part = rows.where(F.col("label") == label).orderBy("o").limit(sample).select("text", "label")
         chosen = part if chosen is None else chosen.unionByName(part)
-    got = chosen.mapInPandas(read, "x array<int>, c array<int>, label int").toPandas()  # at most 2 * sample rows of features
-    weights, bias = fit(list(zip(got["x"], got["c"], got["label"], strict=True)), penalty)
+    got = chosen.mapInPandas(read, "x array<int>, c array<int>, label int").toArrow()  # at most 2 * sample rows of features
+    lists = [[x.values.to_numpy() for x in got[c]] for c in ("x", "c")]
+    weights, bias = fit(list(zip(*lists, got["label"].to_pylist(), strict=True)), penalty)
     sent = spark.sparkContext.broadcast((weights, bias))  # DIMS numbers
     kind = docs.schema[id_col].dataType.simpleString()
 
