@@ -7,7 +7,7 @@ come from the counts of counts of each order. Counting is pre-aggregated per tas
 All windows of the texts to score, each once, are resolved against the counts by joins, order by
 order, sharded by gram as Spark shuffles them; a window's log probability is then looked up for
 each document. While the resolved windows are few (checked), they are sent to every task; beyond
-that, documents' window counts meet them in a join. Both ways give the same sums.
+that, documents' window counts meet them in a join. Both ways give the same sums, up to rounding.
 
 The model learns from four fifths of the trusted rows; the others set the thresholds: a document is
 rejected if its perplexity is above the ``quantile`` of held-out trusted texts of its language
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 ORDER, QUANTILE, MIN_HELD = 5, 0.98, 30
-SENT_ROWS = 3_000_000
+SENT_ROWS, SENT_MARKS = 3_000_000, 1_000_000
 _PAD = "\x02"
 _CHUNK = 1 << 22
 _P = np.uint64(0x100000001B3)
@@ -74,30 +74,24 @@ def _rows(part) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return codes, h[starts], starts, rows
 
 
-def _gram(codes: np.ndarray, start: int) -> str:
-    return codes[start : start + ORDER].tobytes().decode("utf-32-le", "surrogatepass")
+def _grams(codes: np.ndarray, starts: np.ndarray) -> list[str]:
+    raw = codes[starts[:, None] + np.arange(ORDER)].tobytes().decode("utf-32-le", "surrogatepass")
+    return [raw[i : i + ORDER] for i in range(0, len(raw), ORDER)]
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
     """(g, c) of docs (text, train): every window once, with its count in the texts to learn from."""
 
     def run(batches):
-        held: dict[str, int] = {}
         for pdf in batches:
             train = pdf["train"].to_numpy(bool)
             for part in _chunks(pdf["text"]):
                 codes, h, starts, rows = _rows(part)
-                order = np.argsort(h, kind="stable")
-                first = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1])))
+                order = np.argsort(h)
+                h = h[order]
+                first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
                 c = np.add.reduceat(train[rows[order]].astype("i8"), first)
-                for s, n in zip(starts[order[first]].tolist(), c.tolist(), strict=True):
-                    g = _gram(codes, s)
-                    held[g] = held.get(g, 0) + n
-                if len(held) > 400_000:
-                    yield pd.DataFrame({"g": list(held), "c": list(held.values())})
-                    held = {}
-        if held:
-            yield pd.DataFrame({"g": list(held), "c": list(held.values())})
+                yield pd.DataFrame({"g": _grams(codes, starts[order[first]]), "c": c})
 
     return docs.select("text", "train").mapInPandas(run, "g string, c long").groupBy("g").agg(F.sum("c").alias("c"))
 
@@ -141,15 +135,17 @@ def perplexities(docs: DataFrame, resolved: DataFrame, *, sent_rows: int = SENT_
     spark = docs.sparkSession
     rest = [c for c in docs.columns if c != "text"]
     if resolved.count() <= sent_rows:
-        pdf = resolved.toPandas()
-        codes = np.frombuffer("".join(pdf["g"]).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, ORDER) if len(pdf) else np.zeros((0, ORDER), "u4")
-        h = np.zeros(len(codes), "u8")
-        for j in range(ORDER):
-            h = (h ^ codes[:, j].astype("u8")) * _P
-            h ^= h >> np.uint64(29)
+        def hashed(batches):
+            for pdf in batches:
+                codes = np.frombuffer("".join(pdf["g"]).encode("utf-32-le", "surrogatepass"), "<u4")
+                h = _hash(codes)[::ORDER] if len(pdf) else np.zeros(0, "u8")
+                yield pd.DataFrame({"h": h.view("i8"), "lp": pdf["lp"].astype("f4")})
+
+        got = resolved.mapInPandas(hashed, "h long, lp float").toArrow()  # 12 bytes a row
+        h = got["h"].to_numpy().view("u8")
         order = np.argsort(h)
-        sent = spark.sparkContext.broadcast((h[order], pdf["lp"].to_numpy("f8")[order]))
-        del pdf, codes
+        sent = spark.sparkContext.broadcast((h[order], got["lp"].to_numpy()[order]))
+        del got, h, order
 
         def run(batches):
             keys, lps = sent.value
@@ -179,7 +175,7 @@ def perplexities(docs: DataFrame, resolved: DataFrame, *, sent_rows: int = SENT_
                     first = np.flatnonzero(new)
                     n = np.diff(np.append(first, len(key)))
                     out = pdf[rest].iloc[rows[key[first]]].copy()
-                    out["g"] = [_gram(codes, s) for s in starts[key[first]].tolist()]
+                    out["g"] = _grams(codes, starts[key[first]])
                     out["n"] = n
                     yield out
 
@@ -194,10 +190,12 @@ def perplexities(docs: DataFrame, resolved: DataFrame, *, sent_rows: int = SENT_
 def judge(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, sent_rows: int = SENT_ROWS) -> DataFrame:
     """A row for each row of docs: id, t (hash of the text), lang, n_scored, perplexity, threshold, kept. trusted: the ids of texts to learn from."""
     mark = trusted.select(F.col(id_col).alias("__i")).where(F.col("__i").isNotNull()).distinct().withColumn("__on", F.lit(True))
-    # marks are joined to ids alone; texts stay where they are
+    # up to so many marks the texts stay where they are
     fold = F.crc32(F.col("id").cast("string")) % 5
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     marked = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("")).alias("lang"), F.xxhash64(f"`{text_col}`").alias("t"), text.alias("text"))
+    if mark.count() <= SENT_MARKS:
+        mark = F.broadcast(mark)
     marked = marked.join(mark, F.col("id") == F.col("__i"), "left").withColumn("role", F.when(F.col("__on").isNull(), 0).when(fold != 0, 1).otherwise(2)).drop("__i", "__on")
     grams = written(count_grams(marked.select("text", (F.col("role") == 1).alias("train"))), "grams")
     scored = written(perplexities(marked, written(resolve(grams), "resolved"), sent_rows=sent_rows), "perplexities")
