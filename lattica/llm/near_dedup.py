@@ -6,8 +6,9 @@ in text order; equal picks make a bucket. Unlike plain MinHash this is sensitive
 the text, so to edit similarity. Candidates are verified by a banded alignment of words: linked if
 ``1 - distance / longer length`` is ``similarity`` or more.
 
-A bucket never emits all its pairs. First its members are compared with one leader, and components
-of those links are formed. A later comparison is only of use between components, so in buckets that
+A bucket never emits all its pairs. Every bucket has a leader, and every text is first compared with
+the leader that it shares most buckets with. A later comparison is only of use between components
+of the links so far, so leaders next meet members of other components. In buckets that then still
 hold several, the leader's component meets the other members, and those meet each other; pairs of
 one component never do. Two exact filters stand before every alignment: the ratio of lengths, and
 the parities of hashed word counts, of which one edit changes two at most. No pair of a bucket that
@@ -272,12 +273,26 @@ def components_of(nodes: DataFrame, *, k: int = K, sketches: int = SKETCHES, pic
 
     row = F.struct("h", "n", *[f"p{i}" for i in range(PARITY)])
     lead = bucket.groupBy("i", "v").agg(F.min(row).alias("l"))
-    first = _named(lead.select("i", "v", "l.*"), "a").join(_named(bucket, "b"), ["i", "v"]).where((F.col("a") != F.col("b")) & possible)
-    star = written(aligned(first.select("a", "b").distinct(), texts, similarity), "star-links")
-    roots = components(star)
-
-    member = bucket.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
-    leader = lead.select("i", "v", F.col("l.h").alias("h")).join(roots, "h", "left").select("i", "v", F.coalesce("root", "h").alias("main"))
+    led = _named(lead.select("i", "v", "l.*"), "a").join(_named(bucket, "b"), ["i", "v"]).where((F.col("a") != F.col("b")) & possible)
+    nearest = led.groupBy("a", "b").agg(F.count("*").alias("c")).groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
+    links = written(aligned(nearest.select("a", "b"), texts, similarity), "nearest-links")
+    roots = components(links)
+
+    def rooted(known):
+        member = bucket.join(known, "h", "left").withColumn("root", F.coalesce("root", "h"))
+        main = lead.select("i", "v", "l.*").join(known, "h", "left").withColumn("main", F.coalesce("root", "h"))
+        return member, main
+
+    member, leader = rooted(roots)
+    apart = _named(leader, "a", main="main").join(_named(member, "b", root="root"), ["i", "v"]).where((F.col("root") != F.col("main")) & possible)
+    untried = apart.select("a", "b").distinct().join(nearest.select("a", "b"), ["a", "b"], "left_anti")
+    star = written(aligned(untried, texts, similarity), "star-links")
+    if not star.isEmpty():
+        links = links.unionByName(star)
+        roots = components(links)
+
+    member, leader = rooted(roots)
+    leader = leader.select("i", "v", "main")
     other = written(member.join(leader, ["i", "v"]).where(F.col("root") != F.col("main")), "other-members")
     mixed = other.select("i", "v", "main").distinct()
     main = member.join(mixed, ["i", "v"]).where(F.col("root") == F.col("main"))
@@ -285,7 +300,7 @@ def components_of(nodes: DataFrame, *, k: int = K, sketches: int = SKETCHES, pic
     one, two = _named(other, "a", ra="root"), _named(other, "b", rb="root")
     among = one.join(two, ["i", "v"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & possible).select("a", "b")
     late = written(aligned(across.union(among).distinct(), texts, similarity), "late-links")
-    return roots if late.isEmpty() else components(star.unionByName(late))
+    return roots if late.isEmpty() else components(links.unionByName(late))
 
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
