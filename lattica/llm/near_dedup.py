@@ -6,12 +6,13 @@ in text order; equal picks make a bucket. Unlike plain MinHash this is sensitive
 the text, so to edit similarity. Candidates are verified by a banded alignment of words: linked if
 ``1 - distance / longer length`` is ``similarity`` or more.
 
-A bucket never emits all its pairs. First its members are compared with one leader, and components
+A bucket of near copies never emits all its pairs. First its members are compared with one leader, and components
 of those links are formed. A later comparison is only of use between components, so in buckets that
 hold several, the leader's component meets the other members, and those meet each other; pairs of
 one component never do. Two exact filters stand before every alignment: the ratio of lengths, and
 the parities of hashed word counts, of which one edit changes two at most. No pair of a bucket that
-could link two components is left out.
+could link two components is left out. A bucket of many texts that pass both filters and are yet not
+similar (a long shared passage) still emits about the square of its size; see the README.
 
 Null and empty texts are equal texts. Texts of fewer than k words have one shingle of all their
 words. A class is named by its smallest id; null ids only name a class without others. Of rows that
