@@ -9,10 +9,12 @@ the text, so to edit similarity. Candidates are verified by a banded alignment o
 A bucket of near copies never emits all its pairs. First its members are compared with one leader, and components
 of those links are formed. A later comparison is only of use between components, so in buckets that
 hold several, the leader's component meets the other members, and those meet each other; pairs of
-one component never do. Two exact filters stand before every alignment: the ratio of lengths, and
-the parities of hashed word counts, of which one edit changes two at most. No pair of a bucket that
-could link two components is left out. A bucket of many texts that pass both filters and are yet not
-similar (a long shared passage) still emits about the square of its size; see the README.
+one component never do. Exact filters stand before every alignment: the ratio of lengths, and
+the parities of hashed words, each labelled with how often
+it occurred before, of which one edit changes two at most; between components also those of a map
+that grows with the text. No pair of a bucket that could link two components is left out. In a
+bucket of many components every two members are still compared by these maps, though only what
+passes is emitted; see the README.
 
 Null and empty texts are equal texts. Texts of fewer than k words have one shingle of all their
 words. A class is named by its smallest id; null ids only name a class without others. Of rows that
@@ -62,13 +64,7 @@ def order_minhash(words: np.ndarray, k: int = K, sketches: int = SKETCHES, picks
     g = np.zeros(n, "u8")
     for j in range(min(k, len(words))):
         g = _mixed(g * _M + words[j : j + n] if len(words) >= k else g * _M + words[j : j + 1])
-    order = np.argsort(g, kind="stable")
-    s = g[order]
-    first = np.concatenate(([True], s[1:] != s[:-1]))
-    seen = np.arange(n) - np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    label = np.empty(n, "u8")
-    label[order] = seen
-    g = _mixed(g + label * _M)
+    g = _mixed(g + occurrences(g) * _M)
     seeds = _mixed(np.arange(1, sketches + 1, dtype="u8") * _M)
     top = min(picks, n)
     out = seeds.copy()
@@ -176,12 +172,39 @@ def limit(longer: int, similarity: float) -> int:
     return int((1 - similarity) * longer + 1e-9)
 
 
-def parities(words: np.ndarray) -> np.ndarray:
-    """A map of 64 * PARITY bits, each the parity of how many words hash to it."""
-    odd = np.bincount((words % np.uint64(64 * PARITY)).astype("i8"), minlength=64 * PARITY) & 1
+def occurrences(words: np.ndarray) -> np.ndarray:
+    """How often each entry occurred before."""
+    order = np.argsort(words, kind="stable")
+    s = words[order]
+    at = np.arange(len(s))
+    out = np.empty(len(s), "u8")
+    out[order] = at - np.maximum.accumulate(np.where(np.concatenate(([True], s[1:] != s[:-1])), at, 0)) if len(s) else at
+    return out
+
+
+def parities(words: np.ndarray, longs: int = PARITY) -> np.ndarray:
+    """A map of 64 * longs bits, each the parity of how many words, labelled with their occurrence, hash to it."""
+    tokens = _mixed(words + occurrences(words) * _M)
+    odd = np.bincount((tokens % np.uint64(64 * longs)).astype("i8"), minlength=64 * longs) & 1
     return np.packbits(odd.astype("u1"), bitorder="little").view("i8")
 
 
+def wide_maps(texts: DataFrame) -> DataFrame:
+    """(h, wide) of (h, text): parity maps that grow with the text, eight bits or more a word, their longs a power of two."""
+
+    def run(batches):
+        memo = _Hashes()
+        for pdf in batches:
+            maps = []
+            for text in pdf["text"]:
+                w = _WORDS.findall(text)
+                longs = 1 << (max(PARITY, -(-len(w) // 8)) - 1).bit_length()
+                maps.append(parities(np.fromiter(map(memo.__getitem__, w), "u8", len(w)), longs))
+            yield pd.DataFrame({"h": pdf["h"], "wide": maps})
+
+    return texts.select("h", "text").mapInPandas(run, "h binary, wide array<long>")
+
+
 def sketched(nodes: DataFrame, k: int = K, sketches: int = SKETCHES, picks: int = PICKS) -> DataFrame:
     """(h, n, sketch, p0 ...) of (h, text); n: words."""
 
@@ -254,11 +277,23 @@ def _named(df: DataFrame, to: str, **more: str) -> DataFrame:
     return df.select("i", "v", F.col("h").alias(to), F.col("n").alias(f"n{to}"), *[F.col(f"p{i}").alias(f"p{i}{to}") for i in range(PARITY)], *[F.col(v).alias(k) for k, v in more.items()])
 
 
+def _most(similarity: float):
+    """The largest distance of a pair (a, b) that is similar enough."""
+    return F.floor(F.lit(1 - similarity) * F.greatest("na", "nb") + 1e-6)
+
+
 def _possible(similarity: float):
     """What every pair (a, b) that is similar enough fulfils: like lengths, and few odd differences."""
-    longer = F.greatest("na", "nb")
     odd = sum((F.bit_count(F.col(f"p{i}a").bitwiseXOR(F.col(f"p{i}b"))) for i in range(PARITY)), F.lit(0))
-    return (F.least("na", "nb") >= F.lit(similarity - 1e-9) * longer) & (odd <= 2 * F.floor(F.lit(1 - similarity) * longer + 1e-6))
+    return (F.least("na", "nb") >= F.lit(similarity - 1e-9) * F.greatest("na", "nb")) & (odd <= 2 * _most(similarity))
+
+
+def _likely(similarity: float):
+    """The same by the wide maps xa and xb. Lengths that are alike differ by one doubling of the map at most; the longer map is folded then."""
+    half = lambda c: F.zip_with(F.slice(c, 1, (F.size(c) / 2).cast("int")), F.slice(c, (F.size(c) / 2).cast("int") + 1, (F.size(c) / 2).cast("int")), lambda x, y: x.bitwiseXOR(y))
+    odd = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, u: s + u)
+    a, b = F.col("xa"), F.col("xb")
+    return F.when(F.size(a) == F.size(b), odd(a, b)).when(F.size(a) > F.size(b), odd(half(a), b)).otherwise(odd(a, half(b))) <= 2 * _most(similarity)
 
 
 def components_of(nodes: DataFrame, *, k: int = K, sketches: int = SKETCHES, picks: int = PICKS, similarity: float = SIMILARITY) -> DataFrame:
@@ -279,13 +314,19 @@ def components_of(nodes: DataFrame, *, k: int = K, sketches: int = SKETCHES, pic
 
     member = bucket.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
     leader = lead.select("i", "v", F.col("l.h").alias("h")).join(roots, "h", "left").select("i", "v", F.coalesce("root", "h").alias("main"))
-    other = written(member.join(leader, ["i", "v"]).where(F.col("root") != F.col("main")), "other-members")
-    mixed = other.select("i", "v", "main").distinct()
-    main = member.join(mixed, ["i", "v"]).where(F.col("root") == F.col("main"))
-    across = _named(main, "a").join(_named(other, "b"), ["i", "v"]).where(possible).select("a", "b")
-    one, two = _named(other, "a", ra="root"), _named(other, "b", rb="root")
-    among = one.join(two, ["i", "v"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & possible).select("a", "b")
-    late = written(aligned(across.union(among).distinct(), texts, similarity), "late-links")
+    mixed = written(member.join(leader, ["i", "v"]).where(F.col("root") != F.col("main")).select("i", "v", "main").distinct(), "mixed-buckets")
+    crowd = written(member.join(mixed, ["i", "v"]), "mixed-members")
+    maps = written(wide_maps(texts.join(crowd.select("h").distinct(), "h", "left_semi")), "wide-maps")
+    crowd = crowd.join(maps.join(sketch.select("h", "sketch"), "h"), "h")
+    main, other = crowd.where(F.col("root") == F.col("main")), crowd.where(F.col("root") != F.col("main"))
+    # a pair meets in every bucket it shares, all of them mixed; the first one emits it
+    earlier = lambda c: F.slice(c, 1, F.col("i"))
+    once = F.forall(F.zip_with(earlier("sa"), earlier("sb"), lambda x, y: x != y), lambda x: x)
+    passes = possible & once & _likely(similarity)
+    across = _named(main, "a", xa="wide", sa="sketch").join(_named(other, "b", xb="wide", sb="sketch"), ["i", "v"]).where(passes).select("a", "b")
+    one, two = _named(other, "a", ra="root", xa="wide", sa="sketch"), _named(other, "b", rb="root", xb="wide", sb="sketch")
+    among = one.join(two, ["i", "v"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & passes).select("a", "b")
+    late = written(aligned(across.union(among), texts, similarity), "late-links")
     return roots if late.isEmpty() else components(star.unionByName(late))
 
 
