@@ -12,7 +12,7 @@ hold several, the leader's component meets the other members, and those meet eac
 one component never do. Exact filters stand before every alignment: the ratio of lengths, and
 the parities of hashed words, each labelled with how often
 it occurred before, of which one edit changes two at most; between components also those of a map
-that grows with the text. No pair of a bucket that could link two components is left out. In a
+that grows with the text, and the words and word pairs in common. No pair of a bucket that could link two components is left out. In a
 bucket of many components every two members are still compared by these maps, though only what
 passes is emitted; see the README.
 
@@ -227,6 +227,17 @@ def sketched(nodes: DataFrame, k: int = K, sketches: int = SKETCHES, picks: int
     return nodes.mapInPandas(run, "h binary, n long, sketch array<long>, " + ", ".join(f"p{i} long" for i in range(PARITY)))
 
 
+def _tokens(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words and word pairs, each labelled with its occurrence."""
+    two = _mixed(words[:-1] * _M + words[1:])
+    return _mixed(words + occurrences(words) * _M), _mixed(two + occurrences(two) * _M)
+
+
+def _may_be(x: tuple, y: tuple, most: int) -> bool:
+    """Whether texts of these tokens may be at most ``most`` edits apart: one edit takes one word and two word pairs of the longer text at most."""
+    return all(len(np.intersect1d(a, b, assume_unique=True)) >= max(len(a), len(b)) - most * k for k, (a, b) in enumerate(zip(x, y, strict=True), 1))
+
+
 def aligned(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """(a, b) of the pairs that are similar enough."""
     left = texts.select(F.col("h").alias("a"), F.col("text").alias("x"))
@@ -242,9 +253,12 @@ def aligned(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
                     if t not in known:
                         w = _WORDS.findall(t)
                         known[t] = np.fromiter(map(memo.__getitem__, w), "u8", len(w))
+                tokens = {t: _tokens(w) for t, w in known.items()}
                 both = [(known[x], known[y]) for x, y in zip(part["x"], part["y"], strict=True)]
-                most = [limit(max(len(x), len(y)), similarity) for x, y in both]
-                ok = np.array(distances(both, most)) <= np.array(most)
+                most = np.array([limit(max(len(x), len(y)), similarity) for x, y in both])
+                ok = np.array([_may_be(tokens[x], tokens[y], m) for x, y, m in zip(part["x"], part["y"], most, strict=True)], bool)
+                left = np.flatnonzero(ok)
+                ok[left] = np.array(distances([both[p] for p in left], most[left].tolist()), "i8") <= most[left]
                 yield pd.DataFrame({"a": part["a"][ok], "b": part["b"][ok]})
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(run, "a binary, b binary")
