@@ -9,6 +9,7 @@ from ..model import Graph, edge_key, node_id, parse_node_id
 from ..operators import derive as D
 from ..operators import merge as M
 from ..operators import metrics as X
+from ..operators import services as P
 from ..operators import symbols as Y
 from ..operators import traverse as T
 from ..operators import vectors as V
@@ -571,6 +572,93 @@ def node_ids(spark, d):
     return table(spark, d, "documents").select("doc_id", i.alias("id"), parse_node_id(i)["name"].alias("last"), edge_key(F.col("source"), F.col("lang"), F.lit("imports")).alias("key"))
 
 
+# services and infrastructure
+
+
+def _lifted(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"))
+    near = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("k"), (F.col("l_partkey") % 97 + 1).alias("o")).distinct().where("k <> o")
+    calls = near.select(F.concat(F.lit("f:"), F.col("k").cast("string")).alias("src"), F.concat(F.lit("f:"), F.col("o").cast("string")).alias("dst"))
+    f = s.select(F.concat(F.lit("f:"), F.col("k").cast("string")).alias("id"), F.concat(F.lit("c:"), (F.col("k") % 10).cast("string")).alias("component"), (F.col("k") % 7 == 0).alias("is_api"))
+    c = s.select((F.col("k") % 10).alias("m")).distinct().select(F.concat(F.lit("c:"), F.col("m").cast("string")).alias("id"), F.when(F.col("m") < 5, "engine").otherwise("model").alias("component_type"))
+    return calls, f, c
+
+
+@query("WITH " + CODE + " SELECT DISTINCT 'f:' || k AS src, 'c:' || o % 10 AS dst FROM near WHERE k % 7 = 0 AND o % 10 < 5 AND k % 10 <> o % 10")
+def api_calls(spark, d):
+    return P.api_calls(*_lifted(spark, d))
+
+
+@query("WITH " + CODE + " SELECT DISTINCT 'c:' || k % 10 AS src, 'c:' || o % 10 AS dst FROM near WHERE k % 7 <> 0 AND k % 10 < 5 AND o % 10 < 5 AND k % 10 <> o % 10")
+def service_calls(spark, d):
+    return P.service_calls(*_lifted(spark, d))
+
+
+@query("SELECT DISTINCT 'c:' || s_suppkey AS src, 'n:' || s_nationkey AS dst FROM supplier WHERE s_suppkey % 2 = 0")
+def service_deps_ctor(spark, d):
+    name = F.when(F.col("s_suppkey") % 2 == 0, "__init__").otherwise("run")
+    f = table(spark, d, "supplier").select(F.concat(F.lit("c:"), F.col("s_suppkey").cast("string")).alias("owner"), name.alias("name"), F.concat(F.lit("self, x: Optional[N"), F.col("s_nationkey").cast("string"), F.lit("]")).alias("parameters"))
+    n = table(spark, d, "nation").select(F.concat(F.lit("n:"), F.col("n_nationkey").cast("string")).alias("id"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("name"), F.col("n_nationkey").alias("seq"))
+    return P.service_deps_ctor(f, n)
+
+
+@query("WITH " + CODE + " SELECT 'c:' || k AS src, 'c:' || o AS dst FROM near WHERE o % 5 <> 0")
+def service_deps_import(spark, d):
+    code = A.code_corpus(spark, d)
+    imports = Y.extract_symbols(code).where("kind = 'import'").select("path", "language", F.col("name").alias("module"))
+    c = code.select(F.concat(F.lit("c:"), F.col("k").cast("string")).alias("id"), "path", S.parent_path(F.col("path")).alias("module"))
+    s = table(spark, d, "lineitem").select(F.concat(F.lit("c:"), F.col("l_suppkey").cast("string")).alias("src"), (F.col("l_partkey") % 97 + 1).alias("o")).distinct().where("o % 5 = 0")
+    return P.service_deps_import(Y.resolve_imports(imports, c.select(F.col("module").alias("path"))), c, s.select("src", F.concat(F.lit("c:"), F.col("o").cast("string")).alias("dst")))
+
+
+@query("SELECT 'f' || c_custkey AS src, 'e:' || c_mktsegment AS dst, CASE WHEN c_custkey % 3 = 0 THEN 'reads' ELSE 'writes' END AS type FROM customer")
+def static_lineage(spark, d):
+    c = table(spark, d, "customer")
+    first = F.element_at(F.array(F.lit("find"), F.lit("save"), F.lit("other")), (F.col("c_custkey") % 3 + 1).cast("int"))
+    calls = c.select(F.concat(F.lit("f"), F.col("c_custkey").cast("string")).alias("src"), F.lower("c_mktsegment").alias("receiver"), F.posexplode(F.array(first, F.lit("Delete"))).alias("seq", "callee"))
+    return P.static_lineage(calls, c.select(F.concat(F.lit("e:"), "c_mktsegment").alias("id"), F.initcap(F.lower("c_mktsegment")).alias("name")).distinct())
+
+
+def _terraform(spark, d):
+    k, m = F.col("s_suppkey").cast("string"), (F.col("s_suppkey") % 10).cast("string")
+    cluster = F.concat(F.lit('resource "aws_ecs_cluster" "c'), k, F.lit('" {\n  name = "cluster-'), k, F.lit('"\n}\n'))
+    service = F.concat(F.lit('resource "aws_ecs_service" "s'), k, F.lit('" {\n  name = "svc-'), k, F.lit('"\n  cluster = aws_ecs_cluster.c'), k, F.lit(".id\n  env = aws_db_instance.d"), m, F.lit(".address\n}\n"))
+    base = F.concat(F.lit('resource "aws_db_instance" "d'), k, F.lit('" {\n  engine = "x"\n}\nresource "other_thing" "o" {\n}\n'))
+    return P.scan_terraform(table(spark, d, "supplier").select(F.concat(F.lit("m"), k, F.lit(".tf")).alias("path"), F.concat(cluster, service, base).alias("content")))
+
+
+@query("SELECT 'm' || s_suppkey || '.tf' AS path, unnest(['Cluster', 'Service', 'Database']) AS kind, unnest(['cluster-', 'svc-', 'd']) || s_suppkey AS name FROM supplier")
+def scan_terraform(spark, d):
+    return _terraform(spark, d).select("path", "kind", "name")
+
+
+@query("WITH n AS (SELECT unnest(['Cluster::cluster-', 'Service::svc-', 'Database::d']) || s_suppkey AS id, unnest(['Cluster', 'Service', 'Database']) AS type, unnest(['cluster-', 'svc-', 'd']) || s_suppkey AS name FROM supplier), e AS (SELECT 'Service::svc-' || s_suppkey AS src, 'deployed_on' AS type, 'Cluster::cluster-' || s_suppkey AS dst FROM supplier UNION ALL SELECT 'Service::svc-' || s_suppkey, 'uses', 'Database::d' || s_suppkey % 10 FROM supplier WHERE s_suppkey % 10 IN (SELECT s_suppkey FROM supplier))" + _BOTH)
+def infra_graph(spark, d):
+    return _both(P.infra_graph(_terraform(spark, d)))
+
+
+@query("WITH p AS (SELECT DISTINCT 'pkg' || s_suppkey % 10 AS path, '' AS parent, 0 AS depth, 0::BIGINT AS file_count FROM supplier UNION ALL SELECT 'pkg' || s_suppkey % 10 || '/mod' || s_suppkey, 'pkg' || s_suppkey % 10, 1, 1 FROM supplier) SELECT *, row_number() OVER (PARTITION BY parent ORDER BY path) AS position FROM p QUALIFY position <= 8")
+def repo_tree(spark, d):
+    f = A.code_corpus(spark, d).select("path")
+    own = f.select(S.parent_path(F.col("path")).alias("path"))
+    return P.repo_tree(own.union(own.select(S.parent_path(F.col("path")))), f)
+
+
+@query(f"WITH {STAR}, t AS (SELECT 'node' AS kind, type, count(*) AS n FROM nodes GROUP BY ALL UNION ALL SELECT 'edge', type, count(*) FROM edges GROUP BY ALL), l AS (SELECT kind || ' ' || type || ': ' || n AS line FROM t), x AS (SELECT string_agg(line, chr(10) ORDER BY line) AS text FROM l) SELECT text, greatest(1, length(text) // 4)::BIGINT AS tokens, length(text) // 4 > 8000 AS truncated FROM x")
+def repo_summary(spark, d):
+    return P.repo_summary(star(spark, d))
+
+
+@query("SELECT 'Service::' || n_name AS id, n_name AS name FROM nation")
+def infer_services(spark, d):
+    return P.infer_services(trade(spark, d)).select("id", "name")
+
+
+@query("WITH " + FILES + " SELECT string_agg(DISTINCT language, ',' ORDER BY language) AS languages FROM files")
+def extract_languages(spark, d):
+    return P.extract_languages(_scanned(spark, d))
+
+
 # vectors
 
 _DIST = "list_sum(list_transform(list_zip(a.embedding, q.embedding), lambda t: (t[1]::DOUBLE - t[2]::DOUBLE) * (t[1]::DOUBLE - t[2]::DOUBLE)))"

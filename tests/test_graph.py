@@ -6,6 +6,7 @@ from lattica.model import EDGE_SCHEMA, NODE_SCHEMA, Graph
 from lattica.operators import derive as D
 from lattica.operators import merge as M
 from lattica.operators import metrics as X
+from lattica.operators import services as P
 from lattica.operators import symbols as Y
 from lattica.operators import traverse as T
 from lattica.operators import views as W
@@ -150,3 +151,24 @@ def test_stream_upsert(spark, tmp_path):
     spark.createDataFrame([("a", "Function", "new", "{}", 9)], NODE_SCHEMA).write.mode("append").parquet(src)
     run()
     assert {r["id"]: r["name"] for r in U.latest(spark, out).collect()} == {"a": "new", "b": "b"}
+
+
+def test_terraform(spark):
+    text = 'resource "aws_ecs_cluster" "a" {\n  name = "Big"\n}\nresource "aws_lambda_function" "f" {\n  cluster = aws_ecs_cluster.a.id\n  db = aws_db_instance.d.url\n}\nvariable "x" {\n  name = "no"\n}\nresource "aws_db_instance" "d" {}\n'
+    r = P.scan_terraform(spark.createDataFrame([("m.tf", text), ("n.tf", None), ("o.tf", "")], "path string, content string"))
+    assert rows(r.select("kind", "name")) == [("Cluster", "Big"), ("Database", "d"), ("Service", "f")]
+    assert rows(P.infra_graph(r).edges.select("src", "dst", "type")) == [("Service::f", "Cluster::Big", "deployed_on"), ("Service::f", "Database::d", "uses")]
+
+
+def test_static_lineage_takes_the_first_operation(spark):
+    calls = spark.createDataFrame([("f", "user_store", "GET", 2), ("f", "user_store", "save", 1), ("f", "Plan", "noop", 3), ("g", None, "save", 1)], "src string, receiver string, callee string, seq int")
+    entities = spark.createDataFrame([("e1", "Userstore"), ("e2", "Plan")], "id string, name string")
+    assert rows(P.static_lineage(calls, entities)) == [("f", "e1", "writes")]
+
+
+def test_service_and_api_calls(spark):
+    calls = spark.createDataFrame([("f", "g"), ("g", "h"), ("h", "g"), ("f", "f")], "src string, dst string")
+    functions = spark.createDataFrame([("f", None, True), ("g", "A", False), ("h", "B", False)], "id string, component string, is_api boolean")
+    components = spark.createDataFrame([("A", "service"), ("B", "manager")], "id string, component_type string")
+    assert rows(P.api_calls(calls, functions, components)) == [("f", "A")]
+    assert rows(P.service_calls(calls, functions, components)) == [("A", "B"), ("B", "A")]
