@@ -222,6 +222,45 @@ def test_simple_tree_matching():
     assert n == 3 and pairs == [(1, 0), (2, 2)]
 
 
+def _texts(pages: list[str]) -> list[str]:
+    wrapper = None
+    for p in pages:
+        own = html_extract.wrapper_of(p, html_extract.parse(p))
+        wrapper = html_extract.merged(wrapper, own) if wrapper else own
+    return [html_extract.extract(html_extract.parse(p), wrapper) for p in pages]
+
+
+def test_wrapper_has_no_bound_by_position():
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    # names of one page each, with digits, as slugs and as words that no rule knows
+    for name in (lambda i: f"id='post-{i}'", lambda i: f"id='a-slug-{word(i)}'", lambda i: f"class='{word(i)}'"):
+        pages = [f"<body><div {name(i)}>Story {i}</div><ul><li>Follow us</li></ul></body>" for i in range(900)]
+        wrapper = None
+        for p in pages:
+            own = html_extract.wrapper_of(p, html_extract.parse(p))
+            wrapper = html_extract.merged(wrapper, own) if wrapper else own
+        assert len(wrapper["tree"][3][0][3]) < 8 * html_extract.RARE
+        assert [html_extract.extract(html_extract.parse(p), wrapper) for p in pages[::100]] == [f"Story {i}" for i in range(0, 900, 100)]
+
+
+def test_all_sibling_runs_of_a_page_are_aligned():
+    story = lambda i: "".join(f"<h3>Head {i} {j}</h3><p>Text {i} {j}</p>" for j in range(450 + i))
+    got = _texts([f"<body>{story(i)}<div>Follow us</div></body>" for i in range(12)])
+    assert all("Follow us" not in x and x.endswith(f"Text {i} {449 + i}") for i, x in enumerate(got))
+
+
+def test_halved_alignment_is_as_large(monkeypatch):
+    r = random.Random(5)
+    tree = lambda d: [r.choice("abc"), 0, 1, [tree(d - 1) for _ in range(r.randrange(3))] if d else [], 0]
+    for _ in range(40):
+        a, b = ([tree(2) for _ in range(r.randrange(12))] for _ in "ab")
+        monkeypatch.setattr(html_extract, "CELLS", 1 << 22)
+        whole = html_extract.match(a, b)[0]
+        monkeypatch.setattr(html_extract, "CELLS", 4)
+        n, pairs = html_extract.match(a, b)
+        assert n == whole and pairs == sorted(pairs) and all(a[i][0] == b[j][0] for i, j in pairs)
+
+
 def test_kneser_ney_sums_to_one_and_both_paths_agree(spark):
     r = random.Random(7)
     good = [(i, " ".join(r.choice(("the", "cat", "sat", "on", "a", "mat")) for _ in range(30)), "en") for i in range(60)]
