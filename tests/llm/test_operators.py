@@ -261,6 +261,26 @@ def test_halved_alignment_is_as_large(monkeypatch):
         assert n == whole and pairs == sorted(pairs) and all(a[i][0] == b[j][0] for i, j in pairs)
 
 
+def test_a_name_alone_drops_nothing():
+    text = lambda page: html_extract.extract(html_extract.parse(page), None)
+    long = "<p>" + "The reform passed the house. " * 30 + "</p>"
+    said = "The reform passed the house. " * 29 + "The reform passed the house."
+    for inner in (f"<article>{long}</article>", f"<main>{long}</main>", long):
+        assert text(f"<body><div class='site has-sidebar'>{inner}</div></body>") == said
+        assert text(f"<body><div class='sidebar'>{inner}</div></body>") == said
+    assert text(f"<form id='form'><article>{long}</article></form>") == said
+    assert text("<article><div class='article-header'><h1>Title</h1></div><section id='social-reform'><h2>Social reform</h2><p>One.</p></section><h2 id='related-work'>Related work</h2><p>See <a class='related-item' href='/x'>this</a> one.</p></article>") == "Title\nSocial reform\nOne.\nRelated work\nSee this one."
+    # the element's own text agrees with the name
+    links = "<a href='/a'>More of this</a> <a href='/b'>More of that</a>"
+    for noise in (f"<div class='related-posts'>{links}</div>", "<div class='ad'>Buy now</div>", "<div class='cookie-banner'>We use cookies</div>", f"<ul class='menu'><li>{links}</li></ul>", "<a class='share' href='/s'>Share</a>"):
+        assert text(f"<body>{long}{noise}</body>") == said and text(f"<article>{long}{noise}</article>") == said
+    assert text(f"<body><div class='sidebar'><article>Teaser</article></div><article>{long}</article></body>") == said
+    # or its place on the host's pages does
+    story = lambda i: f"Story {i} goes on and on. " * 80
+    talk = [f"<body><p>{story(i)}</p><div class='comments'><h3>Said {i}</h3>{f'<p>I say {i} to this.</p>' * 30}</div></body>" for i in range(12)]
+    assert _texts(talk) == [story(i).strip() for i in range(12)] and "I say 3" in text(talk[3])
+
+
 def test_kneser_ney_sums_to_one_and_both_paths_agree(spark):
     r = random.Random(7)
     good = [(i, " ".join(r.choice(("the", "cat", "sat", "on", "a", "mat")) for _ in range(30)), "en") for i in range(60)]
