@@ -281,6 +281,26 @@ def test_a_name_alone_drops_nothing():
     assert _texts(talk) == [story(i).strip() for i in range(12)] and "I say 3" in text(talk[3])
 
 
+def test_few_pages_make_a_wrapper_and_copies_do_not(spark):
+    r = random.Random(3)
+    page = lambda text: f"<body><div class='top'>Daily News</div><div><p>{text}</p></div></body>"
+    texts = [words(r, 40) for _ in range(6)]
+    hosts = {
+        "three": texts[:3],
+        "two": texts[:2],
+        "near": [f"{texts[0]} at {i}" for i in range(12)],
+        "same": [texts[0]] * 8 + texts[1:3],
+    }
+    rows = [(h, i, t) for h, ts in hosts.items() for i, t in enumerate(ts)]
+    # text in its own element that only the copies have
+    html = lambda h, t: page(t).replace("</p>", "</p><h3>Only here</h3>") if h == "same" and t == texts[0] else page(t)
+    pages = spark.createDataFrame([(f"{h}{i}", f"http://{h}.org/{i}", html(h, t)) for h, i, t in rows], "page_id string, url string, html string")
+    got = {x["page_id"]: x["text"] for x in html_extract.extract_pages(pages).collect()}
+    for h, i, t in rows:
+        want = {"three": t, "same": f"Daily News\n{t}" + ("\nOnly here" if t == texts[0] else "")}.get(h, f"Daily News\n{t}")
+        assert got[f"{h}{i}"] == want
+
+
 def test_kneser_ney_sums_to_one_and_both_paths_agree(spark):
     r = random.Random(7)
     good = [(i, " ".join(r.choice(("the", "cat", "sat", "on", "a", "mat")) for _ in range(30)), "en") for i in range(60)]
