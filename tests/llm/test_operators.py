@@ -204,6 +204,17 @@ def test_near_copies_meet_and_others_do_not(spark):
     assert all((got[a] == got[b]) == (group[a] == group[b]) for a in group for b in group)
 
 
+def test_scattered_edits_share_a_sketch():
+    r = np.random.default_rng(4)
+    met = 0
+    for _ in range(300):
+        a = r.integers(1, 1 << 62, r.integers(70, 400)).astype("u8")
+        b = a.copy()
+        b[r.permutation(len(a))[: len(a) // 5]] = r.integers(1, 1 << 62, len(a) // 5)  # edit similarity 0.8 at least
+        met += bool((near_dedup.sketches_of(a) == near_dedup.sketches_of(b)).any())
+    assert met >= 0.93 * 300
+
+
 def test_wrapper_drops_what_a_host_repeats(spark):
     page = lambda i: f"<html><body><div class='top'>Daily News</div><div><p>Story {i} told &amp; retold</p><p>More of {i}</p><div>Follow us now</div></div><footer>f</footer></body></html>"
     pages = spark.createDataFrame([(i, f"http://h.org/{i}", page(i)) for i in range(15)] + [(20, "http://solo.org", "<p>One<p>Two<br>three"), (21, None, None)], "page_id long, url string, html string")
