@@ -239,10 +239,12 @@ def scan_k8s(files: DataFrame) -> DataFrame:
                     if not isinstance(d, dict) or "kind" not in d:
                         continue
                     meta = d.get("metadata") or {}
-                    spec = ((d.get("spec") or {}).get("template") or {}).get("spec") or {}
+                    own = d.get("spec") or {}
+                    spec = (own.get("template") or {}).get("spec") or {}
                     head = (path, d["kind"], meta.get("name"), meta.get("namespace"))
                     rows.append((*head, None, None))
-                    for c in spec.get("containers") or []:
+                    # of templates, their init containers, and of plain pods
+                    for c in [*(spec.get("containers") or []), *(spec.get("initContainers") or []), *(own.get("containers") or [])]:
                         rows.append((*head, c.get("image"), None))
                         rows += [(*head, None, v.get("name")) for v in c.get("env") or []]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in K8S.split(", ")])

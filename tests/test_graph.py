@@ -172,3 +172,10 @@ def test_service_and_api_calls(spark):
     components = spark.createDataFrame([("A", "service"), ("B", "manager")], "id string, component_type string")
     assert rows(P.api_calls(calls, functions, components)) == [("f", "A")]
     assert rows(P.service_calls(calls, functions, components)) == [("A", "B"), ("B", "A")]
+
+
+def test_k8s_containers_of_pods_and_init_containers(spark):
+    deployment = "kind: Deployment\nmetadata:\n  name: app\nspec:\n  template:\n    spec:\n      initContainers:\n        - image: wait:1\n      containers:\n        - image: redis:7\n          env:\n            - name: A\n"
+    pod = "kind: Pod\nmetadata:\n  name: one\nspec:\n  containers:\n    - image: job:2\n"
+    got = D.scan_k8s(spark.createDataFrame([("k", f"{deployment}---\n{pod}")], "path string, content string"))
+    assert rows(got.select("name", "image", "env").where("image is not null or env is not null")) == [("app", "redis:7", None), ("app", "wait:1", None), ("app", None, "A"), ("one", "job:2", None)]
