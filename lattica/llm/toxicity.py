@@ -3,13 +3,16 @@
 A logistic model over hashed features of a text: its distinct words and word beginnings (inflected
 and compound forms share those). For every labelled text, a counterfactual copy swaps identity
 terms for others of their group; besides the label's loss, the squared change of the score between
-the two is penalised, so the weights of neutral group mentions shrink.
-
-The fit uses a bounded sample of labelled rows, ``sample`` of each label at most, chosen by a
-digest of the id; features are read from whole texts and every row is scored. Labels, lang, source
-and ids are never features. Null and empty texts get the score of no features. Repeated rows get
-equal scores. Labelled rows that share an id with several texts count each; null labels are no
-labels. Without rows of both labels the score is the share of label 1, or 0 without any.
+the two is penalised, so the weights of neutral group mentions shrink. Every feature that a swap
+changes takes part in the fit; others do if the labels differ in it clearly.
+
+The fit uses a bounded sample of labelled ids, ``sample`` of each label at most, chosen by a digest
+of the id; features are read from whole texts, in tasks, and every row is scored. The driver gets
+the numbers of the features that take part and holds the weights. Labels, lang, source and ids are
+never features. Null and empty texts get the score of no features. Repeated rows get equal scores.
+Of labelled rows that share id and label, the text of the smallest hash counts; null labels are no
+labels. Without rows of both labels the score is the share of label 1, or 0 without any. Columns
+other than id, text and label are ignored, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -22,11 +25,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 DIMS, SAMPLE, PENALTY, DECAY, STEPS = 1 << 19, 8_000, 1.0, 3e-4, 200
-#: A feature takes part if it is in as many texts, differs by as many standard errors between the labels, and is among the clearest.
-LEAST_DF, LEAST_Z, MOST_FEATURES = 3, 3.0, 20_000
+#: A feature that no swap changes takes part if it is in as many texts of the sample and differs by as many standard errors between the labels.
+LEAST_DF, LEAST_Z = 3, 3.0
+#: Tasks that read the sample's features.
+READERS = 48
 PREFIXES = (4, 5, 6, 7, 8)
 #: Groups of identity terms; a counterfactual swaps a term for another of its group.
 IDENTITY = (
@@ -64,86 +69,124 @@ def features(text: str | None, memo: _Features, swap: dict[str, str] | None = No
     return np.fromiter({f for w in found for f in memo[w]}, "i4")
 
 
+def chosen_features(counts: DataFrame, n1: int, n0: int) -> DataFrame:
+    """(f) of counts (f, d1, d0, swapped): the features that take part, from their numbers of texts with and without the label."""
+    pool = (F.col("d1") + F.col("d0")) / F.lit(float(n1 + n0))
+    z = F.abs(F.col("d1") / F.lit(float(n1)) - F.col("d0") / F.lit(float(n0))) / F.sqrt(pool * (1 - pool) * F.lit(1 / n1 + 1 / n0) + 1e-12)
+    return counts.where(F.col("swapped") | ((F.col("d1") + F.col("d0") >= LEAST_DF) & (z > LEAST_Z))).select("f")
+
+
+class Rows:
+    """Lists of feature numbers in a row, with where each begins."""
+
+    def __init__(self, lists):
+        self.n = len(lists)
+        self.row = np.repeat(np.arange(self.n, dtype="i4"), [len(x) for x in lists])
+        self.col = np.concatenate([np.zeros(0, "i4"), *lists]).astype("i4")
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=w[self.col], minlength=self.n)
+
+    def back(self, per: np.ndarray, d: int) -> np.ndarray:
+        return np.bincount(self.col, weights=per[self.row], minlength=d)
+
+
+def loss(w: np.ndarray, bias: float, x: Rows, gone: Rows, new: Rows, y: np.ndarray, penalty: float, decay: float) -> tuple[float, np.ndarray, float]:
+    """Loss and its gradient. x: features; gone, new: those that the counterfactual lacks and gains. Both labels weigh alike; the penalty is the mean squared change of the score."""
+    n, d = len(y), len(w)
+    weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, n - y.sum()))
+    z = x.dot(w) + bias
+    p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    gap = gone.dot(w) - new.dot(w)
+    value = float((weight * (np.logaddexp(0, z) - y * z)).sum() + penalty * (gap**2).mean() + decay / 2 * (w**2).sum())
+    err, pull = weight * (p - y), 2 * penalty * gap / n
+    return value, x.back(err, d) + gone.back(pull, d) - new.back(pull, d) + decay * w, float(err.sum())
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], penalty: float = PENALTY, decay: float = DECAY, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Weights and bias from (features, features of the counterfactual, label)."""
+    """Weights (of DIMS features) and bias from (features, features of the counterfactual, label)."""
     y = np.array([r[2] for r in rows], "f8")
+    w, bias = np.zeros(DIMS), 0.0
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
-        return np.zeros(DIMS, "f4"), float(np.log((share + 1e-4) / (1 - share + 1e-4)))
-    n = len(rows)
-    ones = y == 1
-    # features that occur about as often with either label, or hardly ever, only add noise
-    df1, df0 = (np.bincount(np.concatenate([r[0] for r, o in zip(rows, ones, strict=True) if o == k] or [np.zeros(0, "i4")]), minlength=DIMS) for k in (True, False))
-    n1, n0 = ones.sum(), n - ones.sum()
-    pool = (df1 + df0) / n
-    z = np.abs(df1 / n1 - df0 / n0) / np.sqrt(pool * (1 - pool) * (1 / n1 + 1 / n0) + 1e-12)
-    z[df1 + df0 < LEAST_DF] = 0
-    used = np.sort(np.argsort(-z, kind="stable")[: int(min(MOST_FEATURES, (z > LEAST_Z).sum()))])
-    d = len(used)
-    number = np.full(DIMS, -1, "i4")
-    number[used] = np.arange(d)
-    col, row, changed = [], [], np.zeros(n, bool)
-    for i, (x, c, _) in enumerate(rows):
-        x, c = np.sort(number[x]), np.sort(number[c])
-        x, c = x[x >= 0], c[c >= 0]
-        changed[i] = not np.array_equal(x, c)
-        col.append(x)
-        row.append(np.full(len(x), i))
-        if changed[i]:
-            col.append(c)
-            row.append(np.full(len(c), n + i))
-    col, row = np.concatenate(col), np.concatenate(row)
-    val = np.ones(len(col))
-    w, bias = np.zeros(d), 0.0
-    m, v, mb, vb = np.zeros(d), np.zeros(d), 0.0, 0.0
-    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (n - y.sum()))
+        return w, float(np.log((share + 1e-4) / (1 - share + 1e-4)))
+    x = Rows([r[0] for r in rows])
+    gone, new = (Rows([np.setdiff1d(r[i], r[1 - i], assume_unique=True) for r in rows]) for i in (0, 1))
+    m, v, mb, vb = np.zeros(DIMS), np.zeros(DIMS), 0.0, 0.0
     for t in range(1, steps + 1):
-        z = np.bincount(row, weights=w[col] * val, minlength=2 * n)
-        p = 1 / (1 + np.exp(-np.clip(z[:n] + bias, -40, 40)))
-        gap = np.where(changed, z[:n] - z[n:], 0.0)
-        err = weight * (p - y)
-        pull = 2 * penalty * gap / n
-        per = np.concatenate((err + pull, -pull))
-        g = np.bincount(col, weights=per[row] * val, minlength=d) + decay * w
-        gb = err.sum()
+        _, g, gb = loss(w, bias, x, gone, new, y, penalty, decay)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         rate = 0.3 * min(1.0, 2 * (1 - t / (steps + 1)))
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-10)
         bias -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-10)
-    out = np.zeros(DIMS, "f4")
-    out[used] = w
-    return out, bias
+    return w, bias
 
 
-def score_toxicity(docs: DataFrame, labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, groups=IDENTITY, penalty: float = PENALTY) -> DataFrame:
-    """id and score (0 to 1) of each row of docs; labelled: rows with id, text and label to learn from."""
-    spark, swap = docs.sparkSession, swaps(groups)
-    rows = labelled.where(F.col(label_col).isin(0, 1)).select(F.col(f"`{text_col}`").alias("text"), F.col(label_col).cast("int").alias("label"), F.xxhash64(F.lit("toxic"), F.col(id_col)).alias("o"))
+def sampled(labelled: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> DataFrame:
+    """(text, label) of up to ``sample`` ids of each label. Ids are chosen without their texts, so that only those of the sample move."""
+    order = F.xxhash64(F.lit("toxic"), F.col(f"`{id_col}`"))
+    rows = labelled.where(F.col(label_col).isin(0, 1)).withColumns({"__o": order, "__y": F.col(label_col).cast("int")})
+    keys = rows.select("__o", "__y").distinct()
+    some = None
+    for label in (0, 1):
+        part = keys.where(F.col("__y") == label).orderBy("__o").limit(sample)
+        some = part if some is None else some.unionByName(part)
+    some = F.broadcast(written(some, "toxic-sample"))  # at most 2 * sample pairs of numbers
+    text = F.col(f"`{text_col}`")
+    # the first join asks for ids alone, so it goes below the join of texts and labels
+    rows = rows.join(some.select("__o"), "__o", "left_semi")
+    of = rows.join(some, ["__o", "__y"], "left_semi").groupBy("__o", "__y").agg(F.min_by(text, F.xxhash64(text)).alias("text"))
+    return of.select("text", F.col("__y").alias("label")).repartition(READERS)
+
+
+def learn(labelled: DataFrame, *, id_col: str, text_col: str, label_col: str, sample: int, groups, penalty: float) -> tuple[np.ndarray, float]:
+    """Weights of all features, and the bias."""
+    swap = swaps(groups)
 
     def read(batches):
         memo = _Features()
         for pdf in batches:
             yield pd.DataFrame({"x": [features(t, memo) for t in pdf["text"]], "c": [features(t, memo, swap) for t in pdf["text"]], "label": pdf["label"]})
 
-    chosen = None
-    for label in (0, 1):
-        part = rows.where(F.col("label") == label).orderBy("o").limit(sample).select("text", "label")
-        chosen = part if chosen is None else chosen.unionByName(part)
-    got = chosen.mapInPandas(read, "x array<int>, c array<int>, label int").toArrow()  # at most 2 * sample rows of features
+    rows = written(sampled(labelled, id_col, text_col, label_col, sample).mapInPandas(read, "x array<int>, c array<int>, label int"), "toxic-features")
+    n = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(n) < 2:
+        return fit([(np.zeros(0, "i4"), np.zeros(0, "i4"), y) for y in n], penalty)
+    one = F.col("label") == 1
+    seen = rows.select("label", F.explode("x").alias("f")).groupBy("f").agg(F.sum(one.cast("int")).alias("d1"), F.sum((~one).cast("int")).alias("d0"), F.lit(False).alias("swapped"))
+    swapped = rows.select(F.explode(F.concat(F.array_except("x", "c"), F.array_except("c", "x"))).alias("f")).distinct()
+    swapped = swapped.select("f", F.lit(0).alias("d1"), F.lit(0).alias("d0"), F.lit(True).alias("swapped"))
+    used = chosen_features(seen.unionByName(swapped), n[1], n[0]).toArrow()["f"].to_numpy()  # DIMS numbers at most
+    mask = np.zeros(DIMS, bool)
+    mask[used] = True
+    sent = rows.sparkSession.sparkContext.broadcast(np.packbits(mask))
+
+    def only(batches):
+        mask = np.unpackbits(sent.value).view(bool)
+        for pdf in batches:
+            for c in ("x", "c"):
+                pdf[c] = [v[mask[v]] for v in pdf[c]]
+            yield pdf
+
+    got = rows.mapInPandas(only, rows.schema).toArrow()  # of 2 * sample rows at most, the features that take part
     lists = [[x.values.to_numpy() for x in got[c]] for c in ("x", "c")]
-    weights, bias = fit(list(zip(*lists, got["label"].to_pylist(), strict=True)), penalty)
-    sent = spark.sparkContext.broadcast((weights, bias))  # DIMS numbers
+    return fit(list(zip(*lists, got["label"].to_pylist(), strict=True)), penalty)
+
+
+def score_toxicity(docs: DataFrame, labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, groups=IDENTITY, penalty: float = PENALTY) -> DataFrame:
+    """id and score (0 to 1) of each row of docs; labelled: rows with id, text and label to learn from."""
+    w, bias = learn(labelled, id_col=id_col, text_col=text_col, label_col=label_col, sample=sample, groups=groups, penalty=penalty)
+    sent = docs.sparkSession.sparkContext.broadcast((w.astype("f4"), bias))  # DIMS numbers
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         memo = _Features()
-        weights, bias = sent.value
+        w, bias = sent.value
         for pdf in batches:
             out = []
             for text in pdf["text"]:
-                f = features(text, memo)
-                z = bias + float(weights[f].sum(dtype="f8"))
+                z = bias + float(w[features(text, memo)].sum(dtype="f8"))
                 out.append(1 / (1 + np.exp(-np.clip(z, -40, 40))))
             yield pd.DataFrame({"id": pdf["id"], "score": np.array(out, "f8")})
 

@@ -340,3 +340,39 @@ def test_counterfactual_penalty_shrinks_identity_terms():
         gap.append(abs(score("the women are fine") - score("the men are fine")))
         assert score("they are awful") > score("they are fine")
     assert gap[1] < 0.5 * gap[0]
+
+
+def test_toxicity_gradient_brute_force():
+    r = np.random.default_rng(3)
+    lists = [[np.unique(r.integers(0, 9, 4)).astype("i4") for _ in range(7)] for _ in range(3)]
+    x, gone, new = map(toxicity.Rows, lists)
+    y, w, b = r.integers(0, 2, 7).astype("f8"), r.normal(size=9), 0.3
+    y[:2] = 0, 1
+    value = lambda w, b: toxicity.loss(w, b, x, gone, new, y, 0.7, 0.1)[0]
+    score = lambda i: w[lists[0][i]].sum() + b
+    weight = [0.5 / (y == t).sum() for t in y]
+    want = sum(weight[i] * np.log1p(np.exp(-score(i) if y[i] else score(i))) for i in range(7))
+    want += 0.7 * np.mean([(w[lists[1][i]].sum() - w[lists[2][i]].sum()) ** 2 for i in range(7)]) + 0.05 * (w**2).sum()
+    got, g, gb = toxicity.loss(w, b, x, gone, new, y, 0.7, 0.1)
+    assert got == pytest.approx(want) and gb == pytest.approx((value(w, b + 1e-6) - value(w, b - 1e-6)) / 2e-6, abs=1e-6)
+    for k in range(9):
+        e = np.eye(9)[k] * 1e-6
+        assert g[k] == pytest.approx((value(w + e, b) - value(w - e, b)) / 2e-6, abs=1e-6)
+
+
+def test_penalty_shrinks_the_gap_of_group_mentions(spark):
+    # "muslim" comes with the label more often than "christian" does, and says nothing by itself
+    r = random.Random(2)
+    rows = []
+    for i in range(600):
+        bad = i % 2
+        group = "muslim" if r.random() < (0.7 if bad else 0.3) else "christian"
+        rows.append((i, f"my {group} neighbour {'' if r.random() < 0.5 else 'is awful' if bad else 'is lovely'} {words(r, 12, 60)}", bad))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    asked = spark.createDataFrame([(1, "a muslim neighbour"), (2, "a christian neighbour"), (3, "so awful"), (4, "so lovely"), (5, None)], "doc_id long, text string")
+    gap = []
+    for penalty in (0.0, 30.0):
+        s = {x["doc_id"]: x["score"] for x in toxicity.score_toxicity(asked, docs, penalty=penalty).collect()}
+        gap.append(abs(s[1] - s[2]))
+        assert s[3] > s[4] + 0.2
+    assert gap[0] > 0.05 and gap[1] < 0.3 * gap[0]
