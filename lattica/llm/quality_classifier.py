@@ -28,7 +28,8 @@ from .common import table, written
 ORDER, QUANTILE, MIN_HELD = 5, 0.98, 30
 SENT_ROWS, SENT_MARKS = 3_000_000, 1_000_000
 _PAD = "\x02"
-_CHUNK = 1 << 22
+#: Characters that a task looks at together, and distinct windows that it holds before it lets them go: a worker needs some tens of MB.
+_CHUNK, _HELD = 1 << 19, 400_000
 _P = np.uint64(0x100000001B3)
 
 
@@ -36,7 +37,8 @@ def _hash(codes: np.ndarray) -> np.ndarray:
     n = len(codes) - ORDER + 1
     h = np.zeros(max(0, n), "u8")
     for j in range(ORDER):
-        h = (h ^ codes[j : j + n].astype("u8")) * _P
+        h ^= codes[j : j + n]
+        h *= _P
         h ^= h >> np.uint64(29)
     return h
 
@@ -67,31 +69,49 @@ def _rows(part) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     h = _hash(codes)
     at, starts, rows = 0, [], []
     for i, n in owner:
-        starts.append(np.arange(at, at + n))
-        rows.append(np.full(n, i))
+        starts.append(np.arange(at, at + n, dtype="i4"))
+        rows.append(np.full(n, i, "i4"))
         at += n + ORDER - 1
     starts, rows = np.concatenate(starts), np.concatenate(rows)
     return codes, h[starts], starts, rows
 
 
-def _grams(codes: np.ndarray, starts: np.ndarray) -> list[str]:
-    raw = codes[starts[:, None] + np.arange(ORDER)].tobytes().decode("utf-32-le", "surrogatepass")
+def _windows(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The code points of windows, a row each."""
+    return codes[starts[:, None] + np.arange(ORDER, dtype="i4")]
+
+
+def _grams(windows: np.ndarray) -> list[str]:
+    raw = windows.tobytes().decode("utf-32-le", "surrogatepass")
     return [raw[i : i + ORDER] for i in range(0, len(raw), ORDER)]
 
 
+def _summed(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct hash is, in order, and the sum of its counts."""
+    order = np.argsort(h)
+    s = h[order]
+    first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+    return order[first], np.add.reduceat(c[order], first)
+
+
 def count_grams(docs: DataFrame) -> DataFrame:
     """(g, c) of docs (text, train): every window once, with its count in the texts to learn from."""
 
     def run(batches):
+        held = np.zeros(0, "u8"), np.zeros(0, "i8"), np.zeros((0, ORDER), "u4")
         for pdf in batches:
             train = pdf["train"].to_numpy(bool)
             for part in _chunks(pdf["text"]):
                 codes, h, starts, rows = _rows(part)
-                order = np.argsort(h)
-                h = h[order]
-                first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-                c = np.add.reduceat(train[rows[order]].astype("i8"), first)
-                yield pd.DataFrame({"g": _grams(codes, starts[order[first]]), "c": c})
+                at, c = _summed(h, train[rows].astype("i8"))
+                h, c, w = (np.concatenate((x, y)) for x, y in zip(held, (h[at], c, _windows(codes, starts[at])), strict=True))
+                at, c = _summed(h, c)
+                held = h[at], c, w[at]
+                if len(at) > _HELD:
+                    yield pd.DataFrame({"g": _grams(held[2]), "c": held[1]})
+                    held = tuple(x[:0] for x in held)
+        if len(held[0]):
+            yield pd.DataFrame({"g": _grams(held[2]), "c": held[1]})
 
     return docs.select("text", "train").mapInPandas(run, "g string, c long").groupBy("g").agg(F.sum("c").alias("c"))
 
@@ -139,9 +159,9 @@ def perplexities(docs: DataFrame, resolved: DataFrame, *, sent_rows: int = SENT_
             for pdf in batches:
                 codes = np.frombuffer("".join(pdf["g"]).encode("utf-32-le", "surrogatepass"), "<u4")
                 h = _hash(codes)[::ORDER] if len(pdf) else np.zeros(0, "u8")
-                yield pd.DataFrame({"h": h.view("i8"), "lp": pdf["lp"].astype("f4")})
+                yield pd.DataFrame({"h": h.view("i8"), "lp": pdf["lp"]})
 
-        got = resolved.mapInPandas(hashed, "h long, lp float").toArrow()  # 12 bytes a row
+        got = resolved.mapInPandas(hashed, "h long, lp double").toArrow()  # 16 bytes a row
         h = got["h"].to_numpy().view("u8")
         order = np.argsort(h)
         sent = spark.sparkContext.broadcast((h[order], got["lp"].to_numpy()[order]))
@@ -175,7 +195,7 @@ def perplexities(docs: DataFrame, resolved: DataFrame, *, sent_rows: int = SENT_
                     first = np.flatnonzero(new)
                     n = np.diff(np.append(first, len(key)))
                     out = pdf[rest].iloc[rows[key[first]]].copy()
-                    out["g"] = _grams(codes, starts[key[first]])
+                    out["g"] = _grams(_windows(codes, starts[key[first]]))
                     out["n"] = n
                     yield out
 

@@ -376,3 +376,60 @@ def test_penalty_shrinks_the_gap_of_group_mentions(spark):
         gap.append(abs(s[1] - s[2]))
         assert s[3] > s[4] + 0.2
     assert gap[0] > 0.05 and gap[1] < 0.3 * gap[0]
+
+
+def kneser_ney(texts, n):
+    """Probability of the last character of a window of n: modified Kneser-Ney, straight from its definition."""
+    from collections import Counter
+
+    levels = {n: Counter(t[i : i + n] for t in ("\x02" * (n - 1) + t for t in texts) for i in range(len(t) - n + 1))}
+    for k in range(n - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+
+    def cut(k, c):
+        n1, n2, n3, n4 = (sum(v == i for v in levels[k].values()) for i in (1, 2, 3, 4))
+        if not n1 or not n2:
+            return 0.5
+        y, i = n1 / (n1 + 2 * n2), min(c, 3)
+        d = {1: 1 - 2 * y * n2 / n1, 2: 2 - 3 * y * n3 / n2, 3: 3 - 4 * y * n4 / n3 if n3 else 1.5}[i]
+        return min(max(d, 0.05), i - 1 + 0.95)
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / (len(levels[1]) + 1)
+        after = {x: c for x, c in levels[k].items() if x[:-1] == g[:-1]}
+        if not after:
+            return p(g[1:])
+        c, total = levels[k][g], sum(after.values())
+        return (max(c - cut(k, c), 0) if c else 0) / total + sum(cut(k, x) for x in after.values()) / total * p(g[1:])
+
+    return p
+
+
+def test_kneser_ney_brute_force(spark):
+    r = random.Random(11)
+    texts = ["".join(r.choice("aabc de") for _ in range(r.randrange(1, 40))) for _ in range(25)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)] + [(90, "zebra ade", "en"), (91, None, None)], "doc_id long, text string, lang string")
+    trusted = docs.where("doc_id < 20").select("doc_id")
+    model = kneser_ney([texts[i] for i in range(20) if zlib.crc32(str(i).encode()) % 5], quality_classifier.ORDER)
+    for sent in (quality_classifier.SENT_ROWS, -1):
+        got = {x["doc_id"]: x for x in quality_classifier.judge(docs, trusted, sent_rows=sent).collect()}
+        for i, t in [*enumerate(texts), (90, "zebra ade")]:
+            full = "\x02" * 4 + t
+            want = np.exp(-np.mean([np.log(model(full[k : k + 5])) for k in range(len(t))]))
+            assert got[i]["n_scored"] == len(t) and got[i]["perplexity"] == pytest.approx(want, rel=1e-9)
+        assert got[91]["perplexity"] is None and not got[91]["kept"]
+
+
+def test_window_counts_do_not_depend_on_chunks(spark, monkeypatch):
+    r = random.Random(12)
+    texts = ["".join(r.choice("ab cé\U0001f600") for _ in range(n)) for n in (0, 1, 4, 5, 300, 7)]
+    docs = spark.createDataFrame([(t, i % 2 == 0) for i, t in enumerate(texts)], "text string, train boolean").coalesce(1)
+    want = sorted(map(tuple, quality_classifier.count_grams(docs).collect()))
+    seen = {}
+    for i, t in enumerate(texts):
+        for k in range(len(t)):
+            g = ("\x02" * 4 + t)[k : k + 5]
+            seen[g] = seen.get(g, 0) + (i % 2 == 0)
+    assert want == sorted(seen.items())
