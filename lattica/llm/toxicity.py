@@ -11,7 +11,7 @@ of the id; features are read from whole texts, in tasks, and every row is scored
 the numbers of the features that take part and holds the weights. Labels, lang, source and ids are
 never features. Null and empty texts get the score of no features. Repeated rows get equal scores.
 Of labelled rows that share id and label, the text of the smallest hash counts; null labels are no
-labels. Without rows of both labels the score is the share of label 1, or 0 without any. Columns
+labels, and rows without an id are not learnt from. Without rows of both labels the score is the share of label 1, or 0 without any. Columns
 other than id, text and label are ignored, so their names cannot clash.
 """
 
@@ -103,15 +103,12 @@ def loss(w: np.ndarray, bias: float, x: Rows, gone: Rows, new: Rows, y: np.ndarr
     return value, x.back(err, d) + gone.back(pull, d) - new.back(pull, d) + decay * w, float(err.sum())
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], penalty: float = PENALTY, decay: float = DECAY, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Weights (of DIMS features) and bias from (features, features of the counterfactual, label)."""
-    y = np.array([r[2] for r in rows], "f8")
+def descend(x: Rows, gone: Rows, new: Rows, y: np.ndarray, penalty: float = PENALTY, decay: float = DECAY, steps: int = STEPS) -> tuple[np.ndarray, float]:
+    """Weights (of DIMS features) and bias of a small loss. x: features; gone, new: those that the counterfactual lacks and gains."""
     w, bias = np.zeros(DIMS), 0.0
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return w, float(np.log((share + 1e-4) / (1 - share + 1e-4)))
-    x = Rows([r[0] for r in rows])
-    gone, new = (Rows([np.setdiff1d(r[i], r[1 - i], assume_unique=True) for r in rows]) for i in (0, 1))
     m, v, mb, vb = np.zeros(DIMS), np.zeros(DIMS), 0.0, 0.0
     for t in range(1, steps + 1):
         _, g, gb = loss(w, bias, x, gone, new, y, penalty, decay)
@@ -123,24 +120,30 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], penalty: float = PENALTY
     return w, bias
 
 
-def sampled(labelled: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> DataFrame:
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], penalty: float = PENALTY, decay: float = DECAY, steps: int = STEPS) -> tuple[np.ndarray, float]:
+    """descend() for (features, features of the counterfactual, label)."""
+    gone, new = (Rows([np.setdiff1d(r[i], r[1 - i], assume_unique=True) for r in rows]) for i in (0, 1))
+    return descend(Rows([r[0] for r in rows]), gone, new, np.array([r[2] for r in rows], "f8"), penalty, decay, steps)
+
+
+def sampled(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> DataFrame:
     """(text, label) of up to ``sample`` ids of each label. Ids are chosen without their texts, so that only those of the sample move."""
-    order = F.xxhash64(F.lit("toxic"), F.col(f"`{id_col}`"))
-    rows = labelled.where(F.col(label_col).isin(0, 1)).withColumns({"__o": order, "__y": F.col(label_col).cast("int")})
-    keys = rows.select("__o", "__y").distinct()
+    own = text_col in labelled.columns
+    key, text = F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`")
+    rows = labelled.where(F.col(label_col).isin(0, 1)).select(key, F.col(label_col).cast("int").alias("label"), *[text.alias("text")] * own)
+    keys = rows.select("i", "label").where(F.col("i").isNotNull()).distinct()
+    if not own:
+        keys = keys.join(docs.select(key), "i", "left_semi")
     some = None
     for label in (0, 1):
-        part = keys.where(F.col("__y") == label).orderBy("__o").limit(sample)
+        part = keys.where(F.col("label") == label).orderBy(F.xxhash64(F.lit("toxic"), "i"), "i").limit(sample)
         some = part if some is None else some.unionByName(part)
-    some = F.broadcast(written(some, "toxic-sample"))  # at most 2 * sample pairs of numbers
-    text = F.col(f"`{text_col}`")
-    # the first join asks for ids alone, so it goes below the join of texts and labels
-    rows = rows.join(some.select("__o"), "__o", "left_semi")
-    of = rows.join(some, ["__o", "__y"], "left_semi").groupBy("__o", "__y").agg(F.min_by(text, F.xxhash64(text)).alias("text"))
-    return of.select("text", F.col("__y").alias("label")).repartition(READERS)
+    some = F.broadcast(written(some, "toxic-sample"))  # at most 2 * sample ids
+    found = rows.join(some, ["i", "label"], "left_semi") if own else docs.select(key, text.alias("text")).join(some, "i")
+    return found.groupBy("i", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "label").repartition(READERS)
 
 
-def learn(labelled: DataFrame, *, id_col: str, text_col: str, label_col: str, sample: int, groups, penalty: float) -> tuple[np.ndarray, float]:
+def learn(docs: DataFrame, labelled: DataFrame, *, id_col: str, text_col: str, label_col: str, sample: int, groups, penalty: float) -> tuple[np.ndarray, float]:
     """Weights of all features, and the bias."""
     swap = swaps(groups)
 
@@ -149,7 +152,7 @@ def learn(labelled: DataFrame, *, id_col: str, text_col: str, label_col: str, sa
         for pdf in batches:
             yield pd.DataFrame({"x": [features(t, memo) for t in pdf["text"]], "c": [features(t, memo, swap) for t in pdf["text"]], "label": pdf["label"]})
 
-    rows = written(sampled(labelled, id_col, text_col, label_col, sample).mapInPandas(read, "x array<int>, c array<int>, label int"), "toxic-features")
+    rows = written(sampled(docs, labelled, id_col, text_col, label_col, sample).mapInPandas(read, "x array<int>, c array<int>, label int"), "toxic-features")
     n = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         return fit([(np.zeros(0, "i4"), np.zeros(0, "i4"), y) for y in n], penalty)
@@ -165,18 +168,19 @@ def learn(labelled: DataFrame, *, id_col: str, text_col: str, label_col: str, sa
     def only(batches):
         mask = np.unpackbits(sent.value).view(bool)
         for pdf in batches:
-            for c in ("x", "c"):
-                pdf[c] = [v[mask[v]] for v in pdf[c]]
-            yield pdf
+            x, c = ([v[mask[v]] for v in pdf[k]] for k in ("x", "c"))
+            gone = [np.setdiff1d(a, b, assume_unique=True) for a, b in zip(x, c, strict=True)]
+            new = [np.setdiff1d(b, a, assume_unique=True) for a, b in zip(x, c, strict=True)]
+            yield pd.DataFrame({"x": x, "gone": gone, "new": new, "label": pdf["label"]})
 
-    got = rows.mapInPandas(only, rows.schema).toArrow()  # of 2 * sample rows at most, the features that take part
-    lists = [[x.values.to_numpy() for x in got[c]] for c in ("x", "c")]
-    return fit(list(zip(*lists, got["label"].to_pylist(), strict=True)), penalty)
+    got = rows.mapInPandas(only, "x array<int>, gone array<int>, new array<int>, label int").toArrow()  # of 2 * sample rows at most, the features that take part
+    x, gone, new = (Rows([v.values.to_numpy() for v in got[c]]) for c in ("x", "gone", "new"))
+    return descend(x, gone, new, got["label"].to_numpy().astype("f8"), penalty)
 
 
 def score_toxicity(docs: DataFrame, labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, groups=IDENTITY, penalty: float = PENALTY) -> DataFrame:
-    """id and score (0 to 1) of each row of docs; labelled: rows with id, text and label to learn from."""
-    w, bias = learn(labelled, id_col=id_col, text_col=text_col, label_col=label_col, sample=sample, groups=groups, penalty=penalty)
+    """id and score (0 to 1) of each row of docs; labelled: rows with id and label to learn from, and their own text unless it is that of docs."""
+    w, bias = learn(docs, labelled, id_col=id_col, text_col=text_col, label_col=label_col, sample=sample, groups=groups, penalty=penalty)
     sent = docs.sparkSession.sparkContext.broadcast((w.astype("f4"), bias))  # DIMS numbers
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -198,5 +202,5 @@ def op7_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     labels = table(spark, sf_dir, "labels").where(~held & F.col("toxic").isNotNull()).select("doc_id", "toxic")
-    scored = score_toxicity(docs, docs.join(labels, "doc_id"))
+    scored = score_toxicity(docs, labels)
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
