@@ -40,8 +40,8 @@ PARITY = 8
 #: Further sketches of every text: edits scattered over a fifth of the words leave 5-word shingles an
 #: overlap of 0.2, so 22 % of such pairs share one of 32 sketches of 3; of 3-word ones 0.34, and with 24 sketches of 2 it is 95 %.
 MORE_K, MORE_SKETCHES, MORE_PICKS = 3, 24, 2
-#: Texts of up to SHORT words have few shingles to pick from, so they get further sketches of shorter ones.
-SHORT, SHORT_K, SHORT_SKETCHES = 64, 2, 16
+#: Sketches of word pairs: FEW_WORDS over the words of a text, FEW_SKETCHES at most. Long texts would meet by chance in them and need none.
+FEW_K, FEW_SKETCHES, FEW_WORDS = 2, 16, 1024
 _WORDS = re.compile(SPLIT.replace("[", "[^", 1))
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -62,12 +62,22 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def _smallest(h: np.ndarray, top: int) -> np.ndarray:
+    """Where the ``top`` smallest entries of each row are; h is used up."""
+    out, rows = np.empty((len(h), top), "i8"), np.arange(len(h))
+    for j in range(top):
+        out[:, j] = h.argmin(axis=1)
+        h[rows, out[:, j]] = np.uint64(0xFFFFFFFFFFFFFFFF)
+    return out
+
+
 def order_minhash(words: np.ndarray, k: int = K, sketches: int = SKETCHES, picks: int = PICKS) -> np.ndarray:
     """One 64-bit value for each hash order; words: 64-bit hashes in text order."""
     n = max(1, len(words) - k + 1)
     g = np.zeros(n, "u8")
     for j in range(min(k, len(words))):
-        g = _mixed(g * _M + words[j : j + n] if len(words) >= k else g * _M + words[j : j + 1])
+        g *= _M
+        g += words[j : j + n] if len(words) >= k else words[j : j + 1]
     g = _mixed(g + occurrences(g) * _M)
     seeds = _mixed(np.arange(1, sketches + 1, dtype="u8") * _M)
     top = min(picks, n)
@@ -77,10 +87,11 @@ def order_minhash(words: np.ndarray, k: int = K, sketches: int = SKETCHES, picks
         h = (g[None, :] ^ seeds[lo : lo + step, None]) * np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
-        at = np.sort(np.argpartition(h, top - 1, axis=1)[:, :top] if top < n else np.tile(np.arange(n), (len(h), 1)), axis=1)
+        at = np.tile(np.arange(n), (len(h), 1)) if top == n else np.sort(_smallest(h, top), axis=1)
         for j in range(top):
-            out[lo : lo + step] = _mixed(out[lo : lo + step] * _M + g[at[:, j]])
-    return out
+            out[lo : lo + step] *= _M
+            out[lo : lo + step] += g[at[:, j]]
+    return _mixed(out)
 
 
 def distances(pairs: list[tuple[np.ndarray, np.ndarray]], most: list[int]) -> list[int]:
@@ -214,13 +225,13 @@ def sketches_of(codes: np.ndarray, k: int = K, sketches: int = SKETCHES, picks:
     if not len(codes):
         return np.zeros(0, "u8")
     own = [order_minhash(codes, k, sketches, picks), order_minhash(codes, MORE_K, MORE_SKETCHES, MORE_PICKS)]
-    if len(codes) <= SHORT:
-        own.append(order_minhash(codes, SHORT_K, SHORT_SKETCHES, picks))
+    if few := min(FEW_SKETCHES, FEW_WORDS // len(codes)):
+        own.append(order_minhash(codes, FEW_K, few, picks))
     return np.concatenate(own)
 
 
 def sketched(nodes: DataFrame, k: int = K, sketches: int = SKETCHES, picks: int = PICKS) -> DataFrame:
-    """(h, n, sketch, p0 ...) of (h, text); n: words."""
+    """(h, n, sketch, p) of (h, text); n: words; p: the parity map, a struct of longs."""
 
     def run(batches):
         memo = _Hashes()
@@ -235,7 +246,8 @@ def sketched(nodes: DataFrame, k: int = K, sketches: int = SKETCHES, picks: int
             bits = np.array(odd, "i8").reshape(len(pdf), PARITY)
             yield pd.DataFrame({"h": pdf["h"], "n": n, "sketch": sk} | {f"p{i}": bits[:, i] for i in range(PARITY)})
 
-    return nodes.mapInPandas(run, "h binary, n long, sketch array<long>, " + ", ".join(f"p{i} long" for i in range(PARITY)))
+    parts = [f"p{i}" for i in range(PARITY)]
+    return nodes.mapInPandas(run, "h binary, n long, sketch array<long>, " + ", ".join(f"{p} long" for p in parts)).select("h", "n", "sketch", F.struct(*parts).alias("p"))
 
 
 def _tokens(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -275,31 +287,31 @@ def aligned(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(run, "a binary, b binary")
 
 
-def components(links: DataFrame, jumps: int = 2) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(h, root) of links (a, b): one node of each component stands for all of its nodes.
 
-    Every step maps a node to the smallest one around it, follows the map a few times, and replaces
+    Every step maps a node to the smallest one around it, follows the map twice more, and replaces
     the links' ends by what they map to. Links inside a component so vanish, and what is left shrinks.
     """
     edges = written(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).where(F.col("a") != F.col("b")).distinct(), "links")
-    labels = edges.select(F.col("a").alias("h")).distinct().withColumn("root", F.col("h"))
+    labels, steps = edges.select(F.col("a").alias("h")).distinct().withColumn("root", F.col("h")), 0
     while not edges.isEmpty():
-        to = edges.groupBy(F.col("a").alias("h")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        for _ in range(jumps):
-            to = written(to, "hooks")
-            to = to.join(to.select(F.col("h").alias("m"), F.col("m").alias("n")), "m").select("h", F.col("n").alias("m"))
-        to = written(to, "hooks")
-        moved = labels.join(to.select(F.col("h").alias("root"), "m"), "root", "left").select("h", F.coalesce("m", "root").alias("root"))
-        labels = written(moved, "labels")
+        hook = written(edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "hooks")
+        of = lambda n: hook.select(F.col("a").alias(n), F.col("m").alias(f"{n}_"))  # noqa: B023, E731
+        to = written(of("h").join(of("h_"), "h_").join(of("h__"), "h__").select("h", F.col("h___").alias("m")), "hooked")
+        labels = labels.join(to.select(F.col("h").alias("root"), "m"), "root", "left").select("h", F.coalesce("m", "root").alias("root"))
+        steps += 1
         one = edges.join(to.select(F.col("h").alias("a"), F.col("m").alias("x")), "a").select("b", "x")
         two = one.join(to.select(F.col("h").alias("b"), F.col("m").alias("y")), "b")
         edges = written(two.where(F.col("x") != F.col("y")).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "links")
-    return labels
+        if steps % 3 == 0:
+            labels = written(labels, "labels")
+    return labels if steps % 3 == 0 else written(labels, "labels")
 
 
 def _named(df: DataFrame, to: str, **more: str) -> DataFrame:
-    """h, n and the parities of bucket members under names of their own."""
-    return df.select("i", "v", F.col("h").alias(to), F.col("n").alias(f"n{to}"), *[F.col(f"p{i}").alias(f"p{i}{to}") for i in range(PARITY)], *[F.col(v).alias(k) for k, v in more.items()])
+    """h, n and the parity map of bucket members under names of their own."""
+    return df.select("i", "v", F.col("h").alias(to), F.col("n").alias(f"n{to}"), F.col("p").alias(f"p{to}"), *[F.col(v).alias(k) for k, v in more.items()])
 
 
 def _most(similarity: float):
@@ -309,7 +321,7 @@ def _most(similarity: float):
 
 def _possible(similarity: float):
     """What every pair (a, b) that is similar enough fulfils: like lengths, and few odd differences."""
-    odd = sum((F.bit_count(F.col(f"p{i}a").bitwiseXOR(F.col(f"p{i}b"))) for i in range(PARITY)), F.lit(0))
+    odd = sum((F.bit_count(F.col(f"pa.p{i}").bitwiseXOR(F.col(f"pb.p{i}"))) for i in range(PARITY)), F.lit(0))
     return (F.least("na", "nb") >= F.lit(similarity - 1e-9) * F.greatest("na", "nb")) & (odd <= 2 * _most(similarity))
 
 
@@ -331,7 +343,7 @@ def components_of(nodes: DataFrame, *, k: int = K, sketches: int = SKETCHES, pic
     texts = written(nodes.join(bucket.select("h").distinct(), "h", "left_semi"), "bucket-texts")
     possible = _possible(similarity)
 
-    row = F.struct("h", "n", *[f"p{i}" for i in range(PARITY)])
+    row = F.struct("h", "n", "p")
     lead = bucket.groupBy("i", "v").agg(F.min(row).alias("l"))
     first = _named(lead.select("i", "v", "l.*"), "a").join(_named(bucket, "b"), ["i", "v"]).where((F.col("a") != F.col("b")) & possible)
     star = written(aligned(first.select("a", "b").distinct(), texts, similarity), "star-links")
