@@ -5,11 +5,20 @@ query's scores are added up in that form: every set bit of a query component con
 dimension's slices, shifted, and carry-save adders reduce all bitmaps of one weight. For negative
 components the complement is added and a constant taken off, so no sign is needed. The best rows
 are then selected from the most significant score slice downward; rows that tie at the boundary
-have equal scores and are resolved by id. Blocks give k rows for each query, merged at the end.
-
-Vectors that are null, hold null or non-finite components, or are not of the length most vectors
-have, take no part. Rows that repeat an id are candidates each, but never for a query of that id;
-a null id is no query. Fewer candidates than k give all of them. Components must be below 2**31.
+have equal scores and are resolved by id, and scores are read from the slices. Blocks give k rows
+for each query, merged at the end.
+
+A block's rows come to one task, are indexed once, and the queries stream past it; only where
+blocks are fewer than ``tasks``, a block goes to several tasks with a part of the queries each, so
+what is copied is bounded. Equal rows are one with a count of k at most before they are dealt.
+
+Vectors that are null or hold null or non-finite components take no part. A vector meets those of
+its own length only; it has no inner product with others. Rows that repeat an id are candidates
+each, but never for a query of that id; rows of a null id are candidates, the last ones on a tie,
+and no queries. Queries that repeat id and vector count once; those of one id with different
+vectors have k rows each. Fewer candidates than k give all of them; an empty table gives no rows.
+Components beyond 2**62 after scaling and scores beyond a long raise an error. Other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,20 +30,21 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-BLOCK, CHUNK, SCALE = 1 << 16, 256, 256
+#: Rows of a block, queries that are worth a task of their own, and tasks below which blocks are copied.
+BLOCK, CHUNK, TASKS, SCALE = 1 << 16, 256, 32, 256
 
 
 def quantised(vector: Column, scale: int = SCALE) -> Column:
-    """floor(scale * x) of every component, as array<long>; null if any is null or not finite."""
+    """floor(scale * x) of every component, as array<long>; null if any is null or not finite. Raises an error beyond 2**62."""
     double = F.transform(vector, lambda x: x.cast("double"))
     sound = ~F.exists(double, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(sound, F.transform(double, lambda x: F.floor(x * scale).cast("long")))
+    return F.when(sound, F.transform(double, lambda x: F.when(F.abs(x * scale) < float(1 << 62), F.floor(x * scale).cast("long")).otherwise(F.raise_error("a component is beyond 2**62").cast("long"))))
 
 
 def slices(x: np.ndarray) -> tuple[list[np.ndarray], int, int, int]:
     """x: (rows, dimensions). The bitmaps (bits, words) of each dimension of x - low, with low, bits and words."""
-    low = int(x.min())
-    bits = max(1, int(x.max() - low).bit_length())
+    low = int(x.min()) if x.size else 0
+    bits = max(1, (int(x.max()) - low).bit_length()) if x.size else 1
     words = -(-len(x) // 64)
     shifted = (x - low).astype("u8")
     out = []
@@ -107,60 +117,80 @@ def _rows(bitmap: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(bitmap.view("u1"), bitorder="little"))
 
 
-def search_block(ids: np.ndarray, x: np.ndarray, query_ids, queries: np.ndarray, k: int):
-    """(query id, id, score) of each query's k best rows of a block; ids ascend, so that ties resolve to the first rows."""
-    index, low, bits, words = slices(x)
-    every = np.packbits(np.pad(np.ones(len(x), "u1"), (0, words * 64 - len(x))), bitorder="little").view("u8")
-    out = []
-    for qid, q in zip(query_ids, queries, strict=True):
-        score, _ = added(index, bits, words, q)
-        alive = every
-        a, b = np.searchsorted(ids, qid, "left"), np.searchsorted(ids, qid, "right")
+class Block:
+    """The index of a block. ids ascend, so that ties resolve to the first rows; the last ``nulls`` rows have none."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, nulls: int = 0):
+        self.ids, self.n, self.own = ids, len(ids), ids[: len(ids) - nulls]
+        self.index, self.low, self.bits, self.words = slices(x)
+        self.every = np.packbits(np.pad(np.ones(len(x), "u1"), (0, self.words * 64 - len(x))), bitorder="little").view("u8")
+
+    def search(self, query_id: int, query: np.ndarray, k: int) -> list[tuple[int | None, int]]:
+        """(id, score) of the k best rows for a query."""
+        score, constant = added(self.index, self.bits, self.words, query)
+        constant += self.low * sum(query.tolist())
+        alive = self.every
+        a, b = np.searchsorted(self.own, query_id, "left"), np.searchsorted(self.own, query_id, "right")
         if a < b:
-            alive = every.copy()
+            alive = self.every.copy()
             for r in range(a, b):
                 alive[r >> 6] &= ~np.uint64(1 << (r & 63))
         sure, tied = select(score, alive, k)
         rows = _rows(sure)
-        left = k - len(rows)
-        if left > 0:
-            rows = np.concatenate((rows, _rows(tied)[:left]))
+        if len(rows) < k:
+            rows = np.concatenate((rows, _rows(tied)[: k - len(rows)]))
+        out = []
         for r in rows.tolist():
-            out.append((qid, int(ids[r]), int(x[r] @ q)))
-    return out
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, block: int = BLOCK, chunk: int = CHUNK, scale: int = SCALE) -> DataFrame:
+            value = constant + sum(1 << w for w, s in enumerate(score) if int(s[r >> 6]) >> (r & 63) & 1)
+            if not -(1 << 63) <= value < 1 << 63:
+                raise OverflowError(f"the score of {query_id} and {self.ids[r]} is beyond a long")
+            out.append((int(self.ids[r]) if r < len(self.own) else None, value))
+        return out
+
+
+def _search(batches, k: int):
+    """Rows (part, kind, none, id, v, n, qh), in order of part, kind, none and id: the vectors (kind 0) of a part, then its queries."""
+    part, held, block = None, [], None
+    for pdf in batches:
+        keys = list(zip(pdf["part"], pdf["dims"], strict=True))
+        out: dict[str, list] = {"query_id": [], "qh": [], "id": [], "score": []}
+        for key, kind, none, i, v, n, qh in zip(keys, pdf["kind"], pdf["none"], pdf["id"], pdf["v"], pdf["n"], pdf["qh"], strict=True):
+            if key != part:
+                part, held, block = key, [], None
+            if kind == 0:
+                held += [(i, v, none)] * n
+                continue
+            if block is None and held:
+                x = np.array([v for _, v, _ in held], "i8").reshape(len(held), len(v))
+                block = Block(np.array([i for i, _, _ in held], "i8"), x, sum(z for _, _, z in held))
+                held = [None]
+            for other, score in block.search(i, np.asarray(v, "i8"), k) if block else ():
+                out["query_id"].append(i)
+                out["qh"].append(qh)
+                out["id"].append(other)
+                out["score"].append(score)
+        yield pd.DataFrame(out | {"id": pd.array(out["id"], "Int64")})
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, block: int = BLOCK, chunk: int = CHUNK, tasks: int = TASKS, scale: int = SCALE) -> DataFrame:
     """(query_id, rank, <id>, score): the k rows of vectors with the largest integer inner product for each row of queries; ties to the smaller id."""
-    spark = vectors.sparkSession
-    take = lambda df: df.select(F.col(f"`{id_col}`").cast("long").alias("id"), quantised(F.col(f"`{vector_col}`"), scale).alias("v")).where(F.col("id").isNotNull() & (F.size("v") > 0))
-    index = written(take(vectors), "vectors")
-    sizes = index.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    schema = f"query_id long, rank int, {id_col} long, score long"
-    if sizes is None:
-        return spark.createDataFrame([], schema)
-    dims = sizes["n"]
-    index = index.where(F.size("v") == dims)
-    blocks = -(-sizes["count"] // block)
-    packed = lambda df, by: df.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("rows"))  # noqa: E731  of a bounded number of rows
-    stored = packed(index.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks))), "block")
-    asked = take(queries).where(F.size("v") == dims)
-    chunks = -(-asked.count() // chunk) or 1
-    asked = packed(asked.withColumn("chunk", F.pmod(F.xxhash64("id", "v"), F.lit(chunks))), "chunk").withColumnRenamed("rows", "asked")
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    met = asked.join(stored, "block").repartition(max(1, min(blocks * chunks, 1 << 20)), "block", "chunk")
-
-    def run(batches):
-        for pdf in batches:
-            for asked, rows in zip(pdf["asked"], pdf["rows"], strict=True):
-                ids = np.array([r["id"] for r in rows], "i8")
-                x = np.stack([np.asarray(r["v"], "i8") for r in rows])
-                q = np.stack([np.asarray(r["v"], "i8") for r in asked])
-                out = search_block(ids, x, [r["id"] for r in asked], q, k)
-                yield pd.DataFrame(out, columns=["query_id", "id", "score"])
-
-    best = met.select("asked", "rows").mapInPandas(run, "query_id long, id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    take = lambda df: df.select(F.col(f"`{id_col}`").cast("long").alias("id"), quantised(F.col(f"`{vector_col}`"), scale).alias("v")).where(F.col("v").isNotNull())
+    # of rows that are equal in id and vector, k at most can be among the k best
+    rows = written(take(vectors).groupBy("id", "v").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n")), "vectors")
+    asked = written(take(queries).where(F.col("id").isNotNull()).distinct(), "queries")
+    n, m = rows.count(), asked.count()
+    blocks = max(1, -(-n // block))
+    lanes = max(1, min(tasks // blocks, -(-m // chunk)))
+    hash_ = F.xxhash64("id", "v")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    own = rows.withColumn("b", F.pmod(hash_, F.lit(blocks))).withColumn("lane", every(lanes)).withColumn("kind", F.lit(0)).withColumn("qh", F.lit(0).cast("long"))
+    ask = asked.withColumn("lane", F.pmod(hash_, F.lit(lanes))).withColumn("qh", hash_).withColumn("b", every(blocks)).withColumn("kind", F.lit(1)).withColumn("n", F.lit(1))
+    both = own.unionByName(ask).select(
+        (F.col("b") * lanes + F.col("lane")).alias("part"), F.size("v").alias("dims"), "kind", F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("id"), "v", "n", "qh"
+    )
+    dealt = both.repartition(min(blocks * lanes, 1 << 16), "part").sortWithinPartitions("part", "dims", "kind", "none", "id")
+    best = dealt.mapInPandas(lambda batches: _search(batches, k), "query_id long, qh long, id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id", "qh").orderBy(F.desc("score"), F.col("id").asc_nulls_last()))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
@@ -173,12 +203,13 @@ ORACLE = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), q AS (SELECT DISTINCT vec_id, v FROM v WHERE vec_id % 50 = 0
 ), p AS (
-  SELECT q.vec_id AS query_id, c.vec_id,
-         list_sum(list_transform(list_zip(q.v, c.v), lambda t: t[1] * t[2]))::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+  SELECT q.vec_id AS query_id, q.v AS qv, c.vec_id,
+         coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda t: t[1] * t[2])), 0)::BIGINT AS score
+  FROM q JOIN v c ON q.vec_id IS DISTINCT FROM c.vec_id AND len(q.v) = len(c.v)
 ), r AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM p
+  SELECT *, row_number() OVER (PARTITION BY query_id, qv ORDER BY score DESC, vec_id NULLS LAST)::INT AS rank FROM p
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """

@@ -433,3 +433,95 @@ def test_window_counts_do_not_depend_on_chunks(spark, monkeypatch):
             g = ("\x02" * 4 + t)[k : k + 5]
             seen[g] = seen.get(g, 0) + (i % 2 == 0)
     assert want == sorted(seen.items())
+
+
+def test_search_of_odd_vectors(spark):
+    kind = "vec_id long, embedding array<double>, V string, part int, query_id int, score int"
+    few = [(1, [0.5, 1.0]), (1, [0.5, 1.0]), (None, [2.0, 2.0]), (3, [2.0, 2.0]), (4, [-1.0]), (5, []), (5, []), (6, []), (50, [1.0, 1.0]), (50, [1.0, 1.0]), (50, [-1.0, 0.0]), (100, [3.0]), (7, None), (8, [float("inf"), 0.0]), (9, [None, 1.0]), (150, [])]
+    df = spark.createDataFrame([(i, v, "x", 1, 1, 1) for i, v in few], kind)
+    sound = [(i, [int(np.floor(256 * c)) for c in v]) for i, v in few if v is not None and all(c is not None and np.isfinite(c) for c in v)]
+    for block in (1, 2, 64):
+        got = {}
+        for x in topk.top_k(df, df.where("vec_id % 50 = 0"), block=block, k=3).collect():
+            got.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"], x["score"]))
+        want = {}
+        for q, v in {(i, tuple(v)) for i, v in sound if i is not None and i % 50 == 0}:
+            s = [(-sum(a * b for a, b in zip(v, w, strict=True)), i is None, i or 0) for i, w in sound if len(w) == len(v) and i != q]
+            want.setdefault(q, []).extend((r, None if none else i, -s) for r, (s, none, i) in enumerate(sorted(s)[:3], 1))
+        assert {q: sorted(x, key=str) for q, x in got.items()} == {q: sorted(x, key=str) for q, x in want.items() if x}
+    assert topk.top_k(df.limit(0), df, k=2).count() == 0 == topk.top_k(df, df.limit(0)).count()
+    big = spark.createDataFrame([(50, [1e15]), (51, [1e15])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="beyond a long"):
+        topk.top_k(big, big.where("vec_id = 50")).collect()
+    far = spark.createDataFrame([(50, [1e17])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="beyond 2"):
+        topk.top_k(far, far).collect()
+    # scores near the ends of a long are exact
+    edge = spark.createDataFrame([(50, [11184810.0, -3.0]), (51, [11184810.5, 7.25]), (52, [-11184810.5, 7.25])], "vec_id long, embedding array<double>")
+    got = [(x["vec_id"], x["score"]) for x in topk.top_k(edge, edge.where("vec_id = 50")).orderBy("rank").collect()]
+    assert got == [(51, 2863311360 * 2863311488 - 768 * 1856), (52, -2863311360 * 2863311488 - 768 * 1856)]
+
+
+def mixed_by_hand(rows, seed=7):
+    """Words taken of each (id, size, source): the rule of the docstring, one document after the other."""
+    import hashlib
+
+    by: dict = {}
+    for i, size, s in rows:
+        by.setdefault(s, []).append((i, size))
+    names = sorted(by, key=lambda s: (s is None, s or ""))
+    total = {s: sum(z for _, z in by[s]) for s in names}
+    w = {s: (3.0, 1.0, 2.0)[k % 3] for k, s in enumerate(names)}
+    target, open_, left = {}, set(names), 1.5 * sum(total.values())
+    while over := [s for s in open_ if w[s] * left / sum(w[x] for x in open_) >= 2 * total[s]]:
+        for s in over:
+            target[s] = 2.0 * total[s]
+            open_.discard(s)
+        left = 1.5 * sum(total.values()) - sum(target.values())
+    target |= {s: w[s] * left / sum(w[x] for x in open_) for s in open_}
+    taken = {}
+    for s in names:
+        whole = int(target[s] / total[s] + 1e-12) if total[s] else 0
+        rest, p, some = target[s] - whole * total[s], {}, sorted(((z, i) for i, z in by[s] if z), reverse=True)
+        certain = 0
+        while certain < len(some):
+            slope = (rest - sum(z for z, _ in some[:certain])) / sum(z * z for z, _ in some[certain:])
+            if slope * some[certain][0] <= 1:
+                break
+            certain += 1
+        for k, (z, i) in enumerate(some):
+            p[i] = 1.0 if k < certain else slope * z
+        assert rest <= 0 or certain == len(some) or sum(p[i] * z for z, i in some) == pytest.approx(rest)
+        u = {i: ((int(hashlib.md5(f"{seed}:{i}".encode()).hexdigest()[:12], 16)) + 0.5) / 16**12 for _, i in some}
+        order = sorted((u[i] / (1 - u[i]) * ((1 - p[i]) / p[i]), i, z) for z, i in some) if rest > 0 else []
+        got, chosen = 0, set()
+        for _, i, z in order:
+            if got + z > rest:
+                break
+            got += z
+            chosen.add(i)
+        more = [(abs(rest - got - z), q, i) for q, i, z in order if i not in chosen]
+        if more and min(more)[0] < rest - got:
+            chosen.add(min(more)[2])
+        taken |= {i: z * (whole + (i in chosen)) for i, z in by[s]}
+    return taken, target
+
+
+def test_mix_brute_force(spark):
+    r = random.Random(21)
+    sizes = [(i, r.choice((0, 1, 3, 10, 30, 400)) if i % 50 else 3000, r.choice("aaaaabbcd") if i % 11 else None) for i in range(700)]
+    docs = spark.createDataFrame([(i, "w " * n, "en", s, 0) for i, n, s in sizes], DOCS)
+    want, target = mixed_by_hand(sizes)
+    rows = mixing.mix(docs).collect()
+    assert {x["doc_id"]: x["taken"] for x in rows} == want and all(x["target"] == pytest.approx(target[x["source"]]) for x in rows)
+    for s, t in target.items():  # one document of 3,000 words does not spoil a source
+        assert abs(sum(x["taken"] for x in rows if x["source"] == s) - t) <= 0.01 * t
+
+
+def test_mix_chooses_in_proportion_to_size(spark):
+    docs = spark.createDataFrame([(i, "w " * (10 if i % 2 else 90), "en", "one", 0) for i in range(2000)] + [(5000 + i, "w " * 100, "en", "two", 0) for i in range(3000)], DOCS)
+    more = {10: 0, 90: 0}
+    for x in mixing.mix(docs, weights=(1, 3), share=0.6).where("source = 'one'").collect():
+        more[x["size"]] += x["copies"]
+    # 60,000 words of 1 in 4: p is slope * size, so long ones are taken nine times as often
+    assert 6 < more[90] / more[10] < 13
