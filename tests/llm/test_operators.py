@@ -525,3 +525,77 @@ def test_mix_chooses_in_proportion_to_size(spark):
         more[x["size"]] += x["copies"]
     # 60,000 words of 1 in 4: p is slope * size, so long ones are taken nine times as often
     assert 6 < more[90] / more[10] < 13
+
+
+def _site(r, i):
+    menu = "".join(f"<li><a href='/{j}'>{words(r, 1)}</a></li>" for j in range(6))
+    story = "".join(f"<div>{words(r, r.randrange(20, 60))}</div>" for _ in range(r.randrange(1, 9)))
+    said = f"<body><ul>{menu}</ul><div class='x'>{words(r, 7)}</div><section><h1>Head {i}</h1>{story}</section><div class='y'>{words(r, 5)} <a href='/'>{words(r, 2)}</a></div></body>"
+    return said, "\n".join([f"Head {i}", *(x.removesuffix("</div>") for x in story.split("<div>")[1:])])
+
+
+def test_wrapper_finds_the_content_without_any_list(monkeypatch):
+    # neither class names nor kinds of elements say what is a menu here, and no word of it repeats
+    for name in ("NOISE", "MAIN", "DROPPED"):
+        monkeypatch.setattr(html_extract, name, frozenset())
+    r = random.Random(31)
+    pages, want = zip(*(_site(r, i) for i in range(40)), strict=True)
+    assert _texts(list(pages)) == list(want)
+    alone = [html_extract.extract(html_extract.parse(p), None) for p in pages]
+    assert all(a != w and w in a for a, w in zip(alone, want, strict=True))
+
+
+def test_one_odd_page_does_not_spoil_a_constant():
+    page = lambda i, note: f"<body><div><p>Story {i} as told</p><p>More {i}</p><div>{note}</div></div></body>"
+    got = _texts([page(i, "Sign up here" if i != 7 else "Nothing to see") for i in range(20)])
+    assert got[3] == "Story 3 as told\nMore 3" and got[7] == "Story 7 as told\nMore 7\nNothing to see"
+
+
+def test_wrappers_count_alike_in_any_order():
+    r = random.Random(32)
+    pages = [_site(r, i)[0] for i in range(30)]
+    texts = []
+    for _ in range(3):
+        r.shuffle(pages)
+        parts = []
+        for lo in range(0, 30, 7):
+            w = None
+            for p in pages[lo : lo + 7]:
+                own = html_extract.wrapper_of(p, html_extract.parse(p))
+                w = html_extract.merged(w, own) if w else own
+            parts.append(w)
+        whole = parts[0]
+        for w in parts[1:]:
+            whole = html_extract.merged(whole, w)
+        texts.append({p: html_extract.extract(html_extract.parse(p), whole) for p in pages})
+    assert texts[0] == texts[1] == texts[2]
+
+
+def test_deep_wide_and_broken_pages_give_rows(spark):
+    import time
+
+    deep, wide = "<div>" * 100_000 + "deep end", "<p>x" * 50_000
+    quotes, inline = '<a "' * 100_000, "<b>" * 50_000 + "<i></span></p><p>" * 20_000 + "end"
+    began = time.time()
+    pages = [deep, wide, quotes, inline, quotes + ">", "<p>a<b", "", "<div><p>one</div>two<script>if (a < b) {</script>", "<![CDATA[a<b]]>"]
+    df = spark.createDataFrame([(i, "http://odd.org/", p, 1, "x") for i, p in enumerate(pages)] + [(0, "http://odd.org/", deep, 1, "x"), (None, None, None, None, None)], "page_id long, url string, html string, id int, Host string")
+    got = {x["page_id"]: x for x in html_extract.extract_pages(df).collect()}
+    assert html_extract.extract_pages(df).count() == len(pages) + 2 and html_extract.extract_pages(df.limit(0)).count() == 0
+    assert time.time() - began < 120
+    assert got[0]["text"] == "deep end" and got[1]["text"] == "\n".join("x" * 50_000) and got[3]["text"].endswith("end")
+    assert [got[i]["text"] for i in (5, 6, 7, 8)] == ["a<b", "", "one\ntwo", "a<b"] and got[None]["n_chars"] == 0
+    assert got[2]["text"] == quotes and got[1]["n_chars"] == 99_999
+
+
+def test_simple_tree_matching_brute_force():
+    def largest(a, b):  # of two forests, straight from its definition
+        if not a or not b:
+            return 0
+        pair = 1 + largest(a[-1][3], b[-1][3]) if a[-1][0] == b[-1][0] else 0
+        return max(largest(a[:-1], b), largest(a, b[:-1]), largest(a[:-1], b[:-1]) + pair)
+
+    r = random.Random(33)
+    tree = lambda d: [r.choice("abc"), 0, 1, [tree(d - 1) for _ in range(r.randrange(4))] if d else [], 0]
+    for _ in range(60):
+        a, b = ([tree(2) for _ in range(r.randrange(5))] for _ in "ab")
+        assert html_extract.match(a, b)[0] == largest(a, b)
