@@ -26,10 +26,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPLIT, table, written
@@ -62,6 +63,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+@lru_cache
+def _seeds(n: int) -> np.ndarray:
+    return _mixed(np.arange(1, n + 1, dtype="u8") * _M)
+
+
 def _smallest(h: np.ndarray, top: int) -> np.ndarray:
     """Where the ``top`` smallest entries of each row are; h is used up."""
     out, rows = np.empty((len(h), top), "i8"), np.arange(len(h))
@@ -79,7 +85,7 @@ def order_minhash(words: np.ndarray, k: int = K, sketches: int = SKETCHES, picks
         g *= _M
         g += words[j : j + n] if len(words) >= k else words[j : j + 1]
     g = _mixed(g + occurrences(g) * _M)
-    seeds = _mixed(np.arange(1, sketches + 1, dtype="u8") * _M)
+    seeds = _seeds(sketches)
     top = min(picks, n)
     out = seeds.copy()
     step = max(1, 2_000_000 // n)
@@ -189,6 +195,9 @@ def limit(longer: int, similarity: float) -> int:
 
 def occurrences(words: np.ndarray) -> np.ndarray:
     """How often each entry occurred before."""
+    s = np.sort(words)
+    if not (s[1:] == s[:-1]).any():
+        return np.zeros(len(words), "u8")
     order = np.argsort(words, kind="stable")
     s = words[order]
     at = np.arange(len(s))
@@ -231,23 +240,32 @@ def sketches_of(codes: np.ndarray, k: int = K, sketches: int = SKETCHES, picks:
 
 
 def sketched(nodes: DataFrame, k: int = K, sketches: int = SKETCHES, picks: int = PICKS) -> DataFrame:
-    """(h, n, sketch, p) of (h, text); n: words; p: the parity map, a struct of longs."""
+    """(h, n, sketch, p) of (h, text), a row for each h; n: words; p: the parity map, a struct of longs."""
 
     def run(batches):
-        memo = _Hashes()
+        memo, seen = _Hashes(), set()
         for pdf in batches:
-            n, sk, odd = [], [], []
-            for text in pdf["text"]:
+            h, n, sk, odd = [], [], [], []
+            for key, text in zip(pdf["h"], pdf["text"], strict=True):
+                if key in seen:  # copies in one task are looked at once
+                    continue
+                if len(seen) > 200_000:
+                    seen.clear()
+                seen.add(key)
                 w = _WORDS.findall(text)
-                n.append(len(w))
-                codes = np.fromiter(map(memo.__getitem__, w), "u8", len(w))
-                odd.append(parities(codes))
-                sk.append(sketches_of(codes, k, sketches, picks).view("i8"))
-            bits = np.array(odd, "i8").reshape(len(pdf), PARITY)
-            yield pd.DataFrame({"h": pdf["h"], "n": n, "sketch": sk} | {f"p{i}": bits[:, i] for i in range(PARITY)})
+                if w:
+                    h.append(key)
+                    n.append(len(w))
+                    codes = np.fromiter(map(memo.__getitem__, w), "u8", len(w))
+                    odd.append(parities(codes))
+                    sk.append(sketches_of(codes, k, sketches, picks).view("i8"))
+            if h:
+                bits = np.array(odd, "i8").reshape(len(h), PARITY)
+                yield pd.DataFrame({"h": h, "n": n, "sketch": sk} | {f"p{i}": bits[:, i] for i in range(PARITY)})
 
     parts = [f"p{i}" for i in range(PARITY)]
-    return nodes.mapInPandas(run, "h binary, n long, sketch array<long>, " + ", ".join(f"{p} long" for p in parts)).select("h", "n", "sketch", F.struct(*parts).alias("p"))
+    out = nodes.mapInPandas(run, "h binary, n long, sketch array<long>, " + ", ".join(f"{p} long" for p in parts))
+    return out.select("h", "n", "sketch", F.struct(*parts).alias("p")).dropDuplicates(["h"])
 
 
 def _tokens(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -333,17 +351,20 @@ def _likely(similarity: float):
     return F.when(F.size(a) == F.size(b), odd(a, b)).when(F.size(a) > F.size(b), odd(half(a), b)).otherwise(odd(a, half(b))) <= 2 * _most(similarity)
 
 
-def components_of(nodes: DataFrame, *, k: int = K, sketches: int = SKETCHES, picks: int = PICKS, similarity: float = SIMILARITY) -> DataFrame:
-    """(h, root) of the nodes that have links; nodes: (h, text), each text once."""
-    sketch = written(sketched(nodes, k, sketches, picks).where(F.size("sketch") > 0), "sketches")
+def components_of(keyed: DataFrame, copies: DataFrame, *, k: int = K, sketches: int = SKETCHES, picks: int = PICKS, similarity: float = SIMILARITY) -> DataFrame:
+    """(h, root) of the texts that have links. keyed: (k, h, text), a row for each document; copies: (h, k), the document of each text that stands for it."""
+    sketch = written(sketched(keyed.select("h", "text"), k, sketches, picks), "sketches")
     dealt = sketch.select("h", F.posexplode("sketch").alias("i", "v"))
-    shared = dealt.groupBy("i", "v").agg(F.count("*").alias("c")).where(F.col("c") > 1).select("i", "v")
-    met = dealt.join(shared, ["i", "v"], "left_semi")
-    bucket = written(met.join(sketch.drop("sketch"), "h"), "buckets")
-    texts = written(nodes.join(bucket.select("h").distinct(), "h", "left_semi"), "bucket-texts")
+    shared = dealt.groupBy("i", "v").agg(F.count("*").alias("c")).where(F.col("c") > 1)
+    # a text that shares much with many is the better leader, and the same one in most buckets of a group
+    weight = F.sum("c").over(Window.partitionBy("h"))
+    bucket = written(dealt.join(shared, ["i", "v"]).join(sketch.select("h", "n", "p"), "h").select("h", "i", "v", "n", "p", weight.alias("w")), "buckets")
+    member = copies.join(bucket.select("h").distinct(), "h", "left_semi").select("h", "k")
+    # by h and k, so that copies of one text are in no one task
+    texts = written(keyed.join(member, ["h", "k"], "left_semi").groupBy("h", "k").agg(F.any_value("text").alias("text")).select("h", "text"), "bucket-texts")
     possible = _possible(similarity)
 
-    row = F.struct("h", "n", "p")
+    row = F.struct((-F.col("w")).alias("w"), "h", "n", "p")
     lead = bucket.groupBy("i", "v").agg(F.min(row).alias("l"))
     first = _named(lead.select("i", "v", "l.*"), "a").join(_named(bucket, "b"), ["i", "v"]).where((F.col("a") != F.col("b")) & possible)
     star = written(aligned(first.select("a", "b").distinct(), texts, similarity), "star-links")
@@ -369,18 +390,14 @@ def components_of(nodes: DataFrame, *, k: int = K, sketches: int = SKETCHES, pic
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """A row for each row of docs: id, h (digest of the text), class_id (smallest id of the class), class_size (rows), keep (the id and text that stay)."""
-    h = F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
-    keyed = docs.select(F.col(f"`{id_col}`").alias("id"), h.alias("h"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    keyed = docs.select(F.col(f"`{id_col}`").alias("id"), F.unhex(F.md5(text)).alias("h"), text.alias("text"))
     slim = written(keyed.select("id", "h"), "ids")
     named = F.struct(F.col("id").isNull().alias("none"), "id")
-    copies = written(slim.groupBy("h").agg(F.min(named).alias("least"), F.count("*").alias("n")), "copies")
-    # the text of each node: from the row with its least id
-    hot = copies.where(F.col("n") > 1).select("h", F.col("least.id").alias("least"))
-    once = keyed.join(hot.select("h"), "h", "left_anti").select("h", "text")
-    # equal ids and texts may repeat, so one row of each is taken
-    more = keyed.join(hot, "h").where(F.col("id").eqNullSafe(F.col("least"))).select("h", "text").dropDuplicates(["h"])
-    roots = components_of(once.unionByName(more), **how)
-    of = copies.join(roots, "h", "left").select("h", "least", "n", F.coalesce("root", "h").alias("root"))
+    copies = slim.groupBy("h").agg(F.min(named).alias("least"), F.count("*").alias("n"))
+    copies = written(copies.select("h", F.col("least.id").alias("least"), F.xxhash64("least.id").alias("k"), "n"), "copies")
+    roots = components_of(keyed.select(F.xxhash64("id").alias("k"), "h", "text"), copies, **how)
+    of = copies.join(roots, "h", "left").select("h", F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id")).alias("least"), "n", F.coalesce("root", "h").alias("root"))
     total = of.groupBy("root").agg(F.min(F.struct("least", "h")).alias("m"), F.sum("n").alias("class_size"))
     of = of.join(total, "root").select("h", F.col("m.least.id").alias("class_id"), F.col("m.h").alias("kh"), "class_size")
     keep = (F.col("h") == F.col("kh")) & F.col("id").eqNullSafe(F.col("class_id"))
