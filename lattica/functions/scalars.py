@@ -73,9 +73,32 @@ def line_count(text: Column) -> Column:
 
 
 def json_object(text: Column) -> Column:
-    """The JSON object in a noisy answer: the whole text, what a fence holds, or what lies between the outermost braces."""
-    tries = (F.trim(text), F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1), F.regexp_extract(text, r"(?s)(\{.*\})", 1))
-    return F.coalesce(*[F.when(F.get_json_object(t, "$").isNotNull() & t.startswith("{"), t) for t in tries])
+    """The JSON object in a noisy answer: the whole text, what a fence holds, or what the first brace and its own closing one hold."""
+    own, fenced = _balanced(text), _balanced(F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1))
+    valid = lambda t: F.when(F.try_parse_json(t).isNotNull(), t)
+    return F.coalesce(F.when(own == F.trim(text), valid(own)), valid(fenced), valid(own))
+
+
+def _balanced(text: Column) -> Column:
+    """From the first brace to the one that closes it; braces in quoted text don't count. Empty without such a pair."""
+    at = F.locate("{", text)
+    rest = F.substring(text, at, F.length(text))
+    # quoted text gives way to as many other characters, so that places stay
+    bare = F.array_join(F.transform(F.regexp_extract_all(rest, F.lit(r'(?s)("(?:[^"\\\\]|\\\\.)*"|[^"]+|")'), 1), lambda x: F.when(x.startswith('"'), F.repeat(F.lit("_"), F.length(x))).otherwise(x)), "")
+    closers = F.regexp_extract_all(bare, F.lit(r"([^{}]*[{}])"), 1)
+    state = F.struct(F.lit(0).alias("open"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+    step = lambda s, x: F.struct(
+        (s["open"] + F.when(x.endswith("{"), 1).otherwise(-1)).alias("open"),
+        (s["at"] + F.length(x)).alias("at"),
+        F.when((s["end"] == 0) & (s["open"] == 1) & x.endswith("}"), s["at"] + F.length(x)).otherwise(s["end"]).alias("end"),
+    )
+    end = F.aggregate(closers, state, step, lambda s: s["end"])
+    return F.when(at > 0, F.substring(rest, F.lit(1), end)).otherwise("")
+
+
+def repo_id(name: Column) -> Column:
+    """A repository's name as an id: lower case, other characters than letters, digits and - become -."""
+    return F.regexp_replace(F.lower(name), "[^a-z0-9-]", "-")
 
 
 def confidence(best_distance: Column) -> Column:

@@ -10,7 +10,7 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NODE_SCHEMA = "id string, type string, name string, props string, seq long"
@@ -46,16 +46,34 @@ class Graph:
     edges: DataFrame
 
 
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """df as a written table in the folder that the session shares, so that loops don't grow their plans and lost executors don't undo them."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share. A temporary one is made only where both are one process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lattica-"))
         root = spark.sparkContext.getCheckpointDir()
-    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    return root
+
+
+def cut(df: DataFrame, name: str = "step") -> DataFrame:
+    """df as a written table in the folder that the session shares, so that loops don't grow their plans and lost executors don't undo them."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more: what was made from them is written itself."""
+    for t in tables:
+        if path := getattr(t, "written_to", None):
+            p = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def node_id(kind: Column, path: Column, name: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import flow_name, slugify, stem
 from ..model import Graph
+from .names import name_contains_match
 
 #: Endings of class names that make a component.
 COMPONENT_SUFFIXES = (
@@ -115,14 +116,10 @@ def lineage_verb(name: Column) -> Column:
 
 
 def heuristic_lineage(functions: DataFrame, stores: DataFrame, fallback: int = 2) -> DataFrame:
-    """src, dst, type of functions (id, name) whose verb reads or writes and whose name holds a store's (id, name, seq); else the first stores.
-
-    Names are cut to words and word pairs, so stores are met by equality and not by a scan of all pairs.
-    """
+    """src, dst, type of functions (id, name) whose verb reads or writes and whose name holds a store's (id, name, seq); else the first stores."""
     f = functions.select("id", "name", lineage_verb(F.col("name")).alias("type")).where(F.col("type").isNotNull())
-    words = F.split(F.lower("name"), "_")
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), "_"))).otherwise(F.array().cast("array<string>"))))
-    hit = f.select("id", "type", F.explode(grams).alias("w")).join(stores.select(F.col("id").alias("dst"), F.lower("name").alias("w")), "w").select(F.col("id").alias("src"), "dst", "type").distinct()
+    held = name_contains_match(f.select("id", "name"), stores.select(F.col("id").alias("dst"), "name"), "dst")
+    hit = held.join(f.select("id", "type"), "id").select(F.col("id").alias("src"), "dst", "type").distinct()
     first = stores.orderBy("seq", "id").limit(fallback).select(F.col("id").alias("dst"))
     rest = f.join(hit.select(F.col("src").alias("id")), "id", "left_anti").join(F.broadcast(first), F.lit(True)).select(F.col("id").alias("src"), "dst", "type")
     return hit.union(rest)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import LINEAGE_TYPES, Graph, cut
+from .metrics import degree
 from .views import induced_subgraph
 
 
@@ -33,7 +36,7 @@ def _walk(steps: DataFrame, seeds: DataFrame, depth: int, keys: tuple[str, ...]
 
 def neighbors(g: Graph, seeds: DataFrame, *, depth: int = 1, edge_types=None, restrict_edges: bool = False) -> tuple[Graph, DataFrame]:
     """The undirected k-hop neighbourhood of seeds (column id), and the depths. Edges are all those among the nodes found, or only the types walked."""
-    found = _walk(_both(_typed(g.edges, edge_types)).distinct(), seeds, depth)
+    found = _walk(cut(_both(_typed(g.edges, edge_types)).distinct(), "steps"), seeds, depth)
     sub = induced_subgraph(g, found)
     return (Graph(sub.nodes, _typed(sub.edges, edge_types)) if restrict_edges else sub), found
 
@@ -48,7 +51,7 @@ def callgraph_bfs(g: Graph, seeds: DataFrame, depth: int = 2) -> tuple[Graph, Da
 
 def graph_expand(g: Graph, seeds: DataFrame, *, depth: int = 1, edge_types=None) -> Graph:
     """Union of every seed's own neighbourhood: an edge counts if both ends lie in one seed's."""
-    own = _walk(_both(_typed(g.edges, edge_types)).distinct(), seeds.select(F.col("id").alias("seed"), "id"), depth, ("seed",)).select("seed", "id")
+    own = _walk(cut(_both(_typed(g.edges, edge_types)).distinct(), "steps"), seeds.select(F.col("id").alias("seed"), "id"), depth, ("seed",)).select("seed", "id")
     a, b = own.select("seed", F.col("id").alias("src")), own.select("seed", F.col("id").alias("dst"))
     inner = g.edges.join(a, "src").join(b, ["seed", "dst"]).select("src", "dst", "type").distinct()
     return Graph(g.nodes.join(own.select("id").distinct(), "id", "left_semi"), g.edges.join(inner, ["src", "dst", "type"], "left_semi").select(*g.edges.columns))
@@ -57,7 +60,7 @@ def graph_expand(g: Graph, seeds: DataFrame, *, depth: int = 1, edge_types=None)
 def impact(g: Graph, sources: DataFrame, *, max_depth: int = 5, direction: str = "down") -> DataFrame:
     """id, depth, path of what sources reach along edges (down) or against them (up); unknown nodes stop a walk. Of shortest paths, the smallest."""
     steps = g.edges.select("src", "dst") if direction == "down" else g.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    steps = steps.distinct().join(g.nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
+    steps = cut(steps.distinct().join(g.nodes.select(F.col("id").alias("dst")), "dst", "left_semi"), "steps")
     seen = cut(sources.select("id").distinct().select("id", F.lit(0).alias("depth"), F.array("id").alias("path")), "impact")
     front = seen
     for d in range(1, max_depth + 1):
@@ -75,12 +78,26 @@ def impact_stats(g: Graph, reached: DataFrame) -> DataFrame:
     return typed.groupingSets([["type"], ["depth"], []], "type", "depth").agg(F.count("*").alias("n"), F.max("depth").alias("max_depth"))
 
 
-def detect_cycles(g: Graph, *, edge_types=("depends_on",), max_len: int = 8) -> DataFrame:
-    """length and path of every simple cycle of up to max_len edges, each once, from its smallest node."""
-    steps = cut(_typed(g.edges, edge_types).select("src", "dst").distinct().where(F.col("src") != F.col("dst")), "cycle-edges")
+def callgraph_focus(g: Graph, node_id: str, depth: int = 2) -> tuple[Graph, DataFrame]:
+    """The calls around a node, depth steps either way, and id, in_degree, out_degree of its nodes within."""
+    seed = g.nodes.where(F.col("id") == node_id).select("id")
+    found = _walk(cut(_both(_typed(g.edges, ("calls",))).distinct(), "steps"), seed, depth)
+    sub = induced_subgraph(g, found)
+    sub = Graph(sub.nodes, _typed(sub.edges, ("calls",)))
+    return sub, degree(sub)
+
+
+def detect_cycles(g: Graph, *, edge_types=("depends_on",), max_len: int | None = None) -> DataFrame:
+    """length and path of every simple cycle, each once, from its smallest node; of those of up to max_len edges if it is given.
+
+    Only nodes between cycles can lie on one, so others are peeled off before paths are grown.
+    """
+    core = cyclic_core(g, edge_types=edge_types)
+    steps = _typed(g.edges, edge_types).select("src", "dst").distinct().where(F.col("src") != F.col("dst"))
+    steps = cut(steps.join(core.select(F.col("id").alias("src")), "src", "left_semi").join(core.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst"), "cycle-edges")
     paths = steps.where(F.col("dst") > F.col("src")).select(F.col("src").alias("start"), F.col("dst").alias("at"), F.array("src", "dst").alias("path"))
     found = None
-    for n in range(2, max_len + 1):
+    for n in count(2) if max_len is None else range(2, max_len + 1):
         nxt = cut(paths.join(steps, paths["at"] == steps["src"]).where((F.col("dst") >= F.col("start")) & ((F.col("dst") == F.col("start")) | ~F.array_contains("path", F.col("dst")))), "cycles")
         closed = nxt.where(F.col("dst") == F.col("start")).select(F.lit(n).alias("length"), "path")
         found = closed if found is None else found.union(closed)

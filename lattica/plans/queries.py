@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..model import Graph, edge_key, node_id, parse_node_id
 from ..operators import derive as D
+from ..operators import components as C
 from ..operators import merge as M
 from ..operators import metrics as X
+from ..operators import names as N
 from ..operators import services as P
 from ..operators import symbols as Y
 from ..operators import traverse as T
@@ -77,7 +79,7 @@ def callgraph_view(spark, d):
     return _both(W.callgraph_view(events(spark, d)))
 
 
-@query(f"WITH {STAR}, e AS (SELECT * FROM edges WHERE type IN ('depends_on', 'reads', 'writes', 'produces', 'consumes')), n AS (SELECT * FROM nodes WHERE id IN (SELECT src FROM e UNION SELECT dst FROM e)){_BOTH}")
+@query(f"WITH {STAR}, e AS (SELECT * FROM edges WHERE type IN ('depends_on', 'reads', 'writes', 'produces', 'consumes')), t AS (SELECT src AS id FROM e UNION SELECT dst FROM e), n AS (SELECT nodes.* FROM nodes JOIN t USING (id)){_BOTH}")
 def lineage_view(spark, d):
     return _both(W.lineage_view(star(spark, d)))
 
@@ -189,13 +191,13 @@ def _metrics(g: Graph, steps: int = 5):
     return X.degree(g).join(X.pagerank(g, iterations=steps), "id")
 
 
-@query()
+@query(f"WITH {STAR}{_DEG}, {_pagerank_sql(5).replace(' SELECT id, round(r, 6) AS pagerank FROM r5', '')} SELECT id, name, round(round(r, 6) * 1000 + in_degree * 2 + out_degree, 6) AS score FROM nodes JOIN deg USING (id) JOIN r5 USING (id) WHERE type IN ('Service', 'Table') ORDER BY score DESC, seq, id LIMIT 40")
 def rank_functions(spark, d):
     g = star(spark, d)
     return X.rank_functions(g, _metrics(g), types=("Service", "Table"))
 
 
-@query()
+@query(f"WITH {EVENTS}{_DEG}, {_pagerank_sql(3).replace(' SELECT id, round(r, 6) AS pagerank FROM r3', '')}, k AS (SELECT src, dst, round(round(r, 6) * 1000 + in_degree, 6) AS score, row_number() OVER (PARTITION BY dst ORDER BY seq, src) AS k FROM edges JOIN deg ON deg.id = dst JOIN r3 ON r3.id = dst WHERE type = 'calls') SELECT src, dst, score, k FROM k WHERE k <= 3 ORDER BY score DESC, dst, k LIMIT 60")
 def sample_calls(spark, d):
     g = events(spark, d)
     return X.sample_calls(g, _metrics(g, 3))
@@ -274,18 +276,18 @@ def impact_upstream(spark, d):
     return T.impact(trade(spark, d), _seed(spark, "nation:0"), max_depth=4, direction="up").withColumn("path", F.array_join("path", ">"))
 
 
-@query()
+@query(f"WITH {STAR}, r AS (SELECT dst AS id, 1 AS depth FROM edges WHERE src = 'region:1' UNION SELECT b.dst, 2 FROM edges a JOIN edges b ON a.dst = b.src WHERE a.src = 'region:1' UNION SELECT c.dst, 3 FROM edges a JOIN edges b ON a.dst = b.src JOIN edges c ON b.dst = c.src WHERE a.src = 'region:1'), m AS (SELECT id, min(depth) AS depth FROM r GROUP BY id), t AS (SELECT m.*, type FROM m JOIN nodes USING (id)) SELECT type, depth, count(*) AS n, max(depth) AS max_depth FROM t GROUP BY GROUPING SETS ((type), (depth), ())")
 def impact_stats(spark, d):
     g = star(spark, d)
     return T.impact_stats(g, T.impact(g, _seed(spark, "region:1"), max_depth=3))
 
 
-@query("WITH RECURSIVE " + TRADE + ", c(start, tip, path) AS (SELECT src, dst, [src, dst] FROM edges WHERE dst > src UNION ALL SELECT start, dst, list_append(path, dst) FROM c JOIN edges ON src = tip WHERE tip <> start AND len(path) <= 5 AND (dst = start OR (dst > start AND NOT list_contains(path, dst)))) SELECT len(path) - 1 AS length, array_to_string(list_slice(path, 1, len(path) - 1), '>') AS path FROM c WHERE tip = start")
+@query("WITH RECURSIVE " + TRADE + ", c(start, tip, path) AS (SELECT src, dst, [src, dst] FROM edges WHERE dst > src UNION ALL SELECT start, dst, list_append(path, dst) FROM c JOIN edges ON src = tip WHERE tip <> start AND (dst = start OR (dst > start AND NOT list_contains(path, dst)))) SELECT len(path) - 1 AS length, array_to_string(list_slice(path, 1, len(path) - 1), '>') AS path FROM c WHERE tip = start")
 def detect_cycles(spark, d):
-    return T.detect_cycles(trade(spark, d), max_len=5).withColumn("path", F.array_join("path", ">"))
+    return T.detect_cycles(trade(spark, d)).withColumn("path", F.array_join("path", ">"))
 
 
-@query()
+@query("WITH RECURSIVE " + EVENTS + ", s AS (SELECT DISTINCT src, dst FROM edges WHERE type = 'calls' AND src <> dst), reach AS (SELECT src, dst FROM s UNION SELECT r.src, s.dst FROM reach r JOIN s ON r.dst = s.src), ring AS (SELECT src AS id FROM reach WHERE src = dst) SELECT DISTINCT s.src AS id FROM s WHERE s.src IN (SELECT id FROM ring) OR (s.src IN (SELECT r.dst FROM reach r JOIN ring ON r.src = ring.id) AND s.src IN (SELECT r.src FROM reach r JOIN ring ON r.dst = ring.id))")
 def cyclic_core(spark, d):
     return T.cyclic_core(events(spark, d), edge_types=("calls",))
 
@@ -295,7 +297,7 @@ def layering(spark, d):
     return T.layering(W.graph_summary(star(spark, d)))
 
 
-@query()
+@query(f"WITH {CONV} SELECT id, (row_number() OVER (PARTITION BY split_part(id, '.', 1) ORDER BY seq) - 1)::INT AS layer FROM nodes")
 def layering_turns(spark, d):
     return T.layering(A.conv_flow(spark, d))
 
@@ -408,7 +410,7 @@ def chunk_lines(spark, d):
     return FS.chunk_lines(A.doc_files(spark, d), 10)
 
 
-@query()
+@query("WITH RECURSIVE " + FILES + ", l AS (SELECT path, unnest(range(1, len(s) + 1)) AS i, unnest(s) AS line FROM (SELECT path, string_split(coalesce(content, ''), chr(10)) AS s FROM files)), w(path, i, start, n, size) AS (SELECT path, 1::BIGINT, 1::BIGINT, 1, strlen(line) + 1 FROM l WHERE i = 1 UNION ALL SELECT l.path, l.i, CASE WHEN w.size >= 2000 OR w.n >= 20 THEN l.i ELSE w.start END, CASE WHEN w.size >= 2000 OR w.n >= 20 THEN 1 ELSE w.n + 1 END, CASE WHEN w.size >= 2000 OR w.n >= 20 THEN 0 ELSE w.size END + strlen(line) + 1 FROM w JOIN l ON l.path = w.path AND l.i = w.i + 1) SELECT path, start::INT AS start_line, max(i)::INT AS end_line, string_agg(line, chr(10) ORDER BY i) AS code FROM w JOIN l USING (path, i) GROUP BY path, start")
 def chunk_stream(spark, d):
     return FS.chunk_stream(A.doc_files(spark, d), max_bytes=2000, max_lines=20)
 
@@ -421,11 +423,6 @@ def detect_module_roots(spark, d):
     return FS.detect_module_roots(marked).join(first, F.col("dir") == F.col("path")).select("path", "first")
 
 
-@query()
-def derive_structure(spark, d):
-    return _both(D.derive_structure(_scanned(spark, d)))
-
-
 # derivation
 
 
@@ -471,12 +468,23 @@ def type_annotation_match(spark, d):
     return Y.type_annotation_match(s, n)
 
 
-@query("SELECT 'f' || o_orderkey AS src, 'm' || CASE o_orderpriority[1] WHEN '1' THEN 1 WHEN '2' THEN 2 ELSE 3 END AS dst, CASE WHEN o_orderkey % 2 = 0 THEN 'reads' ELSE 'writes' END AS type FROM orders")
+@query("WITH f AS (SELECT 'f' || c_custkey AS id, CASE WHEN c_custkey % 10 = 9 THEN 'zz' ELSE lower(n_name) || 's_list' END AS name, CASE c_custkey % 3 WHEN 0 THEN 'reads' WHEN 1 THEN 'writes' END AS type FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 3 < 2), hit AS (SELECT f.id AS src, 'nation:' || n_nationkey AS dst, type FROM f JOIN nation ON contains(f.name, lower(n_name))) SELECT * FROM hit UNION ALL SELECT id, 'nation:' || k, type FROM f, (SELECT n_nationkey AS k FROM nation ORDER BY n_nationkey LIMIT 2) WHERE id NOT IN (SELECT src FROM hit)")
 def heuristic_lineage(spark, d):
-    k = F.when(F.substring("o_orderpriority", 1, 1) == "1", 1).when(F.substring("o_orderpriority", 1, 1) == "2", 2).otherwise(3).cast("string")
-    f = table(spark, d, "orders").select(F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("id"), F.concat(F.when(F.col("o_orderkey") % 2 == 0, "get").otherwise("save"), F.lit("_big_store"), k).alias("name"))
-    m = spark.createDataFrame([(f"m{i}", f"Store{i}", i) for i in (1, 2, 3)], "id string, name string, seq long")
-    return D.heuristic_lineage(f, m)
+    n = table(spark, d, "nation")
+    c = table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    verb = F.element_at(F.array(F.lit("get"), F.lit("save"), F.lit("count")), (F.col("c_custkey") % 3 + 1).cast("int"))
+    name = F.when(F.col("c_custkey") % 10 == 9, "zz").otherwise(F.concat(F.lower("n_name"), F.lit("s_list")))
+    f = c.select(F.concat(F.lit("f"), F.col("c_custkey").cast("string")).alias("id"), F.concat_ws("_", verb, name).alias("name"))
+    return D.heuristic_lineage(f, n.select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("name"), F.col("n_nationkey").cast("long").alias("seq")))
+
+
+@query("WITH x AS (SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN ' ' || n_name WHEN 1 THEN substr(n_name, 2, 4) WHEN 2 THEN lower(n_name) || ' table' ELSE 'zz ' || s_suppkey END AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey), k AS (SELECT DISTINCT name, lower(trim(name)) AS key FROM x), m AS (SELECT name, min(n_nationkey) FILTER (WHERE lower(n_name) = key) AS equal, min(n_nationkey) FILTER (WHERE contains(lower(n_name), key) OR contains(key, lower(n_name))) AS near FROM k, nation GROUP BY name), r AS (SELECT name, coalesce(equal, near) AS n FROM m) SELECT r.name, coalesce('nation:' || n, 'data_object:' || replace(key, ' ', '_')) AS id, n IS NULL AS minted FROM r JOIN k USING (name)")
+def partial_name_resolve(spark, d):
+    n = table(spark, d, "nation")
+    s = table(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    kind = F.col("s_suppkey") % 4
+    name = F.when(kind == 0, F.concat(F.lit(" "), "n_name")).when(kind == 1, F.substring("n_name", 2, 4)).when(kind == 2, F.concat(F.lower("n_name"), F.lit(" table"))).otherwise(F.concat(F.lit("zz "), F.col("s_suppkey").cast("string")))
+    return N.partial_name_resolve(s.select(name.alias("name")), n.select(F.col("n_name").alias("name"), F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_nationkey").alias("seq")))
 
 
 _CLASS = "CASE p_partkey % 5 WHEN 0 THEN 'PartController' WHEN 1 THEN 'PartService' WHEN 2 THEN 'PartRepo' WHEN 3 THEN 'PartEntity' ELSE 'Part' END || CASE WHEN p_partkey % 7 = 0 THEN 'Event' ELSE '' END"
@@ -526,13 +534,6 @@ def detect_broker(spark, d):
     return D.detect_broker(table(spark, d, "documents").select(F.concat("source", F.lit("/m")).alias("path"), lib.alias("module"), F.col("doc_id").alias("line")))
 
 
-@query()
-def event_graph(spark, d):
-    f = table(spark, d, "documents").select(F.concat("source", F.lit("/p.py")).alias("path"), F.concat(F.lit("p.send('t_"), "lang", F.lit("', m)")).alias("content"), F.lit("kafka").alias("broker")).distinct()
-    topics = D.extract_topics(f).withColumn("broker", F.lit("kafka"))
-    return _both(D.event_graph(topics, f.select("path", F.concat(F.lit("Component:"), "path").alias("id")).distinct()))
-
-
 @query("SELECT name, database FROM (SELECT DISTINCT c_mktsegment || '_REDIS_HOST' AS name, 'Redis' AS database FROM customer UNION SELECT DISTINCT c_mktsegment || '_POSTGRES_HOST', unnest(['PostgreSQL', 'Elasticsearch']) FROM customer)")
 def env_to_database(spark, d):
     seg = table(spark, d, "customer").select("c_mktsegment")
@@ -696,7 +697,7 @@ def node_text(spark, d):
 def rag_context(spark, d):
     g = star(spark, d)
     v = _vectors(spark, d).withColumn("id", F.concat(F.lit("part:"), F.col("id").cast("string")))
-    q = table(spark, d, "embeddings").where("vec_id % 250 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    q = table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "embedding")
     return V.rag_context(g, v, q)
 
 
@@ -721,3 +722,6 @@ def stream_type_counts(spark, d):
 def entry(spark, sf_dir):
     """Two hops around a nation: nodes and edges."""
     return neighbors(spark, sf_dir)
+
+
+from . import code_queries  # noqa: E402, F401  registers its queries

@@ -31,6 +31,16 @@ MARKERS = (
 IGNORE_DIRS_V2 = "node_modules dist build .git .vscode .idea coverage .next .nuxt out target bin obj __pycache__ .pytest_cache venv env".split()
 IGNORE_EXTENSIONS_V2 = ".lock .log .map .min.js .min.css".split()
 
+#: Languages of the second generation.
+LANGUAGES_V2 = {
+    ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".mjs": "javascript", ".cjs": "javascript",
+    ".py": "python", ".pyw": "python", ".java": "java", ".go": "go", ".rs": "rust",
+    ".c": "c", ".h": "c", ".cpp": "cpp", ".hpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".cs": "csharp", ".rb": "ruby", ".php": "php",
+    ".swift": "swift", ".kt": "kotlin", ".kts": "kotlin", ".scala": "scala", ".sh": "shell", ".bash": "shell", ".zsh": "shell", ".sql": "sql",
+    ".html": "html", ".htm": "html", ".css": "css", ".scss": "scss", ".sass": "sass", ".less": "less",
+    ".json": "json", ".yaml": "yaml", ".yml": "yaml", ".toml": "toml", ".xml": "xml", ".md": "markdown", ".mdx": "markdown",
+}
+
 
 def read_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """path (below root), content, size_bytes and last_modified of all files below a folder."""
@@ -57,6 +67,19 @@ def scan_files(files: DataFrame, *, languages=None, known=LANGUAGES, ignore_dirs
     return out.where(size <= max_bytes).select("path", "language", size.cast("long").alias("size_bytes"), line_count(text).cast("long").alias("line_count"), F.sha2(text, 256).alias("sha256"))
 
 
+def scan_files_v2(files: DataFrame) -> DataFrame:
+    """path, language, size_bytes of the files that the second generation's scan keeps: dot folders are not special, sizes not bounded, texts not hashed."""
+    dirs = F.split(parent_path(F.col("path")), "/")
+    kept = ~F.exists(dirs, lambda d: d.isin(IGNORE_DIRS_V2)) & ~extension(F.col("path")).isin(IGNORE_EXTENSIONS_V2)
+    lang = language_of(F.col("path"), LANGUAGES_V2)
+    return files.where(kept & lang.isNotNull()).select("path", lang.alias("language"), F.octet_length(F.coalesce("content", F.lit(""))).cast("long").alias("size_bytes"))
+
+
+def scan_totals(scanned: DataFrame) -> DataFrame:
+    """total_files, total_size of a scan; one row."""
+    return scanned.agg(F.count("*").alias("total_files"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("total_size"))
+
+
 def scan_directory(files: DataFrame, directory: str, limit: int = 50) -> DataFrame:
     return files.where(parent_path(F.col("path")) == directory).orderBy("path").limit(limit)
 

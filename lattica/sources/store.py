@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import EDGE_SCHEMA, NODE_SCHEMA, Graph
+from ..model import EDGE_SCHEMA, NODE_SCHEMA, Graph, cut, forget
 
 CATALOG = "graph_id string, repo_name string, graph_type string, node_count long, edge_count long, git_commit string, created_at timestamp"
 
@@ -30,15 +30,20 @@ def list_graphs(spark: SparkSession, root: str) -> DataFrame:
 
 
 def save_graph(g: Graph, root: str, graph_id: str, *, repo_name: str = "", graph_type: str = "code", git_commit: str = "") -> DataFrame:
-    """Stores a graph in place of one with its id, and its catalog row."""
+    """Stores a graph in place of one with its id, and its catalog row.
+
+    What is stored under the id goes only when the new nodes and edges are written in full, as they may be read from it.
+    """
     spark = g.nodes.sparkSession
     of = F.lit(graph_id).alias("graph_id")
+    nodes, edges = cut(g.nodes, "saved-nodes"), cut(g.edges, "saved-edges")
     delete_graph(spark, root, graph_id)
-    _put(g.nodes.select("*", of), f"{root}/nodes")
-    _put(g.edges.select("*", of), f"{root}/edges")
-    n = g.nodes.agg(F.count("*").alias("node_count")).crossJoin(g.edges.agg(F.count("*").alias("edge_count")))  # one row each
+    _put(nodes.select("*", of), f"{root}/nodes")
+    _put(edges.select("*", of), f"{root}/edges")
+    n = nodes.agg(F.count("*").alias("node_count")).crossJoin(edges.agg(F.count("*").alias("edge_count")))  # one row each
     row = n.select(F.lit(repo_name).alias("repo_name"), F.lit(graph_type).alias("graph_type"), "node_count", "edge_count", F.lit(git_commit).alias("git_commit"), F.current_timestamp().alias("created_at"), of)
     _put(row.coalesce(1), f"{root}/catalog")
+    forget(nodes, edges)
     return list_graphs(spark, root)
 
 
@@ -79,3 +84,23 @@ def reuse_results(wanted: DataFrame, stored: DataFrame) -> tuple[DataFrame, Data
     keys = ["repo", "commit_sha", "analyzer"]
     hits = stored.where(F.coalesce("commit_sha", F.lit("")) != "").join(wanted.select(*keys).distinct(), keys, "left_semi")
     return hits, wanted.join(hits.select(*keys), keys, "left_anti")
+
+
+RESULTS = "repo string, commit_sha string, analyzer string, result string"
+
+
+def put_results(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Stored results with new ones, which replace those of their keys; an empty sha is not kept."""
+    keys = ["repo", "commit_sha", "analyzer"]
+    kept = new.where(F.coalesce("commit_sha", F.lit("")) != "")
+    return stored.join(kept.select(*keys), keys, "left_anti").select(*stored.columns).unionByName(kept.select(*stored.columns))
+
+
+def invalidate_results(stored: DataFrame, repo: str) -> DataFrame:
+    """Stored results without those of a repository."""
+    return stored.where(~F.col("repo").eqNullSafe(F.lit(repo)))
+
+
+def result_stats(stored: DataFrame) -> DataFrame:
+    """analyzer, repos, results of what is stored."""
+    return stored.groupBy("analyzer").agg(F.countDistinct("repo").alias("repos"), F.count("*").alias("results"))

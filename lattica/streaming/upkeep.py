@@ -10,26 +10,62 @@ from ..model import EDGE_SCHEMA, NODE_SCHEMA
 from ..operators.merge import _one
 
 
-def stream_graph_upsert(nodes: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Keeps at target/<batch> versions of a node table: each batch's rows replace those of their ids. Read the last version with latest()."""
+#: Slots of a kept table; a batch rewrites those of its ids.
+SLOTS = 256
 
-    def put(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        old = latest(spark, target, NODE_SCHEMA, before=epoch)
-        both = old.withColumn("layer", F.lit(0)).unionByName(batch.select(*old.columns).withColumn("layer", F.lit(1)))
-        _one(both, ["id"], ["layer", "seq"], True).drop("layer").write.mode("overwrite").parquet(f"{target}/version={epoch}")
 
-    return nodes.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def stream_graph_upsert(rows: DataFrame, target: str, checkpoint: str, *, schema: str = NODE_SCHEMA, keys: tuple[str, ...] = ("id",), slots: int = SLOTS) -> StreamingQuery:
+    """Keeps at target a table of nodes, or of edges by src, dst and type: each batch's rows replace those of their keys. Read it with latest().
 
+    The table is dealt to slots by its keys. A batch writes new versions of the slots that it
+    touches, under its own number, so one that is run again writes the same; older versions of those
+    slots go two batches later, when no reader of the last one is left.
+    """
+    slot = F.pmod(F.xxhash64(*keys), F.lit(slots)).cast("int")
 
-def latest(spark, target: str, schema: str = NODE_SCHEMA, before: int | None = None) -> DataFrame:
-    """The newest version below target, or an empty table. A batch that is run again overwrites its own version."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(target)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
-    versions = [int(n.split("=")[1]) for n in names if n.startswith("version=")]
-    versions = [v for v in versions if before is None or v < before]
-    return spark.read.schema(schema).parquet(f"{target}/version={max(versions)}") if versions else spark.createDataFrame([], schema)
+    def put(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        new = batch.withColumn("slot", slot)
+        touched = [r["slot"] for r in new.select("slot").distinct().collect()]  # slots rows at most
+        if not touched:
+            return
+        old = latest(spark, target, schema, before=epoch, only=touched)
+        both = old.withColumn("layer", F.lit(0)).unionByName(batch.select(*old.columns).withColumn("layer", F.lit(1)))
+        kept = _one(both, list(keys), ["layer", "seq"], True).drop("layer").withColumn("slot", slot)
+        kept.repartition("slot").write.mode("overwrite").partitionBy("slot").parquet(f"{target}/version={epoch}")
+        _prune(spark, target, epoch - 1)
+
+    return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _versions(spark, target: str) -> dict[int, list[int]]:
+    """The versions of each slot, oldest first."""
+    out: dict[int, list[int]] = {}
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/version=*/slot=*")
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or []
+    for x in found:
+        version, slot = (int(s.split("=")[1]) for s in x.getPath().toString().rstrip("/").split("/")[-2:])
+        out.setdefault(slot, []).append(version)
+    return {s: sorted(v) for s, v in out.items()}
+
+
+def _prune(spark, target: str, before: int) -> None:
+    """Deletes versions of slots that had a newer one before a batch."""
+    for slot, versions in _versions(spark, target).items():
+        done = [v for v in versions if v < before]
+        for v in done[:-1]:
+            p = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/version={v}/slot={slot}")
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def latest(spark, target: str, schema: str = NODE_SCHEMA, before: int | None = None, only: list[int] | None = None) -> DataFrame:
+    """The newest version of every slot below target, or an empty table."""
+    paths = []
+    for slot, versions in _versions(spark, target).items():
+        versions = [v for v in versions if before is None or v < before]
+        if versions and (only is None or slot in only):
+            paths.append(f"{target}/version={versions[-1]}/slot={slot}")
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 def stream_edges_first(edges: DataFrame) -> DataFrame:

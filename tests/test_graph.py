@@ -3,15 +3,19 @@ from pyspark.sql import functions as F
 
 from lattica.functions import scalars as S
 from lattica.model import EDGE_SCHEMA, NODE_SCHEMA, Graph
+from lattica.operators import components as C
 from lattica.operators import derive as D
 from lattica.operators import merge as M
 from lattica.operators import metrics as X
+from lattica.operators import names as N
 from lattica.operators import services as P
 from lattica.operators import symbols as Y
 from lattica.operators import traverse as T
+from lattica.operators import vectors as V
 from lattica.operators import views as W
 from lattica.sources import files as FS
 from lattica.sources import store
+from lattica.streaming import upkeep as U
 
 
 def graph(spark, nodes, edges):
@@ -179,3 +183,81 @@ def test_k8s_containers_of_pods_and_init_containers(spark):
     pod = "kind: Pod\nmetadata:\n  name: one\nspec:\n  containers:\n    - image: job:2\n"
     got = D.scan_k8s(spark.createDataFrame([("k", f"{deployment}---\n{pod}")], "path string, content string"))
     assert rows(got.select("name", "image", "env").where("image is not null or env is not null")) == [("app", "redis:7", None), ("app", "wait:1", None), ("app", None, "A"), ("one", "job:2", None)]
+
+
+def test_a_graph_can_be_saved_over_itself(spark, tmp_path):
+    root = str(tmp_path / "g")
+    store.save_graph(graph(spark, "abc", [("a", "b", "calls")]), root, "g1", repo_name="One")
+    first = store.load_graph(spark, root, "g1")
+    store.save_graph(Graph(first.nodes.where("id <> 'c'"), first.edges), root, "g1", repo_name="One")
+    again = store.load_graph(spark, root, "g1")
+    assert [r["id"] for r in again.nodes.orderBy("id").collect()] == ["a", "b"] and again.edges.count() == 1
+    assert [(r["graph_id"], r["node_count"]) for r in store.list_graphs(spark, root).collect()] == [("g1", 2)]
+
+
+def test_names_hold_one_another(spark):
+    f = spark.createDataFrame([("f1", "get_users_list"), ("f2", "save_x"), ("f3", "compute"), ("f4", "find_db")], "id string, name string")
+    m = spark.createDataFrame([("m1", "User", 1), ("m2", "orders", 2), ("m3", "db", 3), ("m4", " ", 4)], "id string, name string, seq long")
+    assert rows(D.heuristic_lineage(f, m)) == [("f1", "m1", "reads"), ("f2", "m1", "writes"), ("f2", "m2", "writes"), ("f4", "m3", "reads")]
+    known = spark.createDataFrame([("Users table", "u", 1), ("Orders", "o", 2), ("users", "v", 3)], "name string, id string, seq long")
+    asked = spark.createDataFrame([(" USERS ",), ("user",), ("all orders",), ("new one",), ("  ",), (None,)], "name string")
+    assert rows(N.partial_name_resolve(asked, known)) == [(" USERS ", "v", False), ("all orders", "o", False), ("new one", "data_object:new_one", True), ("user", "u", False)]
+
+
+def test_json_objects_in_answers(spark):
+    said = ['x {"a": 1} then {b}', '{"a": {"b": "}"}} tail }', "no", None, '```json\n{"q": [1]}\n``` {z}', '{"a":1}', '{"a": "\\"}"} }', "{bad}"]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in said], "t string").select(S.json_object(F.col("t"))).collect()]
+    assert got == ['{"a": 1}', '{"a": {"b": "}"}}', None, None, '{"q": [1]}', '{"a":1}', '{"a": "\\"}"}', None]
+
+
+def test_long_cycles_are_found(spark):
+    ring = [chr(97 + i) for i in range(14)]
+    g = graph(spark, ring + ["x", "y"], [(a, b, "depends_on") for a, b in zip(ring, ring[1:] + ring[:1])] + [("x", "a", "depends_on"), ("c", "y", "depends_on"), ("b", "a", "depends_on")])
+    assert sorted((r["length"], "".join(r["path"])) for r in T.detect_cycles(g).collect()) == [(2, "aba"), (14, "".join(ring) + "a")] or sorted((r["length"], len(r["path"])) for r in T.detect_cycles(g).collect()) == [(2, 2), (14, 14)]
+
+
+def test_component_layer(spark):
+    classes = spark.createDataFrame([("p.py", "UserService", 1), ("p.py", "Plain", 2), ("q.py", "Two", 3), ("q.py", "OtherStore", 4)], "path string, name string, seq long")
+    functions = spark.createDataFrame([("p.py", "get", "UserService", 1), ("p.py", "x", "Plain", 2), ("p.py", "main", None, 3), ("q.py", "a", "Two", 4), ("q.py", "b", "Two", 5), ("q.py", "loose", None, 6)], "path string, name string, owner string, seq long")
+    g = C.component_graph(classes, functions)
+    assert sorted(r["name"] for r in g.nodes.where("type = 'Component'").collect()) == ["OtherStore", "Two", "UserService"]
+    assert sorted(r["name"] for r in g.nodes.where("type = 'Function'").collect()) == ["a", "b", "get", "loose", "main"]
+    held = {(r["component"].split(":")[-1], r["function"].split(":")[-1]) for r in C.func_to_component(g).collect()}
+    assert held == {("UserService", "UserService.get"), ("UserService", "main"), ("Two", "Two.a"), ("Two", "Two.b")}
+
+
+def test_callers(spark):
+    f = spark.createDataFrame([("f1", "run", "A", 1), ("f2", "run", "A", 2), ("f3", "run", "B", 3), ("f4", "only", None, 4), ("f5", "run", None, 5)], "id string, name string, owner string, seq long")
+    p = spark.createDataFrame([("m", "A", "run"), ("m", "Z", "only"), ("m", None, "run"), ("m", "Z", "run"), ("m", None, "none")], "path string, owner string, name string")
+    assert rows(C.resolve_caller(p, f).select("owner", "name", "dst")) == [("A", "run", "f2"), ("Z", "only", "f4"), ("Z", "run", "f1"), (None, "run", "f5")]
+
+
+def test_vector_search_brute_force(spark):
+    import random
+
+    r = random.Random(3)
+    vs = [(10**17 + i, [r.choice((0.0, 1.0, 2.5)) for _ in range(4)]) for i in range(150)] + [(1, None), (2, [1.0])]
+    v = spark.createDataFrame(vs, "id long, embedding array<float>")
+    q = spark.createDataFrame([("a", [1.0, 0.0, 0.0, 1.0]), ("b", [2.5] * 4)], "qid string, embedding array<float>")
+    for block in (16, 1 << 16):
+        got = {}
+        for x in V.vector_search(v, q, limit=7, block=block).collect():
+            got.setdefault(x["qid"], []).append((x["rank"], x["distance"], x["id"]))
+        for k, w in q.collect():
+            want = sorted((sum((a - b) ** 2 for a, b in zip(w, e)), i) for i, e in vs if e and len(e) == 4)[:7]
+            assert [(d, i) for _, d, i in sorted(got[k])] == want
+    assert V.vector_search(v.limit(0), q).count() == 0
+
+
+def test_stream_upserts_rewrite_their_slots_only(spark, tmp_path):
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    put = lambda k, some: spark.createDataFrame([(i, "Function", n, "{}", s) for i, n, s in some], NODE_SCHEMA).coalesce(1).write.parquet(f"{src}/{k}")
+    run = lambda: U.stream_graph_upsert(spark.readStream.schema(NODE_SCHEMA).option("recursiveFileLookup", True).parquet(str(src)), out, str(tmp_path / "cp"), slots=4).awaitTermination()
+    put(0, [(f"n{i}", "first", i) for i in range(40)])
+    run()
+    for k in range(1, 5):
+        put(k, [("n1", f"at {k}", 100 + k), (f"m{k}", "new", k)])
+        run()
+    got = {x["id"]: x["name"] for x in U.latest(spark, out).collect()}
+    assert got == {f"n{i}": "first" for i in range(40)} | {"n1": "at 4"} | {f"m{k}": "new" for k in range(1, 5)}
+    assert all(len(v) <= 3 for v in U._versions(spark, out).values())
