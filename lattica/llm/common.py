@@ -2,47 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..model import cut, forget
+
 #: The white space that ends a word: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 SPLIT = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+__all__ = ["SPACES", "SPLIT", "WORD", "forget", "table", "words", "written"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="lattica-")
-        spark.sparkContext.setCheckpointDir(named)
-        named = spark.sparkContext.getCheckpointDir()
-    return named
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: lineage ends there, and lost executors cost nothing before it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return cut(df, name)
 
 
 def words(text: Column) -> Column:
     """The words of a text; none for null and blank ones."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPLIT))
-
-
-def with_columns(df: DataFrame, **new: Column) -> DataFrame:
-    """df with new columns; one of the same name, in any case, gives way."""
-    low = {k.lower() for k in new}
-    return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in low], *[v.alias(k) for k, v in new.items()])

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPLIT, table, written
+from .common import SPLIT, forget, table, written
 
 K, SKETCHES, PICKS, SIMILARITY = 5, 32, 3, 0.8
 #: 64-bit words of the parity map.
@@ -321,7 +321,9 @@ def components(links: DataFrame) -> DataFrame:
         steps += 1
         one = edges.join(to.select(F.col("h").alias("a"), F.col("m").alias("x")), "a").select("b", "x")
         two = one.join(to.select(F.col("h").alias("b"), F.col("m").alias("y")), "b")
-        edges = written(two.where(F.col("x") != F.col("y")).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "links")
+        less = written(two.where(F.col("x") != F.col("y")).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "links")
+        forget(hook, *[edges] * (steps > 1))
+        edges = less
         if steps % 3 == 0:
             labels = written(labels, "labels")
     return labels if steps % 3 == 0 else written(labels, "labels")
@@ -337,10 +339,15 @@ def _most(similarity: float):
     return F.floor(F.lit(1 - similarity) * F.greatest("na", "nb") + 1e-6)
 
 
+def _odd_most(similarity: float):
+    """The most tokens that only one of a pair (a, b) has: ``most`` at most of the longer text, so as many less the difference of lengths of the shorter."""
+    return 2 * _most(similarity) - F.abs(F.col("na") - F.col("nb"))
+
+
 def _possible(similarity: float):
     """What every pair (a, b) that is similar enough fulfils: like lengths, and few odd differences."""
     odd = sum((F.bit_count(F.col(f"pa.p{i}").bitwiseXOR(F.col(f"pb.p{i}"))) for i in range(PARITY)), F.lit(0))
-    return (F.least("na", "nb") >= F.lit(similarity - 1e-9) * F.greatest("na", "nb")) & (odd <= 2 * _most(similarity))
+    return (F.least("na", "nb") >= F.lit(similarity - 1e-9) * F.greatest("na", "nb")) & (odd <= _odd_most(similarity))
 
 
 def _likely(similarity: float):
@@ -348,7 +355,7 @@ def _likely(similarity: float):
     half = lambda c: F.zip_with(F.slice(c, 1, (F.size(c) / 2).cast("int")), F.slice(c, (F.size(c) / 2).cast("int") + 1, (F.size(c) / 2).cast("int")), lambda x, y: x.bitwiseXOR(y))
     odd = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, u: s + u)
     a, b = F.col("xa"), F.col("xb")
-    return F.when(F.size(a) == F.size(b), odd(a, b)).when(F.size(a) > F.size(b), odd(half(a), b)).otherwise(odd(a, half(b))) <= 2 * _most(similarity)
+    return F.when(F.size(a) == F.size(b), odd(a, b)).when(F.size(a) > F.size(b), odd(half(a), b)).otherwise(odd(a, half(b))) <= _odd_most(similarity)
 
 
 def components_of(keyed: DataFrame, copies: DataFrame, *, k: int = K, sketches: int = SKETCHES, picks: int = PICKS, similarity: float = SIMILARITY) -> DataFrame:
@@ -385,7 +392,10 @@ def components_of(keyed: DataFrame, copies: DataFrame, *, k: int = K, sketches:
     one, two = _named(other, "a", ra="root", xa="wide", sa="sketch"), _named(other, "b", rb="root", xb="wide", sb="sketch")
     among = one.join(two, ["i", "v"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & passes).select("a", "b")
     late = written(aligned(across.union(among), texts, similarity), "late-links")
-    return roots if late.isEmpty() else components(star.unionByName(late))
+    if not late.isEmpty():
+        roots = components(star.unionByName(late))
+    forget(sketch, bucket, texts, star, mixed, crowd, maps, late)
+    return roots
 
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
