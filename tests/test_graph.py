@@ -213,7 +213,7 @@ def test_json_objects_in_answers(spark):
 def test_long_cycles_are_found(spark):
     ring = [chr(97 + i) for i in range(14)]
     g = graph(spark, ring + ["x", "y"], [(a, b, "depends_on") for a, b in zip(ring, ring[1:] + ring[:1])] + [("x", "a", "depends_on"), ("c", "y", "depends_on"), ("b", "a", "depends_on")])
-    assert sorted((r["length"], "".join(r["path"])) for r in T.detect_cycles(g).collect()) == [(2, "aba"), (14, "".join(ring) + "a")] or sorted((r["length"], len(r["path"])) for r in T.detect_cycles(g).collect()) == [(2, 2), (14, 14)]
+    assert sorted((r["length"], "".join(r["path"])) for r in T.detect_cycles(g).collect()) == [(2, "ab"), (14, "".join(ring))]
 
 
 def test_component_layer(spark):
