@@ -599,3 +599,55 @@ def test_simple_tree_matching_brute_force():
     for _ in range(60):
         a, b = ([tree(2) for _ in range(r.randrange(5))] for _ in "ab")
         assert html_extract.match(a, b)[0] == largest(a, b)
+
+
+def test_token_counts_brute_force(spark):
+    r = random.Random(51)
+    parts = ["ab", "é", "日本", " the", "\n", "\n\n", "x\n", " y", "\U0001f600", "'s", "  ", "<|endoftext|>"]
+    rows = [(i, "".join(r.choice(parts) for _ in range(r.randrange(0, 40)))) for i in range(60)] + [(60, None), (61, ""), (61, "")]
+    docs = spark.createDataFrame([(*x, 1, "z") for x in rows], "doc_id long, text string, section int, N_tokens string")
+    e = tokens.encoder(tokens.default_path())
+    for rule, cut in (("start", "\n"), ("end", "\n"), ("most", " "), ("start", "\n\n")):
+        got = sorted(tuple(x[:6]) for x in token_counts.count_tokens(docs, rule=rule, sections=cut).collect())
+        want = []
+        for i, t in rows:
+            t = t or ""
+            split = t.split(cut)
+            own = [x + cut for x in split[:-1]] + [split[-1]]
+            spans, at, chars = [], 0, 0
+            for x in own:
+                spans.append((at, at + len(x.encode()), chars, len(x)))
+                at, chars = at + len(x.encode()), chars + len(x)
+            n, crossing = [0] * len(own), [0] * len(own)
+            at = 0
+            for k in np.frombuffer(e.ids([t])[0], "<u4"):
+                size = e.byte_lengths()[k]
+                share = [max(0, min(b, at + size) - max(a, at)) for a, b, _, _ in spans]
+                hit = [s for s, x in enumerate(share) if x]
+                to = hit[0] if rule == "start" else hit[-1] if rule == "end" else share.index(max(share))
+                n[to] += 1
+                crossing[to] += len(hit) > 1
+                at += size
+            want += [(i, s, c, m, n[s], crossing[s]) for s, (_, _, c, m) in enumerate(spans)]
+        assert got == sorted(want)
+
+
+def test_near_duplicates_recall_brute_force(spark):
+    """Pairs at similarity 0.8 to 0.9, of every length on both sides of 64 words: at least nine in ten meet, and nothing else does."""
+    r = random.Random(61)
+    rows, pairs = [], []
+    for n in [12, 20, 30, 45, 60, 62, 64, 65, 66, 68, 70, 90, 130, 200] * 6:
+        a = words(r, n, 3000).split()
+        b = list(a)
+        for k in r.sample(range(n), max(1, int(n * r.choice((0.1, 0.15, 0.2))))):
+            b[k] = f"new{r.random()}"
+        pairs.append((len(rows), len(rows) + 1, n))
+        rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))]
+    got = {x["doc_id"]: x["class_id"] for x in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    linked = [(a, b, n) for a, b, n in pairs if lev(texts[a].split(), texts[b].split()) <= near_dedup.limit(n, 0.8)]
+    met = [(a, b, n) for a, b, n in linked if got[a] == got[b]]
+    assert len(linked) == len(pairs) and len(met) >= 0.9 * len(linked)
+    for some in ([x for x in linked if 60 <= x[2] <= 64], [x for x in linked if 65 <= x[2] <= 70]):
+        assert sum(got[a] == got[b] for a, b, _ in some) >= 0.85 * len(some)
+    assert all(got[a] == a for a, _, _ in pairs) and all(got[b] in (a, b) for a, b, _ in pairs)
