@@ -16,21 +16,24 @@ from pyspark.sql import functions as F
 NODE_SCHEMA = "id string, type string, name string, props string, seq long"
 EDGE_SCHEMA = "src string, dst string, type string, props string, seq long"
 
-#: The vocabularies that validation knows.
+#: Node types that validation knows.
 NODE_TYPES = (
     "Repository Module File Class Function Component Service API DataObject Table Event Topic Pipeline "
     "Cluster Database Layer Flow BusinessFlow Domain BoundedContext DomainEntity"
 ).split()
+#: Edge types that validation knows.
 EDGE_TYPES = (
     "contains defines calls depends_on implements reads writes produces consumes publishes subscribes deployed_on "
     "uses routes_to triggers belongs_to flow_step transforms part_of imports extends"
 ).split()
+#: Edge types of lineage, of events, of services.
 LINEAGE_TYPES = ("depends_on", "reads", "writes", "produces", "consumes")
 EVENT_TYPES = ("publishes", "routes_to", "consumes", "produces", "subscribes")
-SERVICE_EDGE_TYPES = ("deployed_on", "uses", "depends_on")
-#: Properties that nodes of a type must have.
+SERVICE_#: Fixed values: edge types that validation knows.
+EDGE_TYPES = ("deployed_on", "uses", "depends_on")
+#: Properties that nodes of a type must have.
 REQUIRED_PROPS = (("Layer", "layer_index"), ("BusinessFlow", "trigger"), ("DomainEntity", "entity_type"))
-#: Node types that each level of detail adds to those before it.
+#: Node types that each level of detail adds to those before it.
 LEVELS = (
     ("repository", ("Repository",)),
     ("module", ("Module",)),

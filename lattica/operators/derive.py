@@ -16,11 +16,14 @@ COMPONENT_SUFFIXES = (
     "Parser Builder Factory Generator Analyzer Detector Scanner Validator Resolver Client Gateway Router Broker Dispatcher Adapter "
     "Transformer Converter Middleware Controller Scheduler Loader Provider Publisher Subscriber Listener Emitter Reader Writer Pipeline"
 ).split()
+#: Parts of decorators of API functions.
 API_DECORATORS = (
     "route .get .post .put .delete .patch router.get router.post router.put router.delete app.get app.post app.put app.delete "
     "getmapping postmapping putmapping deletemapping requestmapping Get Post Put Delete Patch Controller api_view action"
 ).split()
+#: Stems of files that hold API functions.
 API_STEMS = "api routes router views endpoints controllers handlers".split()
+#: Leading verbs of functions, by what they do to data.
 VERBS = {
     "reads": "get find load fetch query read list search retrieve select lookup".split(),
     "writes": "save create insert update write put delete remove upsert store persist flush".split(),
@@ -34,14 +37,18 @@ LAYERS = (
     ("DataLayer", "repository repo dao store cache storage database db client gateway adapter mapper".split()),
     ("DomainLayer", "model entity aggregate valueobject vo domain schema dto".split()),
 )
+#: Parts of names of infrastructure.
 DOMAIN_SKIPPED = "repository repo dao store cache storage controller router view handler endpoint config configuration settings util utils helper mixin middleware serializer validator test mock stub fixture".split()
+#: Parts of names of domain classes, by kind.
 DOMAIN_KINDS = (
     ("value_object", "any", "vo valueobject value_object dto record address money email phone amount price quantity range period coordinate location".split()),
     ("domain_event", "end", "event message notification command query request response payload envelope".split()),
     ("domain_service", "end", "service manager engine calculator processor orchestrator coordinator factory builder".split()),
 )
+#: Endings of names of services, of APIs.
 ROLE_SUFFIXES = "Service Engine Manager Coordinator Orchestrator Gateway Facade UseCase".split()
 ROLE_API = "Controller Router View ViewSet Endpoint Resource Blueprint".split()
+#: Libraries of message brokers.
 BROKERS = (
     ("kafka", "kafka confluent_kafka aiokafka faust faust_streaming".split()),
     ("rabbitmq", "pika aio_pika kombu amqp celery".split()),
@@ -63,6 +70,7 @@ ENV_PATTERNS = (
     ("Redis", "REDIS_URL|REDIS_HOST|CACHE_URL"), ("Elasticsearch", "ELASTICSEARCH_URL|ES_HOST|ELASTIC_"),
     ("Cassandra", "CASSANDRA_HOST|CASSANDRA_URL"), ("RabbitMQ", "RABBITMQ_URL|AMQP_URL"), ("Kafka", "KAFKA_BROKERS|KAFKA_BOOTSTRAP"),
 )
+#: Base classes of database models.
 ORM_BASES = "Base Model BaseModel DeclarativeBase db.Model Document EmbeddedDocument SQLModel".split()
 
 

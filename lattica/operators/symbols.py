@@ -17,6 +17,7 @@ PATTERNS = {
     "java": ((r"^\s*(?:public|private|protected)?\s*(?:abstract\s+)?class\s+(\w+)", "class"), (r"^\s*(?:public|private|protected)?\s+\w+\s+(\w+)\s*\(", "func"), (r"^\s*import\s+([\w.]+)", "import")),
     "typescript": ((r"^(?:export\s+)?(?:abstract\s+)?class\s+(\w+)", "class"), (r"^(?:export\s+)?(?:async\s+)?function\s+(\w+)", "func"), (r"^import\s+.+\s+from\s+['\"](.+)['\"]", "import")),
 }
+#: First parts of imports that are no modules of a repository.
 JAVA_SKIPPED = ("java", "javax", "sun", "android")
 
 
