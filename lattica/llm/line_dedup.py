@@ -58,7 +58,8 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K)
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, lg_k: int = LG_K, counts: bool = False) -> DataFrame:
     """docs with cross-site boilerplate lines taken out of their texts; counts adds n_lines and n_removed (long), in place of columns so named."""
-    lines = _lines(docs, id_col, text_col, site_col, min_words)
+    # numbers alone, a small part of the texts: split and hashed once, read three times
+    lines = written(_lines(docs, id_col, text_col, site_col, min_words), "lines")
     found = boilerplate(lines, min_sites, lg_k)
     gone = (
         lines.select("a", "b", "d", "t", "pos")
