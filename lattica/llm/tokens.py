@@ -51,7 +51,8 @@ class Encoder:
         import tiktoken
 
         ranks = {bytes(of[c] for c in t): i for t, i in vocabulary.items() if i < 256 + len(merges)}
-        return tiktoken.Encoding("pieces", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        core = getattr(tiktoken.Encoding("pieces", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={}), "_core_bpe", None)
+        return getattr(core, "encode_single_piece", None)  # no public name; without it pieces go to the tokenizer
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
