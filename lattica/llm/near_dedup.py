@@ -24,16 +24,15 @@ repeat id and text, one stays. Columns other than id and text pass through.
 
 from __future__ import annotations
 
-import hashlib
-import re
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPLIT, forget, table, written
+from .common import forget, table, written
 
 K, SKETCHES, PICKS, SIMILARITY = 5, 32, 3, 0.8
 #: 64-bit words of the parity map.
@@ -43,7 +42,6 @@ PARITY = 8
 MORE_K, MORE_SKETCHES, MORE_PICKS = 3, 24, 2
 #: Sketches of word pairs: FEW_WORDS over the words of a text, FEW_SKETCHES at most. Long texts would meet by chance in them and need none.
 FEW_K, FEW_SKETCHES, FEW_WORDS = 2, 16, 1024
-_WORDS = re.compile(SPLIT.replace("[", "[^", 1))
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,9 +51,14 @@ class _Hashes(dict):
     def __missing__(self, word):
         if len(self) > 400_000:
             self.clear()
-        h = self[word] = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
+    def of(self, text: str) -> np.ndarray:
+        """The hashes of a text's words. Bytes are split at the very white space that ends a word."""
+        w = text.encode("utf-8", "surrogatepass").split()
+        return np.fromiter(map(self.__getitem__, w), "u8", len(w))
+
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
@@ -100,92 +103,58 @@ def order_minhash(words: np.ndarray, k: int = K, sketches: int = SKETCHES, picks
     return _mixed(out)
 
 
+def distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
+    """Edit distance of two sequences if it is at most ``most``, else most + 1."""
+    n = min(len(a), len(b))
+    ne = np.flatnonzero(a[:n] != b[:n])
+    head = int(ne[0]) if len(ne) else n
+    a, b, n = a[head:], b[head:], n - head
+    if n:
+        ne = np.flatnonzero(a[::-1][:n] != b[::-1][:n])
+        tail = int(ne[0]) if len(ne) else n
+        a, b = a[: len(a) - tail], b[: len(b) - tail]
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a) or len(b) - len(a) > most:
+        return min(len(b), most + 1)
+    return min(_banded(b.tolist(), a.tolist(), min(most, len(b))), most + 1)
+
+
 def distances(pairs: list[tuple[np.ndarray, np.ndarray]], most: list[int]) -> list[int]:
-    """Edit distance of each pair of sequences if it is at most its most, else that and one. Pairs are aligned many at once; bands widen only for those that need it."""
-    out = [0] * len(pairs)
-    todo = []
-    for p, ((a, b), limit_) in enumerate(zip(pairs, most, strict=True)):
-        n = min(len(a), len(b))
-        ne = np.flatnonzero(a[:n] != b[:n])
-        head = int(ne[0]) if len(ne) else n
-        a, b = a[head:], b[head:]
-        n -= head
-        if n:
-            ne = np.flatnonzero(a[::-1][:n] != b[::-1][:n])
-            tail = int(ne[0]) if len(ne) else n
-            a, b = a[: len(a) - tail], b[: len(b) - tail]
-        if len(a) > len(b):
-            a, b = b, a
-        if not len(a) or len(b) - len(a) > limit_:
-            out[p] = min(len(b), limit_ + 1)
-        else:
-            todo.append((p, a, b, limit_))
-    band = 16
-    while todo:
-        todo.sort(key=lambda x: -len(x[1]))
-        left, lo = [], 0
-        while lo < len(todo):
-            # so many pairs at once that the texts and the cells of a row stay small
-            hi = lo + max(1, min(256, 4_000_000 // (len(todo[lo][1]) + 2 * band + 2), 400_000 // (2 * band + 1)))
-            part = todo[lo:hi]
-            for x, d in zip(part, _banded([x[1] for x in part], [x[2] for x in part], band), strict=True):
-                if d <= band:
-                    out[x[0]] = min(d, x[3] + 1)
-                elif band >= x[3]:
-                    out[x[0]] = x[3] + 1
-                else:
-                    left.append(x)
-            lo = hi
-        todo, band = left, band * 4
-    return out
+    """distance() of each pair."""
+    return [distance(a, b, m) for (a, b), m in zip(pairs, most, strict=True)]
 
 
-def distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Edit distance of two sequences if it is at most ``most``, else most + 1."""
-    return distances([(a, b)], [most])[0]
-
-
-def _banded(left: list[np.ndarray], right: list[np.ndarray], k: int) -> list[int]:
-    """Edit distances within diagonals -k..k, for pairs in falling order of the left length, which is the shorter; over k: k + 1."""
-    size, w = len(left), 2 * k + 1
-    n, m = np.array([len(x) for x in left]), np.array([len(x) for x in right])
-    out = np.full(size, k + 1)
-    a = np.zeros((size, n[0]), "u8")
-    pad = np.zeros((size, n[0] + w + 1), "u8")
-    for p in range(size):
-        a[p, : n[p]] = left[p]
-        b = right[p][: n[0] + k]
-        pad[p, k + 1 : k + 1 + len(b)] = b
-    far, ramp = np.int32(1 << 28), np.arange(w, dtype="i4")
-    cells = np.tile(np.where(ramp >= k, ramp - k, far).astype("i4"), (size, 1))
-    rows = np.arange(size)
-    fits = m - n <= k
-    for i in range(1, n[0] + 1):
-        # cells beyond the end of the right text stay: nothing before it comes from them
-        new = cells + (pad[:, i : i + w] != a[:, i - 1 : i])
-        np.minimum(new[:, :-1], cells[:, 1:] + 1, out=new[:, :-1])
-        low = k - i
-        if low >= 0:
-            new[:, :low] = far
-            new[:, low] = i
-        new -= ramp
-        np.minimum.accumulate(new, axis=1, out=new)
-        new += ramp
-        if low > 0:
-            new[:, :low] = far
-        cells = new
-        done = n[rows] == i
-        stop = done.any()
-        if stop:
-            at = np.flatnonzero(done & fits[rows])
-            out[rows[at]] = cells[at, (m - n)[rows[at]] + k]
-        if stop or not i % 64:
-            alive = ~done & (cells.min(axis=1) <= k)
-            if not alive.all():
-                rows, cells, a, pad = rows[alive], cells[alive], a[alive], pad[alive]
-                if not len(rows):
-                    break
-    return np.minimum(out, k + 1).tolist()
+def _banded(down: list[int], across: list[int], k: int) -> int:
+    """Edit distance within the 2 * k + 1 diagonals around the main one, over k if it is more; down is the longer text.
+
+    A band's column is kept as the differences of cells one below the other, a bit each (Hyyrö's
+    form of Myers' bit vectors), in whole numbers of the band's width.
+    """
+    if not k:
+        return int(down != across)
+    width = 2 * k + 1
+    full, low = (1 << width) - 1, len(down) - k
+    at: dict[int, int] = {}
+    for i, w in enumerate(down):
+        at[w] = at.get(w, 0) | 1 << (i + k)
+    up, less = ((1 << (k + 1)) - 1) << k, 0  # where cells grow and shrink downwards
+    found, last, edge = k, 1 << (width - 1), 1 << (width - 2)
+    hopeless = 2 * k + len(across) - len(down)
+    for i, w in enumerate(across):
+        same = at.get(w, 0) >> i & full
+        level = ((((same & up) + up) & full) ^ up) | same | less  # cells equal to the one before on their diagonal
+        right, left = less | full & ~(level | up), level & up  # where cells grow and shrink to the right
+        if i < low:  # along the lowest diagonal, then along the last row
+            found += not level & last
+        else:
+            found += bool(right & edge) - bool(left & edge)
+            edge >>= 1
+        if found > hopeless:
+            return k + 1
+        level >>= 1
+        up, less = left | full & ~(level | right), level & right
+    return found
 
 
 def limit(longer: int, similarity: float) -> int:
@@ -221,9 +190,9 @@ def wide_maps(texts: DataFrame) -> DataFrame:
         for pdf in batches:
             maps = []
             for text in pdf["text"]:
-                w = _WORDS.findall(text)
+                w = memo.of(text)
                 longs = 1 << (max(PARITY, -(-len(w) // 8)) - 1).bit_length()
-                maps.append(parities(np.fromiter(map(memo.__getitem__, w), "u8", len(w)), longs))
+                maps.append(parities(w, longs))
             yield pd.DataFrame({"h": pdf["h"], "wide": maps})
 
     return texts.select("h", "text").mapInPandas(run, "h binary, wide array<long>")
@@ -252,11 +221,10 @@ def sketched(nodes: DataFrame, k: int = K, sketches: int = SKETCHES, picks: int
                 if len(seen) > 200_000:
                     seen.clear()
                 seen.add(key)
-                w = _WORDS.findall(text)
-                if w:
+                codes = memo.of(text)
+                if len(codes):
                     h.append(key)
-                    n.append(len(w))
-                    codes = np.fromiter(map(memo.__getitem__, w), "u8", len(w))
+                    n.append(len(codes))
                     odd.append(parities(codes))
                     sk.append(sketches_of(codes, k, sketches, picks).view("i8"))
             if h:
@@ -279,6 +247,18 @@ def _may_be(x: tuple, y: tuple, most: int) -> bool:
     return all(len(np.intersect1d(a, b, assume_unique=True)) >= max(len(a), len(b)) - most * k for k, (a, b) in enumerate(zip(x, y, strict=True), 1))
 
 
+def jump(a: np.ndarray, b: np.ndarray) -> int:
+    """Edits of the best alignment that leaves the main diagonal once, for the one that ends with both texts: the distance is that at most."""
+    if len(a) > len(b):
+        a, b = b, a
+    n, off = len(a), len(b) - len(a)
+    before = np.concatenate(([0], np.cumsum(a != b[:n])))
+    if not off:
+        return int(before[-1])
+    after = np.concatenate((np.cumsum((a != b[off:])[::-1])[::-1], [0]))
+    return int((before + after).min()) + off
+
+
 def aligned(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """(a, b) of the pairs that are similar enough."""
     left = texts.select(F.col("h").alias("a"), F.col("text").alias("x"))
@@ -289,17 +269,15 @@ def aligned(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
         for pdf in batches:
             for lo in range(0, len(pdf), 1000):
                 part = pdf.iloc[lo : lo + 1000]
-                known: dict[str, np.ndarray] = {}
-                for t in [*part["x"], *part["y"]]:
-                    if t not in known:
-                        w = _WORDS.findall(t)
-                        known[t] = np.fromiter(map(memo.__getitem__, w), "u8", len(w))
-                tokens = {t: _tokens(w) for t, w in known.items()}
+                known = {t: memo.of(t) for t in {*part["x"], *part["y"]}}
                 both = [(known[x], known[y]) for x, y in zip(part["x"], part["y"], strict=True)]
                 most = np.array([limit(max(len(x), len(y)), similarity) for x, y in both])
-                ok = np.array([_may_be(tokens[x], tokens[y], m) for x, y, m in zip(part["x"], part["y"], most, strict=True)], bool)
-                left = np.flatnonzero(ok)
-                ok[left] = np.array(distances([both[p] for p in left], most[left].tolist()), "i8") <= most[left]
+                # most links show in one look; of the others those are aligned that have enough in common
+                ok = np.array([jump(x, y) <= m for (x, y), m in zip(both, most, strict=True)], bool)
+                rest = np.flatnonzero(~ok)
+                tokens = {t: _tokens(known[t]) for t in {*part["x"].iloc[rest], *part["y"].iloc[rest]}}
+                rest = np.array([i for i in rest if _may_be(tokens[part["x"].iloc[i]], tokens[part["y"].iloc[i]], most[i])], "i8")
+                ok[rest] = np.array(distances([both[i] for i in rest], most[rest].tolist()), "i8") <= most[rest]
                 yield pd.DataFrame({"a": part["a"][ok], "b": part["b"][ok]})
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(run, "a binary, b binary")

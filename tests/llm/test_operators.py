@@ -651,3 +651,14 @@ def test_near_duplicates_recall_brute_force(spark):
     for some in ([x for x in linked if 60 <= x[2] <= 64], [x for x in linked if 65 <= x[2] <= 70]):
         assert sum(got[a] == got[b] for a, b, _ in some) >= 0.85 * len(some)
     assert all(got[a] == a for a, _, _ in pairs) and all(got[b] in (a, b) for a, b, _ in pairs)
+
+
+def test_one_jump_is_never_below_the_distance():
+    r = random.Random(71)
+    for _ in range(400):
+        a = [r.randrange(6) for _ in range(r.randrange(0, 30))]
+        b = [x for x in a if r.random() < 0.9] if r.random() < 0.7 else [r.randrange(6) for _ in range(r.randrange(0, 30))]
+        got = near_dedup.jump(np.array(a, "u8"), np.array(b, "u8"))
+        assert got >= lev(a, b)
+    x = np.arange(20, dtype="u8")
+    assert near_dedup.jump(x, np.delete(x, 7)) == 1 and near_dedup.jump(x, np.concatenate((x[:5], x[8:]))) == 3 and near_dedup.jump(x[:0], x) == 20
