@@ -78,6 +78,11 @@ def forget(*tables: DataFrame) -> None:
             p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Asks the driver to collect garbage: Spark lets shuffle files of finished steps go only then."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def node_id(kind: Column, path: Column, name: Column) -> Column:
     """``type:path:name``, deterministic; slashes at the path's ends go, odd characters of the name become _."""
     clean = F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), "^/+|/+$", "")
