@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import cut, forget
+from ..model import cut, forget, sweep
 
 #: The white space that ends a word: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 SPLIT = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["SPACES", "SPLIT", "WORD", "forget", "table", "words", "written"]
+__all__ = ["SPACES", "SPLIT", "WORD", "forget", "sweep", "table", "words", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, table, written
+from .common import forget, sweep, table, written
 
 K, SKETCHES, PICKS, SIMILARITY = 5, 32, 3, 0.8
 #: 64-bit words of the parity map.
@@ -344,15 +344,18 @@ def components_of(keyed: DataFrame, copies: DataFrame, *, k: int = K, sketches:
     # a text that shares much with many is the better leader, and the same one in most buckets of a group
     weight = F.sum("c").over(Window.partitionBy("h"))
     bucket = written(dealt.join(shared, ["i", "v"]).join(sketch.select("h", "n", "p"), "h").select("h", "i", "v", "n", "p", weight.alias("w")), "buckets")
+    sweep(keyed.sparkSession)
     member = copies.join(bucket.select("h").distinct(), "h", "left_semi").select("h", "k")
     # by h and k, so that copies of one text are in no one task
     texts = written(keyed.join(member, ["h", "k"], "left_semi").groupBy("h", "k").agg(F.any_value("text").alias("text")).select("h", "text"), "bucket-texts")
+    sweep(keyed.sparkSession)
     possible = _possible(similarity)
 
     row = F.struct((-F.col("w")).alias("w"), "h", "n", "p")
     lead = bucket.groupBy("i", "v").agg(F.min(row).alias("l"))
     first = _named(lead.select("i", "v", "l.*"), "a").join(_named(bucket, "b"), ["i", "v"]).where((F.col("a") != F.col("b")) & possible)
     star = written(aligned(first.select("a", "b").distinct(), texts, similarity), "star-links")
+    sweep(keyed.sparkSession)
     roots = components(star)
 
     member = bucket.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
@@ -370,6 +373,7 @@ def components_of(keyed: DataFrame, copies: DataFrame, *, k: int = K, sketches:
     one, two = _named(other, "a", ra="root", xa="wide", sa="sketch"), _named(other, "b", rb="root", xb="wide", sb="sketch")
     among = one.join(two, ["i", "v"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & passes).select("a", "b")
     late = written(aligned(across.union(among), texts, similarity), "late-links")
+    sweep(keyed.sparkSession)
     if not late.isEmpty():
         roots = components(star.unionByName(late))
     forget(sketch, bucket, texts, star, mixed, crowd, maps, late)
