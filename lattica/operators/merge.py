@@ -85,3 +85,9 @@ def validate_semantics(g: Graph) -> DataFrame:
 def validate_graph(g: Graph) -> DataFrame:
     """All issues: location, message, severity. A graph is valid if none is an error."""
     return validate_nodes(g).union(validate_edges(g)).union(validate_semantics(g))
+
+
+def graph_verdict(g: Graph) -> DataFrame:
+    """valid, errors, warnings: one row; a graph is valid if no issue is an error."""
+    of = lambda kind: F.count(F.when(F.col("severity") == kind, 1))
+    return validate_graph(g).agg((of("error") == 0).alias("valid"), of("error").alias("errors"), of("warning").alias("warnings"))

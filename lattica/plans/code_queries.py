@@ -18,7 +18,7 @@ from ..sources import files as FS
 from ..sources import store as R
 from ..streaming import upkeep as U
 from . import adapters as A
-from .adapters import EVENTS, FILES, STAR, table
+from .adapters import EVENTS, FILES, LINKS, STAR, table
 from .queries import _both, _BOTH, _drained, query
 
 
@@ -293,3 +293,25 @@ def _last_rank(steps: int, tol: str) -> str:
 @query("WITH " + A.TRADE + ", " + _last_rank(30, "1e-4"))
 def pagerank_to_tolerance(spark, d):
     return X.pagerank(A.trade_graph(spark, d), tol=1e-4)
+
+
+@query(f"WITH {STAR}, n AS (SELECT id, type, CASE WHEN type = 'Module' THEN lower(name) ELSE name END AS name FROM nodes WHERE type IN ('Module', 'Repository')), e AS (SELECT src, type, dst FROM edges WHERE src LIKE 'region:%'){_BOTH}")
+def load_and_merge(spark, d):
+    """A graph and a later version of its modules, stored apart and loaded as one."""
+    g, root = A.star_graph(spark, d), _root(spark)
+    edges = g.edges.where("src like 'region:%'")
+    R.save_graph(Graph(g.nodes.where("type in ('Module', 'Repository')"), edges), root, "first")
+    R.save_graph(Graph(g.nodes.where("type = 'Module'").withColumn("name", F.lower("name")), edges.limit(0)), root, "second")
+    return _both(R.load_and_merge(spark, root, ["first", "no such", "second"]))
+
+
+@query(f"WITH {STAR}, x AS (SELECT type, json_extract_string(props, '$.nation') AS module FROM nodes WHERE type IN ('Component', 'Service')), c AS (SELECT module, type, count(*) AS n FROM x GROUP BY ALL) SELECT 'cluster::module::' || module AS cluster_id, module AS key, sum(n)::BIGINT AS members, arg_min(type, (-n, type)) AS dominant_type, sum(n) > 50 AS collapsed FROM c GROUP BY module")
+def cluster_by_module(spark, d):
+    g = A.star_graph(spark, d)
+    nodes = g.nodes.where("type in ('Component', 'Service')").withColumn("module", F.get_json_object("props", "$.nation"))
+    return X.cluster_nodes(Graph(nodes, g.edges), by="module")
+
+
+@query(f"WITH {LINKS}, i AS (SELECT count(*) - count(DISTINCT id) AS n FROM nodes), w AS (SELECT count(*) FILTER (WHERE src = dst) AS loops, count(*) FILTER (WHERE dst NOT IN (SELECT id FROM nodes)) AS loose FROM edges) SELECT n + loose = 0 AS valid, (n + loose)::BIGINT AS errors, loops AS warnings FROM i, w")
+def graph_verdict(spark, d):
+    return M.graph_verdict(A.link_graph(spark, d))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import EDGE_SCHEMA, NODE_SCHEMA, Graph, cut, forget
+from ..operators.merge import merge_graphs
 
 CATALOG = "graph_id string, repo_name string, graph_type string, node_count long, edge_count long, git_commit string, created_at timestamp"
 
@@ -55,6 +56,18 @@ def load_graph(spark: SparkSession, root: str, graph_id: str) -> Graph | None:
     return Graph(read("nodes", NODE_SCHEMA), read("edges", EDGE_SCHEMA))
 
 
+def latest_graphs(spark: SparkSession, root: str, n: int = 20) -> DataFrame:
+    """The n newest catalog rows."""
+    return list_graphs(spark, root).limit(n)
+
+
+def load_and_merge(spark: SparkSession, root: str, graph_ids: list[str]) -> Graph:
+    """Stored graphs as one, in order: of nodes with an id, and of edges with src, dst and type, the last one stays. Unknown ids are passed over."""
+    found = [g for g in (load_graph(spark, root, i) for i in graph_ids) if g]
+    none = Graph(spark.createDataFrame([], NODE_SCHEMA), spark.createDataFrame([], EDGE_SCHEMA))
+    return merge_graphs(found or [none], edge_policy="last")
+
+
 def delete_graph(spark: SparkSession, root: str, graph_id: str) -> None:
     for what in ("nodes", "edges", "catalog"):
         p = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{what}/graph_id={graph_id}")
