@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..model import Graph, edge_key, node_id, parse_node_id
+from ..model import Graph, cut, edge_key, node_id, parse_node_id
 from ..operators import derive as D
 from ..operators import components as C
 from ..operators import merge as M
@@ -448,7 +448,7 @@ def extract_members(spark, d):
 
 @query("WITH " + CODE + " SELECT 'run_' || k AS src, 'run_' || o AS dst FROM near")
 def resolve_calls(spark, d):
-    m = Y.extract_members(A.code_corpus(spark, d))
+    m = cut(Y.extract_members(A.code_corpus(spark, d)), "members")  # parsed once, read for functions and for calls
     f = m.where("kind = 'function'").select(F.concat_ws(".", "owner", "name").alias("id"), "name", "owner", F.xxhash64("owner").alias("seq"))
     r = Y.resolve_calls(m.where("kind = 'call'").select(F.col("owner").alias("caller"), "receiver", F.col("name").alias("callee")), f)
     return r.select(F.element_at(F.split("src", r"\."), -1).alias("src"), F.element_at(F.split("dst", r"\."), -1).alias("dst"))
