@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_extract, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, token_counts, topk, toxicity
+from . import html_extract, line_dedup, mixing, near_dedup, packing, periodic_runs, quality_classifier, quality_rules, token_counts, topk, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         mixing.op8_mix_sources,
         topk.op9_exact_top_k,
         packing.op10_best_fit_packing,
+        periodic_runs.op11_periodic_runs,
     )
 }
 ORACLE_SQL = {
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op2_quality_rules": quality_rules.ORACLE,
     "op8_mix_sources": mixing.ORACLE,
     "op9_exact_top_k": topk.ORACLE,
+    "op11_periodic_runs": periodic_runs.ORACLE,
 }
