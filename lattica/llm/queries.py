@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_extract, line_dedup, mixing, near_dedup, packing, periodic_runs, quality_classifier, quality_rules, token_counts, topk, toxicity
+from . import decontaminate, html_extract, line_dedup, mixing, near_dedup, packing, periodic_runs, quality_classifier, quality_rules, token_counts, topk, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -18,6 +18,7 @@ QUERIES = {
         topk.op9_exact_top_k,
         packing.op10_best_fit_packing,
         periodic_runs.op11_periodic_runs,
+        decontaminate.op12_benchmark_decontamination,
     )
 }
 ORACLE_SQL = {
@@ -26,4 +27,5 @@ ORACLE_SQL = {
     "op8_mix_sources": mixing.ORACLE,
     "op9_exact_top_k": topk.ORACLE,
     "op11_periodic_runs": periodic_runs.ORACLE,
+    "op12_benchmark_decontamination": decontaminate.ORACLE,
 }
