@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, line_dedup, mixing, near_dedup, packing, periodic_runs, quality_classifier, quality_rules, token_counts, topk, toxicity
+from . import decontaminate, html_extract, lexical_search, line_dedup, mixing, near_dedup, packing, periodic_runs, quality_classifier, quality_rules, token_counts, topk, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -19,6 +19,7 @@ QUERIES = {
         packing.op10_best_fit_packing,
         periodic_runs.op11_periodic_runs,
         decontaminate.op12_benchmark_decontamination,
+        lexical_search.op13_ranked_search,
     )
 }
 ORACLE_SQL = {
@@ -28,4 +29,5 @@ ORACLE_SQL = {
     "op9_exact_top_k": topk.ORACLE,
     "op11_periodic_runs": periodic_runs.ORACLE,
     "op12_benchmark_decontamination": decontaminate.ORACLE,
+    "op13_ranked_search": lexical_search.ORACLE,
 }
