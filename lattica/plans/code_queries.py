@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..model import NODE_SCHEMA, Graph, shared_dir
+from ..model import NODE_SCHEMA, Graph
 from ..operators import components as C
 from ..operators import derive as D
 from ..operators import merge as M
@@ -19,7 +19,7 @@ from ..sources import store as R
 from ..streaming import upkeep as U
 from . import adapters as A
 from .adapters import EVENTS, FILES, LINKS, STAR, table
-from .queries import _both, _BOTH, _drained, query
+from .queries import _both, _BOTH, _root, query
 
 
 def _code(spark, d):
@@ -177,10 +177,6 @@ def vector_delete(spark, d):
 # stored graphs and results
 
 
-def _root(spark):
-    return f"{shared_dir(spark)}/graphs-{uuid.uuid4().hex}"
-
-
 @query(f"WITH {STAR}, n AS (SELECT * FROM nodes WHERE type = 'Module'), e AS (SELECT * FROM edges WHERE type = 'contains' AND src LIKE 'region:%'){_BOTH}")
 def save_and_load_graph(spark, d):
     """Two graphs are stored, one of them again from what is stored of it, and one goes."""
@@ -193,55 +189,112 @@ def save_and_load_graph(spark, d):
     return _both(R.load_graph(spark, root, "one"))
 
 
-@query("SELECT 'g' || r_regionkey AS graph_id, r_name AS repo_name, count(n_nationkey) AS node_count, 0::BIGINT AS edge_count FROM region JOIN nation ON n_regionkey = r_regionkey WHERE contains(lower(r_name), 'a') AND r_regionkey <> 2 GROUP BY ALL")
-def list_graphs(spark, d):
-    """A graph for each of three regions is stored, and those whose repository has an a are listed."""
+def _regions(spark, d):
+    """A stored graph for each of four regions: its nations, and edges from the region to them; one is stored again without edges, one is deleted."""
     root, n = _root(spark), table(spark, d, "nation")
     nodes = n.select(F.col("n_name").alias("id"), F.lit("Module").alias("type"), F.col("n_name").alias("name"), F.lit("{}").alias("props"), F.col("n_nationkey").cast("long").alias("seq"), "n_regionkey")
-    none = spark.createDataFrame([], "src string, dst string, type string, props string, seq long")
-    for r in table(spark, d, "region").where("r_regionkey <> 2").collect():  # five rows
-        R.save_graph(Graph(nodes.where(F.col("n_regionkey") == r["r_regionkey"]).drop("n_regionkey"), none), root, f"g{r['r_regionkey']}", repo_name=r["r_name"])
-    return R.search_graphs_by_repo(spark, root, "A").select("graph_id", "repo_name", "node_count", "edge_count")
+    edges = n.select(F.concat(F.lit("region:"), F.col("n_regionkey").cast("string")).alias("src"), F.col("n_name").alias("dst"), F.lit("contains").alias("type"), F.lit("{}").alias("props"), F.col("n_nationkey").cast("long").alias("seq"), "n_regionkey")
+    for r in table(spark, d, "region").where("r_regionkey <> 2").orderBy("r_regionkey").collect():  # five rows
+        own = F.col("n_regionkey") == r["r_regionkey"]
+        g = Graph(nodes.where(own).drop("n_regionkey"), edges.where(own).drop("n_regionkey"))
+        R.save_graph(g, root, f"g{r['r_regionkey']}", repo_name=r["r_name"])
+        if r["r_regionkey"] == 1:
+            R.save_graph(Graph(g.nodes, g.edges.limit(0)), root, "g1", repo_name=r["r_name"])
+    R.delete_graph(spark, root, "g4")
+    return root
+
+
+@query("SELECT 'g' || r_regionkey AS graph_id, r_name AS repo_name, count(n_nationkey) AS node_count, CASE WHEN r_regionkey <> 1 THEN count(n_nationkey) ELSE 0 END AS edge_count FROM region JOIN nation ON n_regionkey = r_regionkey WHERE contains(lower(r_name), 'a') AND r_regionkey NOT IN (2, 4) GROUP BY r_regionkey, r_name")
+def list_graphs(spark, d):
+    """Those of the stored graphs whose repository has an a."""
+    return R.search_graphs_by_repo(spark, _regions(spark, d), "A").select("graph_id", "repo_name", "node_count", "edge_count")
+
+
+@query("WITH h AS (SELECT 'g' || n_regionkey AS graph_id, n_regionkey, n_name FROM nation JOIN region ON r_regionkey = n_regionkey WHERE contains(lower(r_name), 'a') AND r_regionkey NOT IN (2, 4)) SELECT graph_id, 'node' AS kind, n_name AS a, 'Module' AS type, n_name AS b FROM h UNION ALL SELECT graph_id, 'edge', 'region:' || n_regionkey, 'contains', n_name FROM h WHERE n_regionkey <> 1")
+def load_by_repo(spark, d):
+    """All of those graphs, in one scan of nodes and one of edges."""
+    g = R.load_by_repo(spark, _regions(spark, d), "A")
+    return g.nodes.select("graph_id", F.lit("node").alias("kind"), F.col("id").alias("a"), "type", F.col("name").alias("b")).union(g.edges.select("graph_id", F.lit("edge"), "src", "type", "dst"))
+
+
+@query("SELECT 'g' || r_regionkey AS graph_id, CASE r_regionkey WHEN 3 THEN 1 ELSE 2 END::INT AS position FROM region WHERE r_regionkey IN (1, 3)")
+def latest_graphs(spark, d):
+    """The two graphs that were saved last."""
+    found = R.latest_graphs(spark, _regions(spark, d), 2)
+    return found.select("graph_id", F.row_number().over(Window.orderBy(F.desc("created_at"))).alias("position"))
 
 
-@query(f"WITH {STAR} SELECT 'node' AS kind, id AS a, type, name AS b FROM nodes WHERE type = 'Service' UNION ALL SELECT 'edge', src, type, dst FROM edges WHERE type = 'depends_on'")
+@query(f"WITH {STAR}, n AS (SELECT * FROM nodes WHERE type IN ('Service', 'Module')), e AS (SELECT * FROM edges WHERE type IN ('depends_on', 'uses')), c AS (SELECT count(*) AS nodes, (SELECT count(*) FROM e) AS edges FROM n), t AS (SELECT string_agg('\"' || type || '\":' || k, ',' ORDER BY type) AS t FROM (SELECT type, count(*) AS k FROM n GROUP BY type)) SELECT 'node' AS kind, id AS a, type, name AS b FROM n UNION ALL SELECT 'edge', src, type, dst FROM e UNION ALL SELECT 'meta', 'star', nodes || '/' || edges, '{{' || t || '}}' FROM c, t")
 def export_json(spark, d):
-    """Lines of JSON, read again."""
-    g = A.star_graph(spark, d)
-    return _both(R.import_json(R.export_json(Graph(g.nodes.where("type = 'Service'"), g.edges.where("type = 'depends_on'")))))
+    """Lines of JSON, written, read again: what is said of the graph, its nodes and edges."""
+    g, root = A.star_graph(spark, d), _root(spark)
+    R.export_json(Graph(g.nodes.where("type in ('Service', 'Module')"), g.edges.where("type in ('depends_on', 'uses')")), graph_id="star").write.partitionBy("kind").text(root)
+    lines = spark.read.text(root).select("kind", F.col("value").alias("json"))
+    said = F.from_json("json", "graph_id string, node_count long, edge_count long, node_type_counts map<string,long>").alias("m")
+    meta = lines.where("kind = 'meta'").select(said).select(F.lit("meta").alias("kind"), F.col("m.graph_id").alias("a"), F.concat_ws("/", "m.node_count", "m.edge_count").alias("type"), F.to_json("m.node_type_counts").alias("b"))
+    return _both(R.import_json(lines)).union(meta)
 
 
 @query("WITH old AS (SELECT 'r' || o_custkey % 50 AS repo, 'c' || o_custkey % 7 AS commit_sha, 'a' || o_custkey % 2 AS analyzer FROM orders GROUP BY ALL), kept AS (SELECT * FROM old WHERE repo <> 'r7'), want AS (SELECT DISTINCT 'r' || c_custkey % 60 AS repo, CASE WHEN c_custkey % 5 > 0 THEN 'c' || c_custkey % 7 ELSE '' END AS commit_sha, 'a1' AS analyzer FROM customer) SELECT w.*, k.repo IS NOT NULL AS stored FROM want w LEFT JOIN kept k USING (repo, commit_sha, analyzer)")
 def reuse_results(spark, d):
     o, c = F.col("o_custkey"), F.col("c_custkey")
     old = table(spark, d, "orders").select(F.concat(F.lit("r"), (o % 50).cast("string")).alias("repo"), F.concat(F.lit("c"), (o % 7).cast("string")).alias("commit_sha"), F.concat(F.lit("a"), (o % 2).cast("string")).alias("analyzer"), F.lit("x").alias("result")).distinct()
-    stored = R.put_results(spark.createDataFrame([], R.RESULTS), old.unionByName(old.limit(1).withColumn("commit_sha", F.lit(""))))
+    name = f"results_{_root(spark)[-32:]}"
+    R.create_results(spark, name, _root(spark), buckets=8)
+    R.put_results(spark, name, old.withColumn("result", F.lit("old")))
+    R.put_results(spark, name, old.unionByName(old.limit(1).withColumn("commit_sha", F.lit(""))))
+    R.invalidate_results(spark, name, "r7")
     want = table(spark, d, "customer").select(F.concat(F.lit("r"), (c % 60).cast("string")).alias("repo"), F.when(c % 5 > 0, F.concat(F.lit("c"), (c % 7).cast("string"))).otherwise("").alias("commit_sha"), F.lit("a1").alias("analyzer")).distinct()
-    hits, misses = R.reuse_results(want, R.invalidate_results(stored, "r7"))
-    return hits.select("repo", "commit_sha", "analyzer", F.lit(True).alias("stored")).union(misses.withColumn("stored", F.lit(False)))
+    hits, misses = R.reuse_results(spark, name, want)
+    return hits.select(*R.KEYS, (F.col("result") == "x").alias("stored")).union(misses.withColumn("stored", F.lit(False)))
+
+
+@query("WITH s AS (SELECT DISTINCT 'r' || o_custkey % 50 AS repo, o_custkey % 7 AS sha, 'a' || o_custkey % 2 AS analyzer FROM orders WHERE o_custkey % 50 <> 7) SELECT analyzer, count(DISTINCT repo) AS repos, count(*) AS results FROM s GROUP BY analyzer")
+def result_stats(spark, d):
+    """Results are put in two turns, the second one replaces half of them, and those of a repository go."""
+    o = F.col("o_custkey")
+    rows = table(spark, d, "orders").select(F.concat(F.lit("r"), (o % 50).cast("string")).alias("repo"), F.concat(F.lit("c"), (o % 7).cast("string")).alias("commit_sha"), F.concat(F.lit("a"), (o % 2).cast("string")).alias("analyzer"), F.lit("x").alias("result")).distinct()
+    root = _root(spark)
+    name = f"results_{root[-32:]}"
+    R.create_results(spark, name, root, buckets=8)
+    R.put_results(spark, name, rows)
+    R.put_results(spark, name, rows.where("analyzer = 'a1'"))
+    R.invalidate_results(spark, name, "r7")
+    return R.result_stats(spark, name)
 
 
 # streams, run over what is there
 
 
-@query("SELECT 'customer:' || o_custkey AS id, arg_max(o_orderstatus, o_orderkey) AS name FROM orders GROUP BY o_custkey")
+@query("SELECT 'customer:' || o_custkey AS id, coalesce(arg_max(o_orderstatus, o_orderkey) FILTER (WHERE o_orderkey % 2 = 1), arg_max(o_orderstatus, o_orderkey)) AS name FROM orders GROUP BY o_custkey")
 def stream_graph_upsert(spark, d):
-    """Orders arrive as nodes of their customers; the last one stays."""
+    """Orders arrive as nodes of their customers: even ones by one query, then odd ones by another, then the first one is started again. Of a query's rows the last one stays, and the later query's."""
     root = _root(spark)
-    stream = spark.readStream.schema(table(spark, d, "orders").schema).option("pathGlobFilter", "orders.parquet").parquet(d)
-    rows = stream.select(F.concat(F.lit("customer:"), F.col("o_custkey").cast("string")).alias("id"), F.lit("Component").alias("type"), F.col("o_orderstatus").alias("name"), F.lit("{}").alias("props"), F.col("o_orderkey").cast("long").alias("seq"))
-    U.stream_graph_upsert(rows, f"{root}/table", f"{root}/checkpoint", slots=16).awaitTermination()
+    rows = table(spark, d, "orders").select(F.concat(F.lit("customer:"), F.col("o_custkey").cast("string")).alias("id"), F.lit("Component").alias("type"), F.col("o_orderstatus").alias("name"), F.lit("{}").alias("props"), F.col("o_orderkey").cast("long").alias("seq"))
+    for k in (0, 1):
+        rows.where(F.col("seq") % 2 == k).write.parquet(f"{root}/in-{k}")
+    for k in (0, 1, 0):
+        stream = spark.readStream.schema(NODE_SCHEMA).parquet(f"{root}/in-{k}")
+        U.stream_graph_upsert(stream, f"{root}/table", f"{root}/checkpoint-{k}", slots=16).awaitTermination()
     return U.latest(spark, f"{root}/table", NODE_SCHEMA).select("id", "name")
 
 
-@query("SELECT 'd' || doc_id AS path FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 = 0")
+_SCANS = "WITH f AS (SELECT 'd' || doc_id AS path, doc_id AS k FROM documents)"
+
+
+@query(_SCANS + " SELECT path, 'new' AS change FROM f WHERE k % 3 > 0 OR k % 7 > 0 UNION ALL SELECT path, 'changed' FROM f WHERE k % 3 > 0 AND k % 7 > 0 AND k % 5 = 0 UNION ALL SELECT path, 'deleted' FROM f WHERE k % 3 > 0 AND k % 7 = 0")
 def stream_incremental_scan(spark, d):
-    """Documents arrive as files; a third is not in the snapshot, a fifth differs from it."""
-    path, sha = F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256)
-    docs = table(spark, d, "documents")
-    old = docs.where("doc_id % 3 > 0").select(path, F.when(F.col("doc_id") % 5 > 0, sha).otherwise("old").alias("sha256"))
-    stream = spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet").parquet(d)
-    return _drained(spark, U.stream_incremental_scan(stream.select(path, sha.alias("sha256")), old).select("path"), f"scan_{uuid.uuid4().hex}", "append")
+    """Documents are listed twice as files: at first without a third of them and a fifth as it was before, then without a seventh."""
+    root, k = _root(spark), F.col("doc_id")
+    sha = F.sha2(F.coalesce("text", F.lit("")), 256)
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("d"), k.cast("string")).alias("path"), sha.alias("sha256"))
+    scans = (docs.where(k % 3 > 0).withColumn("sha256", F.when(k % 5 > 0, F.col("sha256")).otherwise("old")), docs.where(k % 7 > 0))
+    schema = "path string, sha256 string, seen timestamp"
+    for n, scan in enumerate(scans):
+        scan.select("path", "sha256", F.lit(f"2024-01-0{n + 1} 00:00:00").cast("timestamp").alias("seen")).write.parquet(f"{root}/in/{n}")
+        files = spark.readStream.schema(schema).parquet(f"{root}/in/*")
+        U.to_table(U.stream_incremental_scan(files, patience_ms=3_600_000), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("path", "change")
 
 
 # derivation

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..model import Graph, cut, edge_key, node_id, parse_node_id
+from ..model import Graph, cut, edge_key, node_id, parse_node_id, shared_dir
 from ..operators import derive as D
 from ..operators import components as C
 from ..operators import merge as M
@@ -704,19 +706,48 @@ def rag_context(spark, d):
 # streams, run over what is there
 
 
-def _drained(spark, df, name, mode):
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+def _root(spark):
+    """A folder of a query's own in the folder that the session shares."""
+    return f"{shared_dir(spark)}/query-{uuid.uuid4().hex}"
+
+
+def _arriving(spark, root, schema):
+    """A stream of what is written to folders below root, in turn."""
+    return spark.readStream.schema(schema).parquet(f"{root}/in/*")
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def stream_type_counts(spark, d):
-    import uuid
-
-    schema = table(spark, d, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d) if not d.endswith("events.parquet") else None
-    return _drained(spark, U.stream_type_counts(stream, "event_type"), f"counts_{uuid.uuid4().hex}", "complete")
+    """Events arrive in two parts; the counts of the last batch are those of all."""
+    root, e = _root(spark), table(spark, d, "events").select("event_id", "event_type")
+    for k in range(2):
+        e.where(F.col("event_id") % 2 == k).write.parquet(f"{root}/in/{k}")
+        U.counts_to_table(U.stream_type_counts(_arriving(spark, root, e.schema), "event_type"), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return U.newest_counts(spark, f"{root}/out").select("event_type", "n")
+
+
+_LATE = "WITH e AS (SELECT ts, event_type, event_id % 2 = 0 AND ts < '2024-01-16' AS early FROM events), w AS (SELECT max(ts) FILTER (WHERE early) - INTERVAL 3 DAY AS first, max(ts) - INTERVAL 3 DAY AS last FROM e)"
+
+
+@query(_LATE + " SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM e, w WHERE (early OR date_trunc('day', ts) + INTERVAL 1 DAY > first) AND date_trunc('day', ts) + INTERVAL 1 DAY <= last GROUP BY ALL")
+def stream_window_counts(spark, d):
+    """Half of the first half of the events arrive, then the others, of which those of closed days come too late; counts of closed days."""
+    root, e = _root(spark), table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    early = F.expr("event_id % 2 = 0 and ts < timestamp'2024-01-16'")
+    for k, part in enumerate((e.where(early), e.where(~early))):
+        part.write.parquet(f"{root}/in/{k}")
+        U.to_table(U.stream_type_counts(_arriving(spark, root, e.schema), "event_type", time="ts", late="3 days", window="1 day"), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/out").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("SELECT DISTINCT 'user:' || user_id AS src, 'kind:' || event_type AS dst, 'triggers' AS type FROM events")
+def stream_edges_first(spark, d):
+    """Events arrive as edges from users to kinds, in two parts; each edge passes once."""
+    root, e = _root(spark), table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("src"), F.concat(F.lit("kind:"), "event_type").alias("dst"), F.lit("triggers").alias("type"))
+    for k in range(2):
+        e.where(F.col("event_id") % 2 == k).write.parquet(f"{root}/in/{k}")
+        U.to_table(U.stream_edges_first(_arriving(spark, root, e.schema), time="ts", late="60 days"), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("src", "dst", "type")
 
 
 def entry(spark, sf_dir):

@@ -1,3 +1,7 @@
+import datetime as dt
+import os
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,6 +19,7 @@ from lattica.operators import vectors as V
 from lattica.operators import views as W
 from lattica.sources import files as FS
 from lattica.sources import store
+from lattica.sources.commits import Commits
 from lattica.streaming import upkeep as U
 
 
@@ -260,4 +265,136 @@ def test_stream_upserts_rewrite_their_slots_only(spark, tmp_path):
         run()
     got = {x["id"]: x["name"] for x in U.latest(spark, out).collect()}
     assert got == {f"n{i}": "first" for i in range(40)} | {"n1": "at 4"} | {f"m{k}": "new" for k in range(1, 5)}
-    assert all(len(v) <= 3 for v in U._versions(spark, out).values())
+    log = Commits(spark, out)
+    assert len(log.versions()) == 5 and log.head()[0] == 5 and len(set(log.head()[1]["slots"].values()) - set(log.read(1)["slots"].values())) <= 4
+
+
+def _change(spark, path, some):
+    spark.createDataFrame([(i, "Function", n, "{}", k) for k, (i, n) in enumerate(some)], NODE_SCHEMA).coalesce(1).write.mode("append").parquet(str(path))
+
+
+def test_two_queries_keep_one_table(spark, tmp_path):
+    out = str(tmp_path / "out")
+    run = lambda k: U.stream_graph_upsert(spark.readStream.schema(NODE_SCHEMA).parquet(str(tmp_path / f"in{k}")), out, str(tmp_path / f"cp{k}"), slots=4).awaitTermination()
+    names = lambda version=None: {r["id"]: r["name"] for r in U.latest(spark, out, version=version).collect()}
+    assert names() == {}
+    _change(spark, tmp_path / "in0", [(c, "zero") for c in "abcde"])
+    run(0)
+    _change(spark, tmp_path / "in1", [("x", "one"), ("a", "one")])
+    run(1)
+    assert names() == dict.fromkeys("bcde", "zero") | dict.fromkeys("ax", "one")
+    run(0)  # nothing new
+    _change(spark, tmp_path / "in0", [("a", "again")])
+    run(0)
+    assert names()["a"] == "again" and len(names()) == 6 and names(1) == dict.fromkeys("abcde", "zero")
+
+
+def test_a_batch_that_is_run_again_changes_nothing(spark, tmp_path):
+    log = Commits(spark, str(tmp_path / "out"))
+    new = spark.createDataFrame([("a", "Function", "a", "{}", 1)], NODE_SCHEMA).withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(4)).cast("int"))
+    put = lambda epoch, query="q": U._put(log, new, query, epoch, NODE_SCHEMA, ("id",), 4)
+    put(0)
+    head = log.head()
+    put(0)
+    assert log.head() == head
+    put(0, "other")
+    put(1)
+    assert log.head()[1]["epochs"] == {"q": 1, "other": 0} and log.head()[0] == 3
+    assert not log.commit(3, {})  # the number is taken
+    with pytest.raises(ValueError):
+        U._put(log, new, "q", 2, NODE_SCHEMA, ("id",), 8)
+
+
+def test_a_writer_that_loses_the_race_or_is_lost(spark, tmp_path, monkeypatch):
+    out = str(tmp_path / "out")
+    log = Commits(spark, out)
+    rows_ = lambda i: spark.createDataFrame([(i, "Function", i, "{}", 1)], NODE_SCHEMA).withColumn("slot", F.lit(0))
+    plain, raced = log.commit, []
+
+    def commit(version, manifest):
+        if not raced:  # another writer commits first
+            raced.append(1)
+            U._put(Commits(spark, out), rows_("other"), "p", 0, NODE_SCHEMA, ("id",), 1)
+        return plain(version, manifest)
+
+    monkeypatch.setattr(log, "commit", commit)
+    U._put(log, rows_("a"), "q", 0, NODE_SCHEMA, ("id",), 1)
+    assert {r["id"] for r in U.latest(spark, out).collect()} == {"a", "other"}
+
+    def lost(version, manifest):
+        raise RuntimeError("the driver is lost")
+
+    monkeypatch.setattr(log, "commit", lost)
+    with pytest.raises(RuntimeError):
+        U._put(log, rows_("b"), "q", 1, NODE_SCHEMA, ("id",), 1)
+    assert {r["id"] for r in U.latest(spark, out).collect()} == {"a", "other"}
+    held = lambda: len(os.listdir(f"{out}/data"))
+    before = held()
+    log.drop_unfinished(lambda m: m["slots"].values(), hours=-1)
+    assert held() == before - 1
+    monkeypatch.undo()
+    U._put(log, rows_("b"), "q", 1, NODE_SCHEMA, ("id",), 1)
+    assert {r["id"] for r in U.latest(spark, out).collect()} == {"a", "b", "other"}
+    log.expire(1, lambda m: m["slots"].values())
+    assert log.versions() == [3] and U.latest(spark, out).count() == 3
+
+
+def test_keyed_scan_over_restarts(spark, tmp_path):
+    def scan(n, day, some):
+        spark.createDataFrame([(p, s, dt.datetime(2024, 1, day)) for p, s in some], "path string, sha256 string, seen timestamp").coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+        files = spark.readStream.schema("path string, sha256 string, seen timestamp").parquet(str(tmp_path / "in/*"))
+        U.to_table(U.stream_incremental_scan(files, patience_ms=36 * 3_600_000), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+        got = sorted((r["path"], r["change"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+        return got
+
+    seen = scan(0, 1, [("a", "1"), ("b", "1"), (None, "1"), ("c", None)])
+    assert seen == [("a", "new"), ("b", "new"), ("c", "new")]
+    again = scan(1, 2, [("a", "1"), ("b", "2"), ("b", "2")])
+    assert again == sorted(seen + [("b", "changed")])
+    third = scan(2, 3, [("a", "1"), ("b", "2"), ("d", "1")])
+    assert third == sorted(again + [("d", "new"), ("c", "deleted")])
+    assert scan(3, 4, [("c", "1"), ("a", "1"), ("b", "2")]) == sorted(third + [("c", "new")])
+
+
+def test_results_are_not_shuffled(spark, tmp_path):
+    name = f"results_{uuid.uuid4().hex}"
+    store.create_results(spark, name, str(tmp_path / "r"), buckets=4)
+    put = lambda *some: store.put_results(spark, name, spark.createDataFrame(some, store.RESULTS))
+    put(("r", "s", "a", "1"), ("r", "", "a", "1"), ("q", "s", "a", "1"), ("r", "s", "b", "1"))
+    put(("r", "s", "a", "2"))
+    wanted = spark.createDataFrame([("r", "s", "a"), ("r", "", "a"), ("q", "s", "a"), ("z", None, "a")], "repo string, commit_sha string, analyzer string")
+    hits, misses = store.reuse_results(spark, name, wanted)
+    assert rows(hits) == [("q", "s", "a", "1"), ("r", "s", "a", "2")] and misses.count() == 2
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("Exchange") - plan.count("ReusedExchange") <= 2 and "SelectedBucketsCount" in plan  # those of the wanted keys
+    store.invalidate_results(spark, name, "q")
+    assert rows(store.result_stats(spark, name)) == [("a", 1, 1), ("b", 1, 1)]
+    assert [(r["repo"], r["commits"], r["analyzers"], r["results"]) for r in store.list_results(spark, name).collect()] == [("r", 1, ["a", "b"], 2)]
+    put(("q", "s", "a", "3"))
+    assert store.stored_results(spark, name).count() == 3
+
+
+def test_a_save_that_is_lost_changes_nothing(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "graphs")
+    store.save_graph(graph(spark, "ab", [("a", "b", "calls")]), root, "odd id/1", repo_name="Shop")
+
+    def lost(*_):
+        raise RuntimeError("the driver is lost")
+
+    monkeypatch.setattr(store, "_commit", lost)
+    with pytest.raises(RuntimeError):
+        store.save_graph(graph(spark, "xyz", []), root, "odd id/1")
+    monkeypatch.undo()
+    assert sorted(r["id"] for r in store.load_graph(spark, root, "odd id/1").nodes.collect()) == ["a", "b"]
+    held = store.load_graph(spark, root, "odd id/1")
+    store.save_graph(graph(spark, "c", []), root, "odd id/1", repo_name="Shop")
+    assert held.nodes.count() == 2  # its version is still kept
+    for k in range(3):
+        store.save_graph(graph(spark, "cd"[: k % 2 + 1], []), root, f"g{k}", repo_name="Workshop")
+    g = store.load_by_repo(spark, root, "SHOP")
+    assert sorted((r["graph_id"], r["id"]) for r in g.nodes.collect()) == [("g0", "c"), ("g1", "c"), ("g1", "d"), ("g2", "c"), ("odd id/1", "c")]
+    merged = store.load_and_merge(spark, root, ["g0", "no such", "odd id/1", "g1"])
+    assert sorted(r["id"] for r in merged.nodes.collect()) == ["c", "d"]
+    assert merged.nodes._jdf.queryExecution().optimizedPlan().toString().count("/nodes") <= 1
