@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,53 +83,3 @@ def callgraph_focus(g: Graph, node_id: str, depth: int = 2) -> tuple[Graph, Data
     sub = induced_subgraph(g, found)
     sub = Graph(sub.nodes, _typed(sub.edges, ("calls",)))
     return sub, degree(sub)
-
-
-def detect_cycles(g: Graph, *, edge_types=("depends_on",), max_len: int | None = None) -> DataFrame:
-    """length and path of every simple cycle, each once, from its smallest node; of those of up to max_len edges if it is given.
-
-    Only nodes between cycles can lie on one, so others are peeled off before paths are grown.
-    """
-    core = cyclic_core(g, edge_types=edge_types)
-    steps = _typed(g.edges, edge_types).select("src", "dst").distinct().where(F.col("src") != F.col("dst"))
-    steps = cut(steps.join(core.select(F.col("id").alias("src")), "src", "left_semi").join(core.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst"), "cycle-edges")
-    paths = steps.where(F.col("dst") > F.col("src")).select(F.col("src").alias("start"), F.col("dst").alias("at"), F.array("src", "dst").alias("path"))
-    found = None
-    for n in count(2) if max_len is None else range(2, max_len + 1):
-        nxt = cut(paths.join(steps, paths["at"] == steps["src"]).where((F.col("dst") >= F.col("start")) & ((F.col("dst") == F.col("start")) | ~F.array_contains("path", F.col("dst")))), "cycles")
-        closed = nxt.where(F.col("dst") == F.col("start")).select(F.lit(n).alias("length"), "path")
-        found = closed if found is None else found.union(closed)
-        paths = nxt.where(F.col("dst") != F.col("start")).select("start", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"))
-        if paths.isEmpty():
-            break
-    return found
-
-
-def cyclic_core(g: Graph, *, edge_types=None) -> DataFrame:
-    """Ids of nodes that lie on cycles or between them: what is left when nodes without edges in or out are peeled off."""
-    left = cut(_typed(g.edges, edge_types).select("src", "dst").distinct().where(F.col("src") != F.col("dst")), "core")
-    n = left.count()
-    while n:
-        left = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "core")
-        m = left.count()
-        if m == n:
-            break
-        n = m
-    return left.select(F.col("src").alias("id")).distinct()
-
-
-def layering(g: Graph, *, edge_types=None) -> DataFrame:
-    """id and layer: the longest path from a source; nodes on or behind cycles share one layer after all others."""
-    steps = cut(_typed(g.edges, edge_types).select("src", "dst").distinct().where(F.col("src") != F.col("dst")), "layer-edges")
-    left = cut(g.nodes.select("id").distinct(), "layer-ids")
-    out, layer = None, 0
-    while True:
-        free = left.join(steps.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
-        free = cut(free.withColumn("layer", F.lit(layer)), "layer")
-        if free.isEmpty():
-            rest = left.withColumn("layer", F.lit(layer))
-            return rest if out is None else out.union(rest)
-        out = free if out is None else out.union(free)
-        left = cut(left.join(free, "id", "left_anti"), "layer-ids")
-        steps = cut(steps.join(free.select(F.col("id").alias("src")), "src", "left_anti"), "layer-edges")
-        layer += 1

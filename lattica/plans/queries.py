@@ -10,6 +10,7 @@ from ..functions import scalars as S
 from ..model import Graph, cut, edge_key, node_id, parse_node_id, shared_dir
 from ..operators import derive as D
 from ..operators import components as C
+from ..operators import cycles as K
 from ..operators import merge as M
 from ..operators import metrics as X
 from ..operators import names as N
@@ -286,22 +287,22 @@ def impact_stats(spark, d):
 
 @query("WITH RECURSIVE " + TRADE + ", c(start, tip, path) AS (SELECT src, dst, [src, dst] FROM edges WHERE dst > src UNION ALL SELECT start, dst, list_append(path, dst) FROM c JOIN edges ON src = tip WHERE tip <> start AND (dst = start OR (dst > start AND NOT list_contains(path, dst)))) SELECT len(path) - 1 AS length, array_to_string(list_slice(path, 1, len(path) - 1), '>') AS path FROM c WHERE tip = start")
 def detect_cycles(spark, d):
-    return T.detect_cycles(trade(spark, d)).withColumn("path", F.array_join("path", ">"))
+    return K.detect_cycles(trade(spark, d)).withColumn("path", F.array_join("path", ">"))
 
 
 @query("WITH RECURSIVE " + EVENTS + ", s AS (SELECT DISTINCT src, dst FROM edges WHERE type = 'calls' AND src <> dst), reach AS (SELECT src, dst FROM s UNION SELECT r.src, s.dst FROM reach r JOIN s ON r.dst = s.src), ring AS (SELECT src AS id FROM reach WHERE src = dst) SELECT DISTINCT s.src AS id FROM s WHERE s.src IN (SELECT id FROM ring) OR (s.src IN (SELECT r.dst FROM reach r JOIN ring ON r.src = ring.id) AND s.src IN (SELECT r.src FROM reach r JOIN ring ON r.dst = ring.id))")
 def cyclic_core(spark, d):
-    return T.cyclic_core(events(spark, d), edge_types=("calls",))
+    return K.cyclic_core(events(spark, d), edge_types=("calls",))
 
 
 @query(f"WITH {STAR} SELECT id, CASE type WHEN 'Repository' THEN 0 WHEN 'Module' THEN CASE WHEN EXISTS (SELECT 1 FROM edges WHERE dst = n.id) THEN 1 ELSE 0 END END AS layer FROM nodes n WHERE type IN ('Repository', 'Module')")
 def layering(spark, d):
-    return T.layering(W.graph_summary(star(spark, d)))
+    return K.layering(W.graph_summary(star(spark, d)))
 
 
 @query(f"WITH {CONV} SELECT id, (row_number() OVER (PARTITION BY split_part(id, '.', 1) ORDER BY seq) - 1)::INT AS layer FROM nodes")
 def layering_turns(spark, d):
-    return T.layering(A.conv_flow(spark, d))
+    return K.layering(A.conv_flow(spark, d))
 
 
 # merge and validation

@@ -1,5 +1,6 @@
 import datetime as dt
 import os
+import random
 import uuid
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from lattica.functions import scalars as S
 from lattica.model import EDGE_SCHEMA, NODE_SCHEMA, Graph
 from lattica.operators import components as C
+from lattica.operators import cycles as K
 from lattica.operators import derive as D
 from lattica.operators import merge as M
 from lattica.operators import metrics as X
@@ -50,11 +52,11 @@ def test_neighbors_and_impact(spark):
 
 def test_cycles_and_layers(spark):
     g = graph(spark, "abcd", [("a", "b", "depends_on"), ("b", "c", "depends_on"), ("c", "a", "depends_on"), ("c", "d", "depends_on"), ("d", "d", "depends_on")])
-    assert rows(T.detect_cycles(g)) == [(3, ["a", "b", "c"])]
-    assert [r[0] for r in rows(T.cyclic_core(g))] == ["a", "b", "c"]
+    assert rows(K.detect_cycles(g)) == [(3, ["a", "b", "c"])]
+    assert [r[0] for r in rows(K.cyclic_core(g))] == ["a", "b", "c"]
     dag = graph(spark, "abcd", [("a", "b", "x"), ("b", "c", "x"), ("a", "c", "x")])
-    assert dict(rows(T.layering(dag))) == {"a": 0, "b": 1, "c": 2, "d": 0}
-    assert dict(rows(T.layering(g))) == {"a": 0, "b": 0, "c": 0, "d": 0}
+    assert dict(rows(K.layering(dag))) == {"a": 0, "b": 1, "c": 2, "d": 0}
+    assert dict(rows(K.layering(g))) == {"a": 0, "b": 0, "c": 0, "d": 0}
 
 
 def test_pagerank_sums_to_one(spark):
@@ -131,7 +133,7 @@ def test_topics_env_and_chunks(spark):
 
 def test_views_edge_cases(spark):
     e = graph(spark, [], [])
-    assert W.get_graph(e).nodes.count() == 0 and X.degree(e).count() == 0 and T.layering(e).count() == 0
+    assert W.get_graph(e).nodes.count() == 0 and X.degree(e).count() == 0 and K.layering(e).count() == 0
     g = graph(spark, "abc", [("a", "b", "contains")])
     assert W.query_nodes(g, limit=0).count() == 0 and W.query_nodes(g, limit=99).count() == 3
     assert [r["has_more"] for r in W.page_nodes(g, 0, 2).collect()] == [True, True]
@@ -218,7 +220,7 @@ def test_json_objects_in_answers(spark):
 def test_long_cycles_are_found(spark):
     ring = [chr(97 + i) for i in range(14)]
     g = graph(spark, ring + ["x", "y"], [(a, b, "depends_on") for a, b in zip(ring, ring[1:] + ring[:1])] + [("x", "a", "depends_on"), ("c", "y", "depends_on"), ("b", "a", "depends_on")])
-    assert sorted((r["length"], "".join(r["path"])) for r in T.detect_cycles(g).collect()) == [(2, "ab"), (14, "".join(ring))]
+    assert sorted((r["length"], "".join(r["path"])) for r in K.detect_cycles(g).collect()) == [(2, "ab"), (14, "".join(ring))]
 
 
 def test_component_layer(spark):
@@ -398,3 +400,65 @@ def test_a_save_that_is_lost_changes_nothing(spark, tmp_path, monkeypatch):
     merged = store.load_and_merge(spark, root, ["g0", "no such", "odd id/1", "g1"])
     assert sorted(r["id"] for r in merged.nodes.collect()) == ["c", "d"]
     assert merged.nodes._jdf.queryExecution().optimizedPlan().toString().count("/nodes") <= 1
+
+
+def _reach(ids, edges):
+    out = {i: {i} for i in ids}
+    grown = True
+    while grown:
+        grown = False
+        for a, b in edges:
+            for x in ids:
+                if a in out[x] and b not in out[x]:
+                    out[x].add(b)
+                    grown = True
+    return out
+
+
+def _layers_by_hand(ids, edges):
+    edges = {(a, b) for a, b in edges if a != b}
+    left, layer, k = set(ids), {}, 0
+    while free := {i for i in left if not any(b == i for _, b in edges)}:
+        layer |= dict.fromkeys(free, k)
+        left -= free
+        edges = {(a, b) for a, b in edges if a not in free}
+        k += 1
+    return layer | dict.fromkeys(left, k)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_components_cycles_and_layers_brute_force(spark, seed):
+    r = random.Random(seed)
+    n = 24
+    ids = [f"n{i:02d}" for i in range(n)]
+    edges = {(r.choice(ids), r.choice(ids)) for _ in range(r.choice((12, 26, 34)))}
+    ring = ids[3:11]
+    edges |= set(zip(ring, ring[1:] + ring[:1])) if seed % 2 else set(zip(ids[:12], ids[1:13]))
+    g = graph(spark, ids, [(a, b, "depends_on") for a, b in edges])
+    reach = _reach(ids, edges)
+    own = {i: min(j for j in ids if j in reach[i] and i in reach[j]) for i in ids}
+    size = {c: sum(x == c for x in own.values()) for c in own.values()}
+    assert dict(rows(K.strong_components(g))) == {i: c for i, c in own.items() if size[c] > 1}
+    of, short = K.condensed(g)
+    assert dict(rows(of)) == own and set(rows(short)) == {(own[a], own[b]) for a, b in edges if own[a] != own[b]}
+    on = {i for i in ids if any(size[own[j]] > 1 and i in reach[j] for j in ids) and any(size[own[j]] > 1 and j in reach[i] for j in ids)}
+    assert {x[0] for x in rows(K.cyclic_core(g))} == on
+    assert dict(rows(K.layering(g))) == _layers_by_hand(ids, edges)
+    whole = _layers_by_hand(set(own.values()), {(own[a], own[b]) for a, b in edges})
+    assert dict(rows(K.layering(g, condense=True))) == {i: whole[own[i]] for i in ids}
+
+
+def test_long_chains_and_rings_take_few_steps(spark, monkeypatch):
+    n, steps = 2000, []
+    plain = K.cut
+    monkeypatch.setattr(K, "cut", lambda *a: (steps.append(1), plain(*a))[1])
+    ids = [f"{i:05d}" for i in range(n)]
+    chain = graph(spark, ids, [(a, b, "depends_on") for a, b in zip(ids, ids[1:])])
+    assert [x[1] for x in rows(K.layering(chain))] == list(range(n)) and len(steps) < 60
+    steps.clear()
+    assert K.strong_components(chain).count() == 0 and len(steps) < 60
+    steps.clear()
+    tail = [(ids[-1], "a", "depends_on"), ("a", "b", "depends_on"), ("b", "a", "depends_on")]
+    ring = graph(spark, [*ids, "a", "b"], [(a, b, "depends_on") for a, b in zip(ids, ids[1:] + ids[:1])] + tail)
+    assert {x[1] for x in rows(K.strong_components(ring))} == {"00000", "a"} and len(steps) < 120
+    assert set(rows(K.layering(ring, condense=True))) == {(i, 0) for i in ids} | {("a", 1), ("b", 1)}
