@@ -545,6 +545,42 @@ def test_wrapper_finds_the_content_without_any_list(monkeypatch):
     assert all(a != w and w in a for a, w in zip(alone, want, strict=True))
 
 
+def _full_site(r):
+    """A page with headings, a list of links, a table and labels that are the article's own, and a notice and related links that aren't; the lines of its article."""
+    say = lambda n: words(r, n, 9000) + "."
+    head, last, note, end = say(5), say(25), say(40), say(12)
+    first = [say(30) for _ in range(r.randint(1, 3))]
+    links, cells = [say(4) for _ in range(6)], [say(2) for _ in range(6)]
+    body = f"<h1>{head}</h1>" + "".join(f"<p>{t}</p>" for t in first) + "<p>We use your data to make this site better for all.</p>"
+    body += f"<h2>Summary</h2><p>{last}</p><ul>" + "".join(f"<li><a href='/{t}'>{t}</a></li>" for t in links) + "</ul>"
+    body += f"<section><h2>Conclusion</h2><p><b>Note:</b> {note}</p><p>{end}</p></section>"
+    body += "<table><tr><th>Name</th><th>What</th></tr>" + "".join(f"<tr><td>{a}</td><td>{b}</td></tr>" for a, b in zip(cells[::2], cells[1::2], strict=True)) + "</table>"
+    body += "<h3>You may also like</h3><ul>" + "".join(f"<li><a href='/r'>{say(4)}</a></li>" for _ in range(4)) + "</ul>"
+    page = f"<html><body><div class='top'><a href='/'>home</a> <a href='/n'>news</a></div><div class='wrap'><div class='content'>{body}</div><div class='side'><p>{say(6)}</p></div></div><div class='bottom'>made by us</div></body></html>"
+    return page, "\n".join([head, *first, "Summary", last, *links, "Conclusion", f"Note: {note}", end, "Name", "What", *cells])
+
+
+@pytest.mark.parametrize("lists", [True, False])
+def test_articles_keep_their_headings_links_and_tables(monkeypatch, lists):
+    for name in () if lists else ("NOISE", "MAIN", "DROPPED"):
+        monkeypatch.setattr(html_extract, name, frozenset())
+    for seed in range(3):
+        r = random.Random(seed)
+        pages, want = zip(*(_full_site(r) for _ in range(20)), strict=True)
+        assert _texts(list(pages)) == list(want)
+
+
+def test_large_hosts_share_wrappers(spark, monkeypatch):
+    monkeypatch.setattr(html_extract, "SHARED", 7)
+    monkeypatch.setattr(html_extract, "SENT_BYTES", -1)
+    r = random.Random(5)
+    made = [(i, f"http://h{i % 3 if i < 60 else 0}.org/{i}", *_full_site(r)) for i in range(80)]
+    for many in (0, 100):
+        monkeypatch.setattr(html_extract, "MANY", many)
+        got = html_extract.extract_pages(spark.createDataFrame([x[:3] for x in made], "page_id long, url string, html string"))
+        assert {x["page_id"]: x["text"] for x in got.collect()} == {i: want for i, _, _, want in made}
+
+
 def test_one_odd_page_does_not_spoil_a_constant():
     page = lambda i, note: f"<body><div><p>Story {i} as told</p><p>More {i}</p><div>{note}</div></div></body>"
     got = _texts([page(i, "Sign up here" if i != 7 else "Nothing to see") for i in range(20)])
