@@ -264,7 +264,7 @@ def data_entities(classes: DataFrame) -> DataFrame:
     return classes.withColumn("entity_kind", F.when(orm, "table").when(data, "schema")).where(F.col("entity_kind").isNotNull())
 
 
-def ingest_model_output(answers: DataFrame, least: float = 0.5) -> DataFrame:
+def ingest_relations(answers: DataFrame, least: float = 0.5) -> DataFrame:
     """src, dst, type, confidence of the relations in a table of JSON answers (doc): {"relations": [{from, to, type, confidence}]}; unsure ones are left out."""
     schema = "relations array<struct<`from`:string,`to`:string,type:string,confidence:double>>"
     r = answers.select(F.explode(F.from_json("doc", schema)["relations"]).alias("r"))
@@ -272,7 +272,7 @@ def ingest_model_output(answers: DataFrame, least: float = 0.5) -> DataFrame:
     return r.select(F.col("r.from").alias("src"), F.col("r.to").alias("dst"), "r.type", c.alias("confidence")).where((F.col("confidence") >= least) & F.col("src").isNotNull() & F.col("dst").isNotNull())
 
 
-def validate_response(answers: DataFrame, required: list[str], items: str, item_keys: list[str]) -> DataFrame:
+def validate_keys(answers: DataFrame, required: list[str], items: str, item_keys: list[str]) -> DataFrame:
     """id, message: what is wrong with JSON answers (id, doc): missing keys, list items without keys, confidence out of 0..1."""
     keys = F.json_object_keys("doc")
     missing = F.filter(F.array(*map(F.lit, required)), lambda k: ~F.coalesce(F.array_contains(keys, k), F.lit(False)))

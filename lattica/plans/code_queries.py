@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..model import NODE_SCHEMA, Graph
+from ..operators import answers as N
 from ..operators import components as C
 from ..operators import derive as D
 from ..operators import merge as M
@@ -368,3 +369,91 @@ def cluster_by_module(spark, d):
 @query(f"WITH {LINKS}, i AS (SELECT count(*) - count(DISTINCT id) AS n FROM nodes), w AS (SELECT count(*) FILTER (WHERE src = dst) AS loops, count(*) FILTER (WHERE dst NOT IN (SELECT id FROM nodes)) AS loose FROM edges) SELECT n + loose = 0 AS valid, (n + loose)::BIGINT AS errors, loops AS warnings FROM i, w")
 def graph_verdict(spark, d):
     return M.graph_verdict(A.link_graph(spark, d))
+
+
+# answers of a model
+
+
+def _filled(k, text: str):
+    """A document in which <k>, <j> stand for a number and its rest by 7."""
+    t = F.replace(F.lit(text), F.lit("<k>"), k.cast("string"))
+    return F.replace(t, F.lit("<j>"), (k % 7).cast("string"))
+
+
+_ANSWERS = (
+    '{"layers":[{"name":"L<k>","layer_index":1},{"name":" "},7],"assignments":[{"node_name":"f<k>","layer":"L<k>","confidence":0.9},{"node_name":"f<k>","layer":"L<k>","confidence":0.5},{"node_name":"nobody","layer":"L<k>","confidence":0.8}]}',
+    '{"services":[{"name":"Svc <k>","confidence":0.2},{"name":"B<k>"}],"dependencies":[{"from_service":"Svc <k>","to_service":"B<k>","confidence":"0.7"},{"from_service":"B<k>","to_service":"B<k>"},{"from_service":"B<k>","to_service":"Svc <k>","confidence":0.4}]}',
+    '{"flows":[{"name":"Flow<k>","steps":[{"function_name":"f<k>","step_index":1},{"function_name":"gone","step_index":2}],"triggers":["Next<k>"]},{"name":"Next<k>","steps":[{},{}]},{"name":"Short","steps":[{}]}]}',
+    '{"lineage":[{"function_name":"f<k>","reads":["Table <j>","new<k>"],"writes":["NEW<k> copy"],"confidence":0.8},{"function_name":"f<k>","reads":["x"],"confidence":0.3}],"data_flows":[{"source":"f<k>","target":"table <j>","flow_type":"WRITE","confidence":0.6}]}',
+    '{"bounded_contexts":[{"name":"Ctx","confidence":0.45}],"entities":[{"name":"Order<k>","entity_type":"aggregate_root","bounded_context":"Ctx","source_class":"f<k>","confidence":0.9},{"name":"Item<k>","confidence":0.4,"bounded_context":"None"},{"name":"Bad","confidence":0.3}],"relationships":[{"from_entity":"Order<k>","to_entity":"Item<k>","relation_type":"contains"},{"from_entity":"Order<k>","to_entity":"Lost","confidence":0.9}]}',
+    '{"relations":[{"from":"fn:<k>","to":"tbl:<j>","type":"uses","confidence":0.7},{"from":"fn:<k>","to":"?","type":"uses","confidence":0.9},{"from":"fn:<k>","to":"tbl:0","type":"x","confidence":0.2}]}',
+)
+
+
+def _answers(spark, d):
+    """Answers about ten graphs, of six shapes in turn, every twelfth cut off; and the functions and tables that are known."""
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    doc = F.element_at(F.array(*[_filled(k, a) for a in _ANSWERS]), (k % 6 + 1).cast("int"))
+    graph = F.concat(F.lit("g"), (k % 10).cast("string")).alias("graph")
+    answers = p.select(graph, k.alias("answer"), F.when(k % 12 == 11, F.substring(doc, 1, 40)).otherwise(doc).alias("doc"))
+    f = p.select(graph, F.concat(F.lit("f"), k.cast("string")).alias("name"), F.concat(F.lit("fn:"), k.cast("string")).alias("id"), F.lit("function").alias("kind"), k.cast("long").alias("seq"))
+    j = (k % 7).cast("string")
+    t = p.select(graph, F.concat(F.lit("Table "), j).alias("name"), F.concat(F.lit("tbl:"), j).alias("id"), F.lit("data").alias("kind"), (k % 7).cast("long").alias("seq")).distinct()
+    return answers, f.unionByName(t)
+
+
+_SAID = """WITH k AS (SELECT p_partkey AS k, p_partkey % 6 AS shape, p_partkey % 7 AS j, 'g' || p_partkey % 10 AS graph FROM part WHERE p_partkey % 12 <> 11)"""
+
+
+@query(_SAID + """, n AS (
+  SELECT graph, 'layer:l' || k AS id, 'Layer' AS type, 'L' || k AS name FROM k WHERE shape = 0
+  UNION ALL SELECT graph, unnest(['service:svc_', 'service:b']) || k, 'Service', unnest(['Svc ', 'B']) || k FROM k WHERE shape = 1
+  UNION ALL SELECT graph, unnest(['flow:flow', 'flow:next']) || k, 'Flow', unnest(['Flow', 'Next']) || k FROM k WHERE shape = 2
+  UNION ALL SELECT graph, 'data_object:new' || k, 'DataObject', 'new' || k FROM k WHERE shape = 3
+  UNION ALL SELECT DISTINCT graph, 'domain_context:ctx', 'DomainEntity', 'Ctx' FROM k WHERE shape = 4
+  UNION ALL SELECT graph, unnest(['domain_entity:order', 'domain_entity:item']) || k, 'DomainEntity', unnest(['Order', 'Item']) || k FROM k WHERE shape = 4
+), e AS (
+  SELECT graph, 'fn:' || k AS src, 'belongs_to' AS type, 'layer:l' || k AS dst FROM k WHERE shape = 0
+  UNION ALL SELECT graph, 'service:svc_' || k, 'depends_on', 'service:b' || k FROM k WHERE shape = 1
+  UNION ALL SELECT graph, 'flow:flow' || k, unnest(['flow_step', 'triggers']), unnest(['fn:', 'flow:next']) || k FROM k WHERE shape = 2
+  UNION ALL SELECT graph, 'fn:' || k, unnest(['reads', 'reads', 'writes', 'writes']), unnest(['tbl:' || j, 'data_object:new' || k, 'data_object:new' || k, 'tbl:' || j]) FROM k WHERE shape = 3
+  UNION ALL SELECT graph, 'domain_entity:order' || k, 'part_of', unnest(['domain_context:ctx', 'domain_entity:item' || k]) FROM k WHERE shape = 4
+  UNION ALL SELECT graph, 'fn:' || k, 'belongs_to', 'domain_entity:order' || k FROM k WHERE shape = 4
+  UNION ALL SELECT graph, 'fn:' || k, 'uses', 'tbl:' || j FROM k WHERE shape = 5 AND EXISTS (SELECT 1 FROM part WHERE p_partkey % 7 = j AND 'g' || p_partkey % 10 = graph)
+), u AS (
+  SELECT DISTINCT graph, unnest(CASE shape WHEN 0 THEN ['assignments'] WHEN 2 THEN ['flows'] WHEN 4 THEN ['relationships', 'entities'] WHEN 5 THEN ['relations'] END) AS section,
+    unnest(CASE shape WHEN 0 THEN ['nobody'] WHEN 2 THEN ['gone'] WHEN 4 THEN ['Lost', 'None'] WHEN 5 THEN ['?'] END) AS name FROM k WHERE shape IN (0, 2, 4, 5)
+) SELECT graph, 'node' AS kind, id AS a, type, name AS b FROM n UNION ALL SELECT graph, 'edge', src, type, dst FROM e UNION ALL SELECT graph, 'unknown', '', section, name FROM u""")
+def ingest_model_output(spark, d):
+    """Nodes, edges and unknown ends of answers of six shapes."""
+    got = N.ingest_model_output(*_answers(spark, d))
+    n = got.nodes.select("graph", F.lit("node").alias("kind"), F.col("id").alias("a"), "type", F.col("name").alias("b"))
+    return n.union(got.edges.select("graph", F.lit("edge"), "src", "type", "dst")).union(got.unknown.select("graph", F.lit("unknown"), F.lit(""), "section", "name"))
+
+
+_CHECKED = (
+    ("architecture", '{"layers":[{"name":"L<k>","layer_index":1},{"name":"M"}],"assignments":[{"node_name":"f","layer":"L<k>","confidence":1},{"node_name":"f","layer":"X<k>","confidence":1},5],"overall_confidence":1.5}'),
+    ("architecture", '{"layers":[],"assignments":{},"overall_confidence":0.5}'),
+    ("service_detection", '{"services":[{"name":"a","responsibility":"b"}],"dependencies":[{"from_service":"a"}],"overall_confidence":"high"}'),
+    ("business_flow", '{"flows":[{"name":"f<k>","steps":[{"step_index":1,"function_name":"x"},{"step_index":2}]},{"name":"g","steps":[{}]},{"steps":7}],"overall_confidence":0.25}'),
+    ("data_lineage", '{"lineage":[{"function_name":"f<k>","confidence":1,"reads":["t"]},{"function_name":"g","reads":[]}],"data_flows":[{"source":"a","target":"b"}],"overall_confidence":-2}'),
+    ("domain_model", '{"entities":[{"name":"A","entity_type":"entity","bounded_context":"C<k>"},{"name":"B","entity_type":"thing","bounded_context":"D<k>"}],"bounded_contexts":[{"name":"C<k>"},{}],"relationships":[{"from_entity":"A","to_entity":"B"}]}'),
+    ("domain_model", '{"entities":[],"overall_confidence":0.75'),
+)
+
+
+@query("""WITH k AS (SELECT p_partkey AS k, p_partkey % 7 AS s FROM part), i AS (
+  SELECT k, unnest(['warning', 'warning', 'warning', 'warning']) AS severity, unnest(['layers[1]', 'assignments[2]', 'assignments[1]', 'overall_confidence']) AS place, unnest(['lacks layer_index', 'is no object', 'unknown layer: X' || k, 'is not in 0..1']) AS message FROM k WHERE s = 0
+  UNION ALL SELECT k, 'error', 'assignments', 'is no list' FROM k WHERE s = 1
+  UNION ALL SELECT k, 'warning', unnest(['dependencies[0]', 'overall_confidence']), unnest(['lacks to_service', 'is no number']) FROM k WHERE s = 2
+  UNION ALL SELECT k, 'warning', unnest(['flows[2]', 'flows[1]', 'flows[2]', 'flows.steps[1]']), unnest(['lacks name', 'has fewer than 2 steps', 'steps are no list', 'lacks function_name']) FROM k WHERE s = 3
+  UNION ALL SELECT k, 'warning', unnest(['lineage[1]', 'lineage[1]', 'data_flows[0]', 'overall_confidence']), unnest(['lacks confidence', 'says nothing', 'lacks flow_type', 'is not in 0..1']) FROM k WHERE s = 4
+  UNION ALL SELECT k, 'warning', unnest(['entities[1]', 'entities[1]', 'bounded_contexts[1]', 'relationships[0]']), unnest(['unknown entity_type: thing', 'unknown bounded_context: D' || k, 'lacks name', 'lacks relation_type']) FROM k WHERE s = 5
+  UNION ALL SELECT k, 'error', '', 'is no JSON object' FROM k WHERE s = 6
+) SELECT k AS answer, s NOT IN (1, 6) AS valid, [1.0, 0, 0, 0.25, 0, 0, 0][s + 1]::DOUBLE AS confidence, severity, place, message FROM k JOIN i USING (k)""")
+def validate_response(spark, d):
+    """Answers to the five templates, sound ones in part, with all that is wrong with them."""
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    pick = lambda values: F.element_at(F.array(*values), (k % 7 + 1).cast("int"))
+    answers = p.select(k.alias("answer"), pick([F.lit(t) for t, _ in _CHECKED]).alias("template"), pick([_filled(k, doc) for _, doc in _CHECKED]).alias("doc"))
+    return N.validate_response(answers).select("answer", "valid", "confidence", F.explode("issues").alias("i")).select("answer", "valid", "confidence", "i.*")

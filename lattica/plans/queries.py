@@ -481,13 +481,13 @@ def heuristic_lineage(spark, d):
     return D.heuristic_lineage(f, n.select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("name"), F.col("n_nationkey").cast("long").alias("seq")))
 
 
-@query("WITH x AS (SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN ' ' || n_name WHEN 1 THEN substr(n_name, 2, 4) WHEN 2 THEN lower(n_name) || ' table' ELSE 'zz ' || s_suppkey END AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey), k AS (SELECT DISTINCT name, lower(trim(name)) AS key FROM x), m AS (SELECT name, min(n_nationkey) FILTER (WHERE lower(n_name) = key) AS equal, min(n_nationkey) FILTER (WHERE contains(lower(n_name), key) OR contains(key, lower(n_name))) AS near FROM k, nation GROUP BY name), r AS (SELECT name, coalesce(equal, near) AS n FROM m) SELECT r.name, coalesce('nation:' || n, 'data_object:' || replace(key, ' ', '_')) AS id, n IS NULL AS minted FROM r JOIN k USING (name)")
+@query("WITH x AS (SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN ' ' || n_name WHEN 1 THEN substr(n_name, 2, 4) WHEN 2 THEN lower(n_name) || ' table' ELSE 'zz ' || s_suppkey END AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey), k AS (SELECT DISTINCT name, lower(trim(name)) AS key FROM x), m AS (SELECT name, min(n_nationkey) FILTER (WHERE lower(n_name) = key) AS equal, min(n_nationkey) FILTER (WHERE contains(lower(n_name), key) OR contains(key, lower(n_name))) AS near FROM k, nation GROUP BY name), r AS (SELECT name, key, coalesce(equal, near) AS n FROM m JOIN k USING (name)), o AS (SELECT r.name, min(f.key) AS first FROM r JOIN r f ON f.n IS NULL AND starts_with(r.key, f.key) WHERE r.n IS NULL GROUP BY r.name) SELECT r.name, coalesce('nation:' || n, 'data_object:' || replace(first, ' ', '_')) AS id, n IS NULL AND first = key AS minted FROM r LEFT JOIN o USING (name)")
 def partial_name_resolve(spark, d):
     n = table(spark, d, "nation")
     s = table(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
     kind = F.col("s_suppkey") % 4
     name = F.when(kind == 0, F.concat(F.lit(" "), "n_name")).when(kind == 1, F.substring("n_name", 2, 4)).when(kind == 2, F.concat(F.lower("n_name"), F.lit(" table"))).otherwise(F.concat(F.lit("zz "), F.col("s_suppkey").cast("string")))
-    return N.partial_name_resolve(s.select(name.alias("name")), n.select(F.col("n_name").alias("name"), F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_nationkey").alias("seq")))
+    return N.partial_name_resolve(s.select(name.alias("name"), F.col("s_suppkey").alias("seq")), n.select(F.col("n_name").alias("name"), F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_nationkey").alias("seq")))
 
 
 _CLASS = "CASE p_partkey % 5 WHEN 0 THEN 'PartController' WHEN 1 THEN 'PartService' WHEN 2 THEN 'PartRepo' WHEN 3 THEN 'PartEntity' ELSE 'Part' END || CASE WHEN p_partkey % 7 = 0 THEN 'Event' ELSE '' END"
@@ -558,16 +558,16 @@ def scan_k8s(spark, d):
 
 
 @query("SELECT 'nation:' || s_nationkey AS src, 'supplier:' || s_suppkey AS dst, 'depends_on' AS type, least(s_suppkey % 10 / 8.0, 1.0)::DOUBLE AS confidence FROM supplier WHERE s_suppkey % 10 >= 4")
-def ingest_model_output(spark, d):
+def ingest_relations(spark, d):
     doc = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("nation:"), F.col("s_nationkey").cast("string")).alias("from"), F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("to"), F.lit("depends_on").alias("type"), (F.col("s_suppkey") % 10 / 8.0).alias("confidence"))).alias("relations")))
-    return D.ingest_model_output(table(spark, d, "supplier").select(doc.alias("doc")))
+    return D.ingest_relations(table(spark, d, "supplier").select(doc.alias("doc")))
 
 
 @query("SELECT s_suppkey AS id, 'missing key layers' AS message FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, 'item lacks layer_index' FROM supplier WHERE s_suppkey % 2 = 1 UNION ALL SELECT s_suppkey, 'confidence out of range' FROM supplier WHERE s_suppkey % 3 = 0")
-def validate_response(spark, d):
+def validate_keys(spark, d):
     k = F.col("s_suppkey")
     doc = F.concat(F.lit('{"overall_confidence":'), F.when(k % 3 == 0, "1.5").otherwise("0.5"), F.when(k % 2 == 0, "").otherwise(',"layers":[{"name":"x"}]'), F.lit("}"))
-    return D.validate_response(table(spark, d, "supplier").select(k.alias("id"), doc.alias("doc")), ["layers"], "layers", ["name", "layer_index"])
+    return D.validate_keys(table(spark, d, "supplier").select(k.alias("id"), doc.alias("doc")), ["layers"], "layers", ["name", "layer_index"])
 
 
 @query("SELECT doc_id, 'Module:' || source || ':' || regexp_replace(lang || '#' || doc_id, '[^\\w.\\-]', '_', 'g') AS id, lang || '_' || doc_id AS last, source || '|imports|' || lang AS key FROM documents")

@@ -462,3 +462,30 @@ def test_long_chains_and_rings_take_few_steps(spark, monkeypatch):
     ring = graph(spark, [*ids, "a", "b"], [(a, b, "depends_on") for a, b in zip(ids, ids[1:] + ids[:1])] + tail)
     assert {x[1] for x in rows(K.strong_components(ring))} == {"00000", "a"} and len(steps) < 120
     assert set(rows(K.layering(ring, condense=True))) == {(i, 0) for i in ids} | {("a", 1), ("b", 1)}
+
+
+def _names_by_hand(names, known):
+    index, out = [(n.lower(), i) for n, i in known], {}
+    for name in names:
+        key = name.lower().strip()
+        if key:
+            hit = next((i for n, i in index if n == key), None) or next((i for n, i in index if key in n or n in key), None)
+            if not hit:
+                hit = "data_object:" + key.replace(" ", "_")
+                index.append((key, hit))
+            out.setdefault((name, hit))
+    return sorted(out)
+
+
+def test_names_made_on_the_way_brute_force(spark):
+    r = random.Random(3)
+    parts = ["orders", "order", "ord", "user", "users", "us", "table", "t", "line", "x"]
+    for _ in range(2):
+        asked = [" ".join(r.choice(parts) for _ in range(r.randint(1, 3))) + r.choice(("", " ")) for _ in range(60)] + ["Orders", "orders table", " "]
+        r.shuffle(asked)
+        known = [("User Base", "u1"), ("line x t", "l1"), ("ZZ", "z")]
+        k = spark.createDataFrame([(n, i, s) for s, (n, i) in enumerate(known)], "name string, id string, seq long")
+        n = spark.createDataFrame([(x, s) for s, x in enumerate(asked)], "name string, seq long")
+        assert sorted((x["name"], x["id"]) for x in N.partial_name_resolve(n, k).collect()) == _names_by_hand(asked, known)
+    both = N.partial_name_resolve(n.withColumn("graph", F.lit("a")).unionByName(spark.createDataFrame([("Orders", 1, "b"), ("orders table", 2, "b")], "name string, seq long, graph string")), k.withColumn("graph", F.lit("a")), by=("graph",))
+    assert {x["id"] for x in both.where("graph = 'b'").collect()} == {"data_object:orders"} and both.where("graph = 'a'").count() == len(_names_by_hand(asked, known))
