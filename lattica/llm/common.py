@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ SPACES = " \t\n\x0b\x0c\r"
 SPLIT = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["SPACES", "SPLIT", "WORD", "forget", "sweep", "table", "words", "written"]
+__all__ = ["SPACES", "SPLIT", "WORD", "forget", "small_batches", "sweep", "table", "words", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +26,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return cut(df, name)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, bytes_: int = 8 << 20):
+    """Within it tasks send Python batches of up to so many bytes, so that rows with several whole texts take little memory."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, f"{bytes_}b")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def words(text: Column) -> Column:
     """The words of a text; none for null and blank ones."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, sweep, table, written
+from .common import forget, small_batches, sweep, table, written
 
 K, SKETCHES, PICKS, SIMILARITY = 5, 32, 3, 0.8
 #: 64-bit words of the parity map.
@@ -49,7 +49,7 @@ class _Hashes(dict):
     """64-bit hashes of words, kept up to a bound."""
 
     def __missing__(self, word):
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -338,7 +338,9 @@ def _likely(similarity: float):
 
 def components_of(keyed: DataFrame, copies: DataFrame, *, k: int = K, sketches: int = SKETCHES, picks: int = PICKS, similarity: float = SIMILARITY) -> DataFrame:
     """(h, root) of the texts that have links. keyed: (k, h, text), a row for each document; copies: (h, k), the document of each text that stands for it."""
-    sketch = written(sketched(keyed.select("h", "text"), k, sketches, picks), "sketches")
+    spark = keyed.sparkSession
+    with small_batches(spark):
+        sketch = written(sketched(keyed.select("h", "text"), k, sketches, picks), "sketches")
     dealt = sketch.select("h", F.posexplode("sketch").alias("i", "v"))
     shared = dealt.groupBy("i", "v").agg(F.count("*").alias("c")).where(F.col("c") > 1)
     # a text that shares much with many is the better leader, and the same one in most buckets of a group
@@ -354,7 +356,8 @@ def components_of(keyed: DataFrame, copies: DataFrame, *, k: int = K, sketches:
     row = F.struct((-F.col("w")).alias("w"), "h", "n", "p")
     lead = bucket.groupBy("i", "v").agg(F.min(row).alias("l"))
     first = _named(lead.select("i", "v", "l.*"), "a").join(_named(bucket, "b"), ["i", "v"]).where((F.col("a") != F.col("b")) & possible)
-    star = written(aligned(first.select("a", "b").distinct(), texts, similarity), "star-links")
+    with small_batches(spark):
+        star = written(aligned(first.select("a", "b").distinct(), texts, similarity), "star-links")
     sweep(keyed.sparkSession)
     roots = components(star)
 
@@ -362,7 +365,8 @@ def components_of(keyed: DataFrame, copies: DataFrame, *, k: int = K, sketches:
     leader = lead.select("i", "v", F.col("l.h").alias("h")).join(roots, "h", "left").select("i", "v", F.coalesce("root", "h").alias("main"))
     mixed = written(member.join(leader, ["i", "v"]).where(F.col("root") != F.col("main")).select("i", "v", "main").distinct(), "mixed-buckets")
     crowd = written(member.join(mixed, ["i", "v"]), "mixed-members")
-    maps = written(wide_maps(texts.join(crowd.select("h").distinct(), "h", "left_semi")), "wide-maps")
+    with small_batches(spark):
+        maps = written(wide_maps(texts.join(crowd.select("h").distinct(), "h", "left_semi")), "wide-maps")
     crowd = crowd.join(maps.join(sketch.select("h", "sketch"), "h"), "h")
     main, other = crowd.where(F.col("root") == F.col("main")), crowd.where(F.col("root") != F.col("main"))
     # a pair meets in every bucket it shares, all of them mixed; the first one emits it
@@ -372,7 +376,8 @@ def components_of(keyed: DataFrame, copies: DataFrame, *, k: int = K, sketches:
     across = _named(main, "a", xa="wide", sa="sketch").join(_named(other, "b", xb="wide", sb="sketch"), ["i", "v"]).where(passes).select("a", "b")
     one, two = _named(other, "a", ra="root", xa="wide", sa="sketch"), _named(other, "b", rb="root", xb="wide", sb="sketch")
     among = one.join(two, ["i", "v"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & passes).select("a", "b")
-    late = written(aligned(across.union(among), texts, similarity), "late-links")
+    with small_batches(spark):
+        late = written(aligned(across.union(among), texts, similarity), "late-links")
     sweep(keyed.sparkSession)
     if not late.isEmpty():
         roots = components(star.unionByName(late))
