@@ -11,13 +11,15 @@ that, documents' window counts meet them in a join. Both ways give the same sums
 
 The model learns from four fifths of the trusted rows; the others set the thresholds: a document is
 rejected if its perplexity is above the ``quantile`` of held-out trusted texts of its language
-(of all languages, if a language has fewer than ``MIN_HELD``). Texts without characters have no
+(drawn towards that of all languages, the more the fewer they are: n of them weigh n / (n + PRIOR)). Texts without characters have no
 perplexity and are rejected. Without held-out trusted texts nothing but those is rejected. A null
 language is one of its own. Repeated rows are judged alike; further columns pass through.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,7 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-ORDER, QUANTILE, MIN_HELD = 5, 0.98, 30
+ORDER, QUANTILE = 5, 0.98
+#: Held-out texts with which a language's own quantile weighs as much as that of all languages.
+PRIOR = 30
 SENT_ROWS, SENT_MARKS = 3_000_000, 1_000_000
 _PAD = "\x02"
 #: Characters that a task looks at together, and distinct windows that it holds before it lets them go: a worker needs some tens of MB.
@@ -220,11 +224,14 @@ def judge(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_c
     grams = written(count_grams(marked.select("text", (F.col("role") == 1).alias("train"))), "grams")
     scored = written(perplexities(marked, written(resolve(grams), "resolved"), sent_rows=sent_rows), "perplexities")
     held = scored.where((F.col("role") == 2) & F.col("perplexity").isNotNull())
-    limits = held.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("own"), F.count("*").alias("n"))
-    limits = limits.where(F.col("n") >= MIN_HELD).select(F.col("lang").alias("__l"), "own")
-    everyone = held.agg(F.percentile_approx("perplexity", quantile, 10_000).alias("e")).first()["e"]
+    of = F.percentile_approx("perplexity", quantile, 10_000)
+    limits = held.groupBy("lang").agg(of.alias("own"), F.count("*").alias("n")).select(F.col("lang").alias("__l"), "own", "n")
+    everyone = held.agg(of.alias("e")).first()["e"]
     joined = scored.join(limits, F.col("lang") == F.col("__l"), "left")
-    threshold = F.coalesce("own", F.lit(everyone).cast("double"), F.lit(float("inf")))
+    # between the quantile of the language and that of all, in logarithms: the more of its texts are held out, the nearer to its own
+    share = F.col("n") / (F.col("n") + F.lit(float(PRIOR)))
+    mixed = F.exp(share * F.log("own") + (1 - share) * F.lit(everyone and math.log(everyone)).cast("double"))
+    threshold = F.coalesce(mixed, F.lit(everyone).cast("double"), F.lit(float("inf")))
     kept = F.col("perplexity").isNotNull() & (F.col("perplexity") <= threshold)
     return joined.select(F.col("id").alias(id_col), "t", "lang", "n_scored", "perplexity", threshold.alias("threshold"), F.coalesce(kept, F.lit(False)).alias("kept"))
 
