@@ -200,7 +200,7 @@ def score_toxicity(docs: DataFrame, labelled: DataFrame, *, id_col: str = "doc_i
 
 def op7_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))  # a null id has no remainder
     labels = table(spark, sf_dir, "labels").where(~held & F.col("toxic").isNotNull()).select("doc_id", "toxic")
     scored = score_toxicity(docs, labels)
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
