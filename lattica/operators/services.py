@@ -110,7 +110,7 @@ def repo_tree(modules: DataFrame, files: DataFrame, max_depth: int = 3, most: in
     return m.withColumn("position", k).where(F.col("position") <= most).join(held, "path", "left").select("path", "parent", "depth", F.coalesce("file_count", F.lit(0)).cast("long").alias("file_count"), "position")
 
 
-def repo_summary(g: Graph, most_tokens: int = 8000) -> DataFrame:
+def count_summary(g: Graph, most_tokens: int = 8000) -> DataFrame:
     """text, tokens, truncated: the counts of a graph's types as lines; one row."""
     line = F.concat("kind", F.lit(" "), "type", F.lit(": "), F.col("n").cast("string"))
     text = type_counts(g).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text"))

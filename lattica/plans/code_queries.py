@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from ..operators import components as C
 from ..operators import derive as D
 from ..operators import merge as M
 from ..operators import metrics as X
+from ..operators import summary as Z
 from ..operators import traverse as T
 from ..operators import vectors as V
 from ..sources import files as FS
@@ -457,3 +460,81 @@ def validate_response(spark, d):
     pick = lambda values: F.element_at(F.array(*values), (k % 7 + 1).cast("int"))
     answers = p.select(k.alias("answer"), pick([F.lit(t) for t, _ in _CHECKED]).alias("template"), pick([_filled(k, doc) for _, doc in _CHECKED]).alias("doc"))
     return N.validate_response(answers).select("answer", "valid", "confidence", F.explode("issues").alias("i")).select("answer", "valid", "confidence", "i.*")
+
+
+# summaries
+
+
+def _shops(spark, d):
+    """A graph for each region: nations are modules, customers files, suppliers services and API endpoints, parts functions and tables."""
+    t = lambda n: table(spark, d, n)
+    text = lambda c: F.col(c).cast("string")
+    nation = t("nation").select("n_nationkey", "n_name", F.concat(F.lit("g"), text("n_regionkey")).alias("graph"))
+    at = lambda df, key: df.join(nation.select(F.col("n_nationkey").alias(key), "graph"), key)
+    node = lambda df, kind, type_, key, name, props, base: df.select("graph", F.concat(F.lit(kind), text(key)).alias("id"), F.lit(type_).alias("type"), name.alias("name"), props.alias("props"), (F.col(key).cast("long") + base).alias("seq"))
+    fill = lambda pattern, *cols: F.format_string(pattern, *cols)
+    region, customers, suppliers = t("region").withColumn("graph", F.concat(F.lit("g"), text("r_regionkey"))), at(t("customer"), "c_nationkey"), at(t("supplier"), "s_nationkey")
+    parts = t("part").withColumn("graph", F.concat(F.lit("g"), (F.col("p_partkey") % 5).cast("string")))
+    s, k = F.col("s_suppkey"), F.col("p_partkey")
+    nodes = [
+        node(region, "repo:", "Repository", "r_regionkey", F.col("r_name"), F.when(F.col("r_regionkey") == 0, '{"git_commit":"abcdef0123456789"}').otherwise("{}"), 0),
+        node(nation, "mod:", "Module", "n_nationkey", F.col("n_name"), fill('{"path":"src/%s","language":"l%d"}', "n_name", F.col("n_nationkey") % 3), 1000),
+        node(customers, "file:", "File", "c_custkey", F.col("c_name"), fill('{"language":"x%d"}', F.col("c_custkey") % 4), 0),
+        node(suppliers.where(s % 2 == 0), "sup:", "Service", "s_suppkey", F.col("s_name"), F.when(s % 4 == 0, fill('{"port":%d,"description":"d%d"}', s, s)).otherwise("{}"), 0),
+        node(suppliers.where(s % 2 == 1), "sup:", "API", "s_suppkey", F.col("s_name"), fill('{"method":"GET","path":"/s%d","module":"m"%s}', s, F.when(s % 3 == 0, ',"description":"about"').otherwise("")), 0),
+        node(parts, "fn:", "Function", "p_partkey", F.concat(F.lit("f"), text("p_partkey")), fill('{"module":"m%d","signature":"a, b"}', k % 7), 0),
+        node(parts.where(k % 41 == 0), "tab:", "Table", "p_partkey", F.concat(F.lit("t"), text("p_partkey")), fill('{"database":"DB%d"}', k % 5), 0),
+        node(region.where("r_regionkey <> 4"), "db:", "Database", "r_regionkey", F.concat(F.lit("DB"), text("r_regionkey")), F.lit('{"db_type":"x"}'), 0),
+        node(nation, "ev:", "Event", "n_nationkey", F.concat(F.lit("ev"), text("n_nationkey")), F.when(F.col("n_nationkey") % 2 == 0, '{"event_type":"t"}').otherwise("{}"), 0),
+    ]
+    edge = lambda df, a, ak, b, bk, type_: df.select("graph", F.concat(F.lit(a), ak.cast("string")).alias("src"), F.concat(F.lit(b), bk.cast("string")).alias("dst"), F.lit(type_).alias("type"), F.lit("{}").alias("props"), ak.cast("long").alias("seq"))
+    c = F.col("c_custkey")
+    edges = [
+        edge(customers, "mod:", F.col("c_nationkey"), "file:", c, "contains"),
+        edge(parts.where((k >= 50) & (k % 50 > 0)), "fn:", k, "fn:", k % 50, "calls"),
+        edge(customers.where(c % 10 == 0), "file:", c, "ev:", F.col("c_nationkey"), "publishes"),
+        edge(suppliers, "sup:", s, "ev:", F.col("s_nationkey"), "subscribes"),
+    ]
+    both = lambda dfs: reduce(lambda a, b: a.unionByName(b), dfs)
+    return both(nodes), both(edges)
+
+
+@query("""WITH cu AS (SELECT c_custkey AS k, c_name AS name, n_nationkey AS n, n_regionkey AS r FROM customer JOIN nation ON c_nationkey = n_nationkey
+), su AS (SELECT s_suppkey AS k, s_name AS name, n_nationkey AS n, n_regionkey AS r FROM supplier JOIN nation ON s_nationkey = n_nationkey
+), fn AS (SELECT p_partkey AS k, p_partkey % 5 AS r, p_partkey >= 50 AND p_partkey % 50 > 0 AS calls, p_partkey % 50 AS j FROM part
+), deg AS (SELECT k, r, (SELECT count(*) FROM fn f WHERE f.calls AND f.j = fn.k) AS i, calls::INT AS o FROM fn
+), cnt AS (
+  SELECT r_regionkey AS r, r_name, 1 + 2 * (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) + (SELECT count(*) FROM cu WHERE r = r_regionkey) + (SELECT count(*) FROM su WHERE r = r_regionkey)
+    + (SELECT count(*) + count(*) FILTER (WHERE k % 41 = 0) FROM fn WHERE r = r_regionkey) + (r_regionkey <> 4)::INT AS n,
+    (SELECT count(*) + count(*) FILTER (WHERE k % 10 = 0) FROM cu WHERE r = r_regionkey) + (SELECT count(*) FROM su WHERE r = r_regionkey) + (SELECT count(*) FILTER (WHERE calls) FROM fn WHERE r = r_regionkey) AS e FROM region
+), lim AS (SELECT *, CASE WHEN n > 10000 THEN 0.4 WHEN n > 4000 THEN 0.6 WHEN n > 2000 THEN 0.8 ELSE 1.0 END::DOUBLE AS s FROM cnt
+), sp AS (SELECT r, string_agg(DISTINCT l, ', ' ORDER BY l) AS said FROM (SELECT r, 'x' || k % 4 AS l FROM cu UNION ALL SELECT n_regionkey, 'l' || n_nationkey % 3 FROM nation) GROUP BY r
+), md AS (SELECT n_regionkey AS r, n_nationkey AS n, n_name, (SELECT count(*) FROM cu WHERE cu.n = n_nationkey) AS held FROM nation
+), ca AS (
+  SELECT f.r, f.k, f.j, row_number() OVER (PARTITION BY f.r, f.j ORDER BY f.k, 'fn:' || f.k) AS place, d.i FROM fn f JOIN deg d ON d.k = f.j WHERE f.calls
+), tb AS (SELECT r, 't' || k AS t, k, row_number() OVER (PARTITION BY r ORDER BY k) AS place, count(*) OVER (PARTITION BY r) AS every FROM fn WHERE k % 41 = 0
+), pu AS (SELECT n, string_agg(name, ', ' ORDER BY k) AS who FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY k) AS place FROM cu WHERE k % 10 = 0) WHERE place <= 5 GROUP BY n
+), sb AS (SELECT n, string_agg(name, ', ' ORDER BY k) AS who FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY k) AS place FROM su) WHERE place <= 5 GROUP BY n
+), ev AS (SELECT n_regionkey AS r, n_nationkey AS n, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation
+), l AS (
+  SELECT r, 0 AS section, 0 AS k, 0 AS sub, '# Repository: ' || r_name AS line FROM cnt
+  UNION ALL SELECT r, 0, 1, 0, 'Languages: ' || said || ' | Files: ' || (SELECT count(*) FROM cu WHERE cu.r = cnt.r) || ' | Nodes: ' || n || ' | Edges: ' || e FROM cnt JOIN sp USING (r)
+  UNION ALL SELECT r, 0, 2, 0, 'Git commit: abcdef012345' FROM cnt WHERE r = 0
+  UNION ALL SELECT r, 1, row_number() OVER (PARTITION BY r ORDER BY n_name), 0, '- ' || n_name FROM md
+  UNION ALL SELECT r, 2, row_number() OVER (PARTITION BY r ORDER BY held DESC, n), 0, '- ' || n_name || ' (l' || n % 3 || ') — ' || held || ' nodes, ' || held || ' files | path: src/' || n_name FROM md
+  UNION ALL SELECT r, 3, row_number() OVER (PARTITION BY r ORDER BY k), 0, '- ' || name || CASE WHEN k % 4 = 0 THEN ' :' || k || ' — d' || k ELSE '' END FROM su WHERE k % 2 = 0
+  UNION ALL SELECT r, 4, row_number() OVER (PARTITION BY r ORDER BY k), 0, '- [GET] /s' || k || ' → ' || name || ' (module: m)' FROM su WHERE k % 2 = 1
+  UNION ALL SELECT * FROM (SELECT r, 4, row_number() OVER (PARTITION BY r ORDER BY k) AS p, 1, CASE WHEN k % 3 = 0 THEN '  about' END AS a FROM su WHERE k % 2 = 1) WHERE a IS NOT NULL
+  UNION ALL SELECT r, 5, row_number() OVER (PARTITION BY r ORDER BY 2 * i + o DESC, k), 0, '- f' || k || '(a, b) [module: m' || k % 7 || ', in: ' || i || ', out: ' || o || ', pagerank: 0.00000]' FROM deg
+  UNION ALL SELECT r, 6, row_number() OVER (PARTITION BY r ORDER BY i DESC, 'fn:' || j, place), 0, '- m' || k % 7 || '.f' || k || ' → m' || j % 7 || '.f' || j FROM ca WHERE place <= 3
+  UNION ALL SELECT c.r, 7, 1, 0, '- DB' || c.r || CASE WHEN c.r = 4 THEN ' (unknown)' ELSE ' (x)' END || coalesce(': ' || (SELECT string_agg(t, ', ' ORDER BY k) FROM tb WHERE tb.r = c.r AND place <= 10)
+    || CASE WHEN (SELECT max(every) FROM tb WHERE tb.r = c.r) > 10 THEN ' ... (+' || ((SELECT max(every) FROM tb WHERE tb.r = c.r) - 10) || ' more)' ELSE '' END, '') FROM cnt c WHERE c.r <> 4 OR EXISTS (SELECT 1 FROM tb WHERE tb.r = 4)
+  UNION ALL SELECT r, 8, k, 0, '- ev' || n || CASE WHEN n % 2 = 0 THEN ' (t)' ELSE '' END FROM ev
+  UNION ALL SELECT r, 8, k, 1, '  publishers: ' || who FROM ev JOIN pu USING (n) UNION ALL SELECT r, 8, k, 2, '  subscribers: ' || who FROM ev JOIN sb USING (n)
+), top AS (SELECT l.* FROM l JOIN lim USING (r) WHERE section < 2 OR l.k <= greatest(5, floor([20, 15, 30, 40, 60, 20, 20][section - 1] * s + 1e-9))
+), heads AS (SELECT DISTINCT r, section, -1 AS k, 0 AS sub, chr(10) || '## ' || ['Directory Structure', 'Modules', 'Services', 'API Endpoints', 'Key Functions (ranked by importance)', 'Call Graph Sample', 'Databases & Tables', 'Events & Topics'][section] AS line FROM top WHERE section > 0
+), run AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY r ORDER BY section, k, sub) - 1 AS upto FROM (SELECT * FROM top UNION ALL SELECT * FROM heads)
+) SELECT 'g' || r AS graph, string_agg(line, chr(10) ORDER BY section, k, sub) FILTER (WHERE upto // 4 <= 1500) AS text, max(upto)::BIGINT // 4 AS tokens, max(upto) // 4 > 1500 AS truncated FROM run GROUP BY r""")
+def repo_summary(spark, d):
+    """Summaries of five graphs, at a budget that cuts them."""
+    return Z.repo_summary(*_shops(spark, d), budget=1500)

@@ -649,8 +649,8 @@ def repo_tree(spark, d):
 
 
 @query(f"WITH {STAR}, t AS (SELECT 'node' AS kind, type, count(*) AS n FROM nodes GROUP BY ALL UNION ALL SELECT 'edge', type, count(*) FROM edges GROUP BY ALL), l AS (SELECT kind || ' ' || type || ': ' || n AS line FROM t), x AS (SELECT string_agg(line, chr(10) ORDER BY line) AS text FROM l) SELECT text, greatest(1, length(text) // 4)::BIGINT AS tokens, length(text) // 4 > 8000 AS truncated FROM x")
-def repo_summary(spark, d):
-    return P.repo_summary(star(spark, d))
+def count_summary(spark, d):
+    return P.count_summary(star(spark, d))
 
 
 @query("SELECT 'Service::' || n_name AS id, n_name AS name FROM nation")
