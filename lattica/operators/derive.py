@@ -243,15 +243,17 @@ def scan_k8s(files: DataFrame) -> DataFrame:
                 for d in docs:
                     if not isinstance(d, dict) or "kind" not in d:
                         continue
-                    meta = d.get("metadata") or {}
-                    own = d.get("spec") or {}
-                    spec = (own.get("template") or {}).get("spec") or {}
-                    head = (path, d["kind"], meta.get("name"), meta.get("namespace"))
+                    part = lambda x, key, kind=dict: v if isinstance(v := x.get(key), kind) else kind()  # noqa: E731  what is no mapping, or no list, is passed over
+                    text = lambda x: None if x is None else str(x)
+                    meta, own = part(d, "metadata"), part(d, "spec")
+                    spec = part(part(own, "template"), "spec")
+                    head = (path, text(d["kind"]), text(meta.get("name")), text(meta.get("namespace")))
                     rows.append((*head, None, None))
                     # of templates, their init containers, and of plain pods
-                    for c in [*(spec.get("containers") or []), *(spec.get("initContainers") or []), *(own.get("containers") or [])]:
-                        rows.append((*head, c.get("image"), None))
-                        rows += [(*head, None, v.get("name")) for v in c.get("env") or []]
+                    for c in [*part(spec, "containers", list), *part(spec, "initContainers", list), *part(own, "containers", list)]:
+                        if isinstance(c, dict):
+                            rows.append((*head, text(c.get("image")), None))
+                            rows += [(*head, None, text(v.get("name"))) for v in part(c, "env", list) if isinstance(v, dict)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in K8S.split(", ")])
 
     return files.where(F.col("content").contains("kind:")).select("path", "content").mapInPandas(run, K8S)

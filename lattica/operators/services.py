@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import token_estimate
 from ..model import Graph
+from .derive import env_to_database
 from .metrics import type_counts
 from .symbols import type_annotation_match
 
@@ -87,18 +90,77 @@ def scan_terraform(files: DataFrame) -> DataFrame:
     return x.select("path", "resource", "logical", "kind", F.when(name == "", F.col("logical")).otherwise(name).alias("name"), F.nullif(cluster, F.lit("")).alias("cluster"), refs.alias("refs"))
 
 
-def infra_graph(resources: DataFrame) -> Graph:
-    """Service, Cluster and Database nodes, one a name (the first path's properties win); services are deployed on clusters and use databases."""
-    node = F.concat("kind", F.lit("::"), "name")
-    r = resources.withColumn("id", node).withColumn("key", F.concat("resource", F.lit("."), "logical"))
-    first = F.min_by(F.to_json(F.struct("resource", "path")), F.struct("path", "logical"))
-    nodes = r.groupBy("id", F.col("kind").alias("type"), "name").agg(first.alias("props")).withColumn("seq", F.lit(0).cast("long"))
+#: Kinds of Kubernetes objects that are services, and that are clusters; parts of image names that are databases.
+K8S_SERVICES = ("Deployment", "StatefulSet", "DaemonSet", "ReplicaSet", "Job", "CronJob", "Service")
+K8S_CLUSTERS = ("Namespace", "ClusterRole", "ClusterRoleBinding")
+DATABASE_IMAGES = ("postgres", "mysql", "mariadb", "mongodb", "mongo", "redis", "elasticsearch", "cassandra", "cockroachdb", "mssql", "oracle", "sqlite")
+
+
+def _found(df: DataFrame, source: int, type_: str, name, path: str, *props) -> DataFrame:
+    """type, name, props of what a source says, with its rank."""
+    return df.select(F.lit(type_).alias("type"), name.alias("name"), F.struct(F.lit(source).alias("source"), F.col(path).alias("path"), F.to_json(F.struct(*props, F.col(path).alias("source_file"))).alias("props")).alias("said"))
+
+
+def _from_docker(rows: DataFrame) -> DataFrame:
+    image = F.element_at(F.split(F.split("value", ":")[0], "/"), -1)
+    boxes = _found(rows.where("kind = 'image'"), 0, "Component", image, "path", F.col("value").alias("image"), F.lit("container").alias("role"))
+    env = rows.where("kind = 'env'").select("path", F.col("value").alias("name"))
+    return boxes.union(_found(env.join(env_to_database(env.select("name").distinct()), "name"), 0, "Database", F.col("database"), "path"))
+
+
+def _from_kubernetes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes, and edges by type and name of both ends."""
+    named = rows.where(F.coalesce("name", F.lit("")) != "").withColumn("space", F.coalesce(F.nullif("namespace", F.lit("")), F.lit("default")))
+    own = named.where(F.col("kind").isin(*K8S_SERVICES))
+    low, box = F.lower("image"), F.element_at(F.split(F.split("image", ":")[0], "/"), -1)
+    hint = F.coalesce(*[F.when(low.contains(h), F.lit(h.capitalize())) for h in DATABASE_IMAGES])
+    images = own.where(F.coalesce("image", F.lit("")) != "").withColumn("database", hint)
+    env = own.where("env is not null").withColumnRenamed("name", "service").withColumnRenamed("env", "name")
+    asks = env.join(env_to_database(env.select("name").distinct()), "name").select("path", F.col("service").alias("name"), "database")
+    nodes = reduce(DataFrame.union, [
+        _found(own, 1, "Service", F.col("name"), "path", "kind", F.col("space").alias("namespace")),
+        _found(own, 1, "Cluster", F.col("space"), "path", F.lit("k8s_namespace").alias("type")),
+        _found(named.where(F.col("kind").isin(*K8S_CLUSTERS)), 1, "Cluster", F.col("name"), "path", "kind"),
+        _found(images.where("database is null"), 1, "Component", box, "path", "image", F.lit("container").alias("role")),
+        _found(images.where("database is not null"), 1, "Database", F.col("database"), "path", "image"),
+        _found(asks, 1, "Database", F.col("database"), "path"),
+    ])
+    uses = images.where("database is not null").select("name", "database").union(asks.select("name", "database"))
+    edge = lambda df, to, kind, type_: df.select(F.concat(F.lit("Service::"), "name").alias("src"), F.concat(F.lit(f"{kind}::"), to).alias("dst"), F.lit(type_).alias("type"))
+    return nodes, edge(own, F.col("space"), "Cluster", "deployed_on").union(edge(uses, F.col("database"), "Database", "uses"))
+
+
+def _from_terraform(resources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    r = resources.withColumn("id", F.concat("kind", F.lit("::"), "name")).withColumn("key", F.concat("resource", F.lit("."), "logical"))
+    said = F.struct(F.lit(2).alias("source"), F.concat_ws(" ", "path", "logical").alias("path"), F.to_json(F.struct("resource", "path")).alias("props"))
     target = r.select(F.col("key").alias("ref"), F.col("id").alias("dst"), F.col("kind").alias("of")).distinct()
     own = r.where("kind = 'Service'")
     on = own.select("id", F.col("cluster").alias("ref"), F.lit("Cluster").alias("of"), F.lit("deployed_on").alias("type"))
     uses = own.select("id", F.explode("refs").alias("ref"), F.lit("Database").alias("of"), F.lit("uses").alias("type"))
-    edges = on.union(uses).join(target, ["ref", "of"]).select(F.col("id").alias("src"), "dst", "type").distinct()
-    return Graph(nodes, edges.select("src", "dst", "type", F.lit("{}").alias("props"), F.lit(0).cast("long").alias("seq")))
+    return r.select(F.col("kind").alias("type"), "name", said.alias("said")), on.union(uses).join(target, ["ref", "of"]).select(F.col("id").alias("src"), "dst", "type")
+
+
+def infra_graph(terraform: DataFrame | None = None, docker: DataFrame | None = None, kubernetes: DataFrame | None = None) -> Graph:
+    """Service, Component (containers), Cluster and Database nodes, one for each type and name, of any of the sources.
+
+    terraform: rows of scan_terraform(); docker: rows of scan_dockerfiles(); kubernetes: path, kind,
+    name, namespace, image, env, a row for each object, image and variable. What is said of a name
+    by Dockerfiles wins, then by Kubernetes, then by Terraform, and within a source by the first
+    path. Services are deployed on clusters, those of Kubernetes on their namespace, and use databases.
+    """
+    nodes, edges = [], []
+    if docker is not None:
+        nodes.append(_from_docker(docker))
+    for source, read in ((kubernetes, _from_kubernetes), (terraform, _from_terraform)):
+        if source is not None:
+            n, e = read(source)
+            nodes.append(n)
+            edges.append(e)
+    n = reduce(DataFrame.union, nodes).where("name is not null and name <> ''").groupBy("type", "name").agg(F.min("said").alias("said"))
+    n = n.select(F.concat("type", F.lit("::"), "name").alias("id"), "type", "name", F.col("said.props").alias("props"), F.lit(0).cast("long").alias("seq"))
+    none = n.select(F.col("id").alias("src"), F.col("id").alias("dst"), "type").limit(0)
+    e = reduce(DataFrame.union, edges, none).distinct()
+    return Graph(n, e.select("src", "dst", "type", F.lit("{}").alias("props"), F.lit(0).cast("long").alias("seq")))
 
 
 def repo_tree(modules: DataFrame, files: DataFrame, max_depth: int = 3, most: int = 8) -> DataFrame:

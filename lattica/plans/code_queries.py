@@ -15,6 +15,7 @@ from ..operators import components as C
 from ..operators import derive as D
 from ..operators import merge as M
 from ..operators import metrics as X
+from ..operators import services as P
 from ..operators import summary as Z
 from ..operators import traverse as T
 from ..operators import vectors as V
@@ -538,3 +539,35 @@ def _shops(spark, d):
 def repo_summary(spark, d):
     """Summaries of five graphs, at a budget that cuts them."""
     return Z.repo_summary(*_shops(spark, d), budget=1500)
+
+
+_INFRA = """WITH dk AS (SELECT DISTINCT p_partkey % 20 AS j, p_partkey % 2 = 0 AS redis FROM part WHERE p_partkey % 3 = 0), kb AS (SELECT c_custkey AS c, 'svc' || c_custkey % 40 AS name, CASE WHEN c_custkey % 4 = 0 THEN 'default' ELSE 'ns' || c_custkey % 4 END AS space, c_custkey % 3 AS kind FROM customer
+), n AS (
+  SELECT 'Component' AS type, 'img' || j AS name, 'reg.io/img' || j || ':1' AS image FROM dk
+  UNION SELECT 'Database', 'Redis', NULL FROM dk WHERE redis
+  UNION SELECT 'Service', name, NULL FROM kb WHERE kind = 0 UNION SELECT 'Cluster', space, NULL FROM kb WHERE kind = 0 UNION SELECT 'Cluster', name, NULL FROM kb WHERE kind = 1
+  UNION SELECT 'Component', 'img' || c % 30, 'shop/img' || c % 30 || ':2' FROM kb WHERE kind = 0 AND c % 2 = 1 AND c % 30 NOT IN (SELECT j FROM dk)
+  UNION SELECT 'Database', 'Postgres', 'db/Postgres:15' FROM kb WHERE kind = 0 AND c % 2 = 0 UNION SELECT 'Database', 'MySQL', NULL FROM kb WHERE kind = 0 AND c % 5 = 0
+  UNION SELECT unnest(['Cluster', 'Service', 'Database']), unnest(['cluster-', 'svc-', 'd']) || s_suppkey, NULL FROM supplier
+), e AS (
+  SELECT 'Service::' || name AS src, 'deployed_on' AS type, 'Cluster::' || space AS dst FROM kb WHERE kind = 0
+  UNION SELECT 'Service::' || name, 'uses', 'Database::Postgres' FROM kb WHERE kind = 0 AND c % 2 = 0 UNION SELECT 'Service::' || name, 'uses', 'Database::MySQL' FROM kb WHERE kind = 0 AND c % 5 = 0
+  UNION SELECT 'Service::svc-' || s_suppkey, 'deployed_on', 'Cluster::cluster-' || s_suppkey FROM supplier
+  UNION SELECT 'Service::svc-' || s_suppkey, 'uses', 'Database::d' || s_suppkey % 10 FROM supplier WHERE s_suppkey % 10 IN (SELECT s_suppkey FROM supplier)
+) SELECT 'node' AS kind, type || '::' || name AS a, type, coalesce(image, '') AS b FROM n UNION ALL SELECT 'edge', src, type, dst FROM e"""
+
+
+@query(_INFRA)
+def infra_union(spark, d):
+    """Infrastructure as Dockerfiles, Kubernetes objects and Terraform tell it, with the image that is said first of a name."""
+    from .queries import _terraform
+
+    k, c = F.col("p_partkey"), F.col("c_custkey")
+    text = F.concat(F.lit("FROM reg.io/img"), (k % 20).cast("string"), F.lit(":1 AS b\nFROM scratch\n"), F.when(k % 2 == 0, "ENV REDIS_URL x\n").otherwise("ARG PLAIN\n"))
+    docker = D.scan_dockerfiles(table(spark, d, "part").where(k % 3 == 0).select(F.concat(F.lit("d"), k.cast("string")).alias("path"), text.alias("content")))
+    head = [F.concat(F.lit("k"), c.cast("string")).alias("path"), F.element_at(F.array(F.lit("Deployment"), F.lit("Namespace"), F.lit("ConfigMap")), (c % 3 + 1).cast("int")).alias("kind"), F.concat(F.lit("svc"), (c % 40).cast("string")).alias("name"), F.when(c % 4 > 0, F.concat(F.lit("ns"), (c % 4).cast("string"))).alias("namespace")]
+    image = F.when(c % 2 == 0, "db/Postgres:15").otherwise(F.concat(F.lit("shop/img"), (c % 30).cast("string"), F.lit(":2")))
+    kubernetes = table(spark, d, "customer").select(*head, image.alias("image"), F.when(c % 5 == 0, "MYSQL_HOST").alias("env"))
+    g = P.infra_graph(_terraform(spark, d), docker, kubernetes)
+    n = g.nodes.select(F.lit("node").alias("kind"), F.col("id").alias("a"), "type", F.coalesce(F.get_json_object("props", "$.image"), F.lit("")).alias("b"))
+    return n.union(g.edges.select(F.lit("edge"), "src", "type", "dst"))
