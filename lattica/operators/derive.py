@@ -181,12 +181,16 @@ def domain_group(nodes: DataFrame, domain: Column) -> Graph:
     return Graph(d, x.select(F.concat(F.lit("Domain::"), "d").alias("src"), F.col("id").alias("dst"), F.lit("contains").alias("type"), F.lit("{}").alias("props"), "seq"))
 
 
-def detect_broker(imports: DataFrame) -> DataFrame:
-    """path, broker: by a file's first import (path, module, line) of a broker's library or below it."""
+def detect_broker(imports: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """path, broker: by a file's first import (path, module, line) of a broker's library or below it; without one, eventbus if one of its classes (path, name) is called so."""
     table = F.create_map(*[F.lit(v) for b, libs in BROKERS for x in libs for v in (x, b)])
     parts = F.split("module", r"\.")
     prefixes = F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda n: table[F.array_join(F.slice(parts, 1, n), ".")])
-    return imports.withColumn("b", F.filter(prefixes, lambda x: x.isNotNull())[0]).where(F.col("b").isNotNull()).groupBy("path").agg(F.min_by("b", "line").alias("broker"))
+    found = imports.withColumn("b", F.get(F.filter(prefixes, lambda x: x.isNotNull()), F.lit(0))).where(F.col("b").isNotNull()).groupBy("path").agg(F.min_by("b", "line").alias("broker"))
+    if classes is None:
+        return found
+    hinted = classes.where(F.lower("name").rlike("eventbus|eventemitter|event_bus")).select("path").distinct().join(found, "path", "left_anti")
+    return found.union(hinted.select("path", F.lit("eventbus")))
 
 
 def _topic(direction: str):

@@ -110,8 +110,8 @@ def cluster_nodes(g: Graph, by: str = "type", collapse: int = 50) -> DataFrame:
 
 
 def cluster_quotient(g: Graph, by: str = "type") -> DataFrame:
-    """Edges between clusters: src_cluster, dst_cluster, type, n."""
-    of = g.nodes.select("id", F.concat(F.lit("cluster-proxy::"), by).alias("c"))
+    """Edges between clusters: src_cluster, dst_cluster, type, n; a cluster's proxy is named by the id that cluster_nodes() gives it."""
+    of = g.nodes.where(F.col(by).isNotNull()).select("id", F.concat(F.lit(f"cluster-proxy::cluster::{by}::"), by).alias("c"))
     a, b = of.select(F.col("id").alias("src"), F.col("c").alias("src_cluster")), of.select(F.col("id").alias("dst"), F.col("c").alias("dst_cluster"))
     return g.edges.join(a, "src").join(b, "dst").where(F.col("src_cluster") != F.col("dst_cluster")).groupBy("src_cluster", "dst_cluster", "type").agg(F.count("*").alias("n"))
 

@@ -114,8 +114,9 @@ def module_deps(imports: DataFrame, modules: DataFrame) -> DataFrame:
 def resolve_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
     """Distinct (src, dst) of functions (id, name, owner, seq) that call one another; calls: caller (id), receiver, callee.
 
-    In order: the receiver's or caller's own Class.method, the Pascal-cased receiver's method, a
-    bare function of that name (the last one registered), a name that is unique.
+    In order: the receiver's or caller's own Class.method, the method of the class that the last part
+    of the receiver names in Pascal case, then as it stands, a bare function of that name (the last
+    one registered), a name that is unique.
     """
     qualified = F.when(F.col("owner").isNull(), F.col("name")).otherwise(F.concat_ws(".", "owner", "name"))
     keyed = functions.select("id", "name", "owner", "seq", qualified.alias("q"))
@@ -124,8 +125,10 @@ def resolve_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
     index = exact.union(unique)
     own = calls.join(functions.select(F.col("id").alias("caller"), F.col("owner").alias("caller_owner")), "caller")
     first = F.when(F.col("receiver").isin("self", "this", "cls"), F.concat_ws(".", "caller_owner", "callee")).when(F.col("receiver").isNotNull(), F.concat_ws(".", "receiver", "callee")).otherwise(F.col("callee"))
-    pascal = F.when(F.col("receiver").isNotNull(), F.concat_ws(".", to_pascal(F.col("receiver")), "callee"))
-    keys = own.select("caller", "callee", "receiver", F.posexplode(F.array(first, pascal, F.concat(F.lit("~"), "callee"))).alias("pos", "key")).where(F.col("key").isNotNull())
+    nearest = F.element_at(F.split("receiver", r"\."), -1)
+    pascal = F.when(F.col("receiver").isNotNull(), F.concat_ws(".", to_pascal(nearest), "callee"))
+    named = F.when(F.col("receiver").contains("."), F.concat_ws(".", nearest, "callee"))
+    keys = own.select("caller", "callee", "receiver", F.posexplode(F.array(first, pascal, named, F.concat(F.lit("~"), "callee"))).alias("pos", "key")).where(F.col("key").isNotNull())
     hit = keys.join(index, "key").groupBy("caller", "callee", "receiver").agg(F.min_by("to", "pos").alias("dst"))
     return hit.select(F.col("caller").alias("src"), "dst").where(F.col("src") != F.col("dst")).distinct()
 

@@ -571,3 +571,31 @@ def infra_union(spark, d):
     g = P.infra_graph(_terraform(spark, d), docker, kubernetes)
     n = g.nodes.select(F.lit("node").alias("kind"), F.col("id").alias("a"), "type", F.coalesce(F.get_json_object("props", "$.image"), F.lit("")).alias("b"))
     return n.union(g.edges.select(F.lit("edge"), "src", "type", "dst"))
+
+
+@query("""WITH cu AS (SELECT c_custkey AS k, c_name AS name, c_nationkey AS n, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS place FROM customer WHERE c_custkey % 10 = 0
+), su AS (SELECT s_suppkey AS k, s_name AS name, s_nationkey AS n, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS place FROM supplier
+), p AS (SELECT n, string_agg(name, ',' ORDER BY k) AS who FROM cu WHERE place <= 5 GROUP BY n), s AS (SELECT n, string_agg(name, ',' ORDER BY k) AS who FROM su WHERE place <= 5 GROUP BY n)
+SELECT 'ev:' || n AS id, 'ev' || n AS event, coalesce(p.who, '') AS publishers, coalesce(s.who, '') AS subscribers FROM p FULL JOIN s USING (n)""")
+def event_publishers_and_subscribers(spark, d):
+    return X.event_pub_sub(Graph(*_shops(spark, d)))
+
+
+@query(f"WITH {STAR}, m AS (SELECT id, json_extract_string(props, '$.nation') AS c FROM nodes WHERE type IN ('Component', 'Service')), f AS (SELECT DISTINCT 'customer:' || o_custkey AS src, 'supplier:' || l_suppkey AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey) SELECT 'cluster-proxy::cluster::module::' || a.c AS src_cluster, 'cluster-proxy::cluster::module::' || b.c AS dst_cluster, 'uses' AS type, count(*) AS n FROM f JOIN m a ON src = a.id JOIN m b ON dst = b.id WHERE a.c <> b.c GROUP BY a.c, b.c")
+def module_quotient(spark, d):
+    """What customers of nations use of suppliers of other nations, by nation."""
+    g = A.star_graph(spark, d)
+    nodes = g.nodes.where("type in ('Component', 'Service')").withColumn("module", F.get_json_object("props", "$.nation"))
+    bought = table(spark, d, "orders").select("o_orderkey", "o_custkey").join(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey"), "o_orderkey")
+    edges = bought.select(F.concat(F.lit("customer:"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("supplier:"), F.col("l_suppkey").cast("string")).alias("dst"), F.lit("uses").alias("type"), F.lit("{}").alias("props"), F.lit(0).cast("long").alias("seq")).distinct()
+    return X.cluster_quotient(Graph(nodes, edges), by="module")
+
+
+@query("SELECT 'm' || s_suppkey AS path, CASE WHEN s_suppkey % 4 = 0 THEN 'kafka' ELSE 'eventbus' END AS broker FROM supplier WHERE s_suppkey % 4 < 2")
+def detect_broker_by_name(spark, d):
+    """A fourth of the files import a broker's library, all of those and another fourth have a class that names a bus."""
+    k = F.col("s_suppkey")
+    path = F.concat(F.lit("m"), k.cast("string")).alias("path")
+    s = table(spark, d, "supplier")
+    imports = s.select(path, F.when(k % 4 == 0, "kafka.errors").otherwise("os.path").alias("module"), F.lit(1).alias("line"))
+    return D.detect_broker(imports, s.select(path, F.when(k % 4 < 2, "MyEventBus").otherwise("Bus").alias("name")))

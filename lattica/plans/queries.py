@@ -82,7 +82,7 @@ def callgraph_view(spark, d):
     return _both(W.callgraph_view(events(spark, d)))
 
 
-@query(f"WITH {STAR}, e AS (SELECT * FROM edges WHERE type IN ('depends_on', 'reads', 'writes', 'produces', 'consumes')), t AS (SELECT src AS id FROM e UNION SELECT dst FROM e), n AS (SELECT nodes.* FROM nodes JOIN t USING (id)){_BOTH}")
+@query(f"WITH {STAR}, e AS MATERIALIZED (SELECT src, type, dst FROM edges WHERE type IN ('depends_on', 'reads', 'writes', 'produces', 'consumes')), t AS MATERIALIZED (SELECT src AS id FROM e UNION SELECT dst FROM e), n AS MATERIALIZED (SELECT id, type, name FROM nodes WHERE id IN (SELECT id FROM t)){_BOTH}")
 def lineage_view(spark, d):
     return _both(W.lineage_view(star(spark, d)))
 
@@ -226,7 +226,7 @@ def cluster_nodes(spark, d):
     return X.cluster_nodes(star(spark, d))
 
 
-@query(f"WITH {STAR} SELECT 'cluster-proxy::' || a.type AS src_cluster, 'cluster-proxy::' || b.type AS dst_cluster, e.type, count(*) AS n FROM edges e JOIN nodes a ON src = a.id JOIN nodes b ON dst = b.id WHERE a.type <> b.type GROUP BY ALL")
+@query(f"WITH {STAR} SELECT 'cluster-proxy::cluster::type::' || a.type AS src_cluster, 'cluster-proxy::cluster::type::' || b.type AS dst_cluster, e.type, count(*) AS n FROM edges e JOIN nodes a ON src = a.id JOIN nodes b ON dst = b.id WHERE a.type <> b.type GROUP BY ALL")
 def cluster_quotient(spark, d):
     return X.cluster_quotient(star(spark, d))
 
@@ -266,17 +266,17 @@ def graph_expand(spark, d):
     return _both(T.graph_expand(trade(spark, d), _seed(spark, "nation:1", "nation:2", "nation:3")))
 
 
-_IMPACT = ", w(id, depth, path) AS (SELECT 'nation:0', 0, ['nation:0'] UNION ALL SELECT {b}, depth + 1, list_append(path, {b}) FROM w JOIN edges ON {a} = w.id WHERE depth < {k} AND NOT list_contains(path, {b})), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY depth, path) AS q FROM w) SELECT id, depth, array_to_string(path, '>') AS path FROM r WHERE q = 1 AND depth > 0"
+_IMPACT = ", w(id, depth, path) AS (SELECT s, 0, [s] FROM (SELECT unnest({s}) AS s) UNION ALL SELECT {b}, depth + 1, list_append(path, {b}) FROM w JOIN edges ON {a} = w.id WHERE depth < {k} AND NOT list_contains(path, {b})), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY depth, path) AS q FROM w) SELECT id, depth, array_to_string(path, '>') AS path FROM r WHERE q = 1 AND depth > 0"
 
 
-@query("WITH RECURSIVE " + TRADE + _IMPACT.format(a="src", b="dst", k=5))
+@query("WITH RECURSIVE " + TRADE + _IMPACT.format(a="src", b="dst", k=5, s=["nation:0"]))
 def impact(spark, d):
     return T.impact(trade(spark, d), _seed(spark, "nation:0")).withColumn("path", F.array_join("path", ">"))
 
 
-@query("WITH RECURSIVE " + TRADE + _IMPACT.format(a="dst", b="src", k=4))
+@query("WITH RECURSIVE " + TRADE + _IMPACT.format(a="dst", b="src", k=2, s=["nation:0", "nation:8", "nation:9", "nation:23"]))
 def impact_upstream(spark, d):
-    return T.impact(trade(spark, d), _seed(spark, "nation:0"), max_depth=4, direction="up").withColumn("path", F.array_join("path", ">"))
+    return T.impact(trade(spark, d), _seed(spark, "nation:0", "nation:8", "nation:9", "nation:23"), max_depth=2, direction="up").withColumn("path", F.array_join("path", ">"))
 
 
 @query(f"WITH {STAR}, r AS (SELECT dst AS id, 1 AS depth FROM edges WHERE src = 'region:1' UNION SELECT b.dst, 2 FROM edges a JOIN edges b ON a.dst = b.src WHERE a.src = 'region:1' UNION SELECT c.dst, 3 FROM edges a JOIN edges b ON a.dst = b.src JOIN edges c ON b.dst = c.src WHERE a.src = 'region:1'), m AS (SELECT id, min(depth) AS depth FROM r GROUP BY id), t AS (SELECT m.*, type FROM m JOIN nodes USING (id)) SELECT type, depth, count(*) AS n, max(depth) AS max_depth FROM t GROUP BY GROUPING SETS ((type), (depth), ())")
@@ -464,9 +464,12 @@ def detect_components(spark, d):
     return D.detect_components(n).select("name", "component_type")
 
 
-@query("SELECT 'supplier:' || s_suppkey AS src, 'nation:' || s_nationkey AS dst FROM supplier WHERE s_suppkey <> s_nationkey OR true")
+@query("SELECT 'supplier:' || s_suppkey AS src, 'nation:' || CASE WHEN s_suppkey % 3 = 1 THEN s_nationkey ELSE least(s_nationkey, (s_nationkey + 1) % 25) END AS dst FROM supplier WHERE s_suppkey % 3 > 0")
 def type_annotation_match(spark, d):
-    s = table(spark, d, "supplier").select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("src"), F.concat(F.lit("list[N"), F.col("s_nationkey").cast("string"), F.lit("]")).alias("annotation"))
+    """A third of the annotations hold a name in a longer word only, a third name two nations, of which the first one known counts."""
+    k, one, two = F.col("s_suppkey") % 3, F.col("s_nationkey").cast("string"), ((F.col("s_nationkey") + 1) % 25).cast("string")
+    said = F.when(k == 0, F.concat(F.lit("N"), one, F.lit("x[N]"))).when(k == 1, F.concat(F.lit("Optional[N"), one, F.lit("]"))).otherwise(F.concat(F.lit("N"), one, F.lit(" | dict[str, N"), two, F.lit("]")))
+    s = table(spark, d, "supplier").select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("src"), said.alias("annotation"))
     n = table(spark, d, "nation").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("id"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("name"), F.col("n_nationkey").alias("seq"))
     return Y.type_annotation_match(s, n)
 
@@ -519,7 +522,7 @@ def domain_group(spark, d):
     return D.domain_group(c, F.col("name")).nodes.select(F.col("name").alias("d"), F.get_json_object("props", "$.member_count").cast("long").alias("n"))
 
 
-@query()
+@query(f"WITH {EVENTS}, a AS (SELECT id, upper(name[1]) || lower(substr(name, 2)) || 'Flow' AS flow, lower(name) || '_flow' AS slug FROM nodes WHERE type = 'Event' ORDER BY seq, id LIMIT 20), c AS (SELECT flow, slug, dst, row_number() OVER (PARTITION BY src ORDER BY seq, dst) AS k FROM a JOIN edges ON src = a.id WHERE edges.type = 'calls') SELECT flow, slug, 1::INT AS step_index, id AS node FROM a UNION ALL SELECT flow, slug, (k + 1)::INT, dst FROM c WHERE k <= 5")
 def infer_flows(spark, d):
     g = events(spark, d)
     return D.infer_flows(g.nodes.where("type = 'Event'"), g.edges.where("type = 'calls'"))
