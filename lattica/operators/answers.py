@@ -130,9 +130,8 @@ def ingest_model_output(answers: DataFrame, known: DataFrame) -> Ingested:
     # in a flow a function's name goes first; names are resolved in the order in which an answer gives them
     ends = data.select(*base, "turn", "k", "type", "src", F.posexplode(F.array("x", "y")).alias("end", "name")).where("name is not null")
     ends = named(ends, functions.withColumn("turn", F.lit(3)), "name", "function", "graph", "turn")
-    asked = cut(ends.where("function is null").groupBy("graph", "answer", "name").agg(F.min(F.struct("section", "position", "turn", "k", "end")).alias("first")), "data-names")
-    place = asked.select("graph", "answer", "name", _place("first").alias("seq"))
-    store = known.where("kind = 'data'").select("graph", "name", "id", "seq").join(asked.select("graph", "answer").distinct(), "graph")
+    place = cut(ends.where("function is null").groupBy("graph", "answer", "name").agg(F.min(_place()).alias("seq")), "data-names")
+    store = known.where("kind = 'data'").select("graph", "name", "id", "seq").join(place.select("graph", "answer").distinct(), "graph")
     found = cut(partial_name_resolve(place, store, by=("graph", "answer")), "data-ids")
     by_end = found.select("graph", "answer", "name", "id").distinct()
     lineage = named(data, functions.withColumn("turn", F.lit(3)), "x", "fx", "graph", "turn")
@@ -169,11 +168,10 @@ def ingest_model_output(answers: DataFrame, known: DataFrame) -> Ingested:
     return Ingested(nodes, kept, unknown)
 
 
-def _place(first: str) -> Column:
-    """A number that orders names as an answer gives them: section, position, kind of list, place in it, end."""
-    f = F.col(first)
-    late = F.when(f["section"] == "lineage", 0).otherwise(1).cast("long")
-    return (((late * F.lit(1 << 20) + f["position"]) * 4 + f["turn"]) * F.lit(1 << 20) + f["k"]) * 2 + f["end"]
+def _place() -> Column:
+    """A number that orders names as an answer gives them: lineage before flows of data, position, kind of list, place in it, end."""
+    late = F.when(F.col("section") == "lineage", 0).otherwise(1).cast("long")
+    return (((late * F.lit(1 << 20) + F.col("position")) * 4 + F.col("turn")) * F.lit(1 << 20) + F.col("k")) * 2 + F.col("end")
 
 
 #: The kinds of entities that a domain model may name.

@@ -17,6 +17,8 @@ from lattica.operators import names as N
 from lattica.operators import services as P
 from lattica.operators import symbols as Y
 from lattica.operators import traverse as T
+from lattica.operators import answers as Q
+from lattica.operators import summary as Z
 from lattica.operators import vectors as V
 from lattica.operators import views as W
 from lattica.sources import files as FS
@@ -489,3 +491,59 @@ def test_names_made_on_the_way_brute_force(spark):
         assert sorted((x["name"], x["id"]) for x in N.partial_name_resolve(n, k).collect()) == _names_by_hand(asked, known)
     both = N.partial_name_resolve(n.withColumn("graph", F.lit("a")).unionByName(spark.createDataFrame([("Orders", 1, "b"), ("orders table", 2, "b")], "name string, seq long, graph string")), k.withColumn("graph", F.lit("a")), by=("graph",))
     assert {x["id"] for x in both.where("graph = 'b'").collect()} == {"data_object:orders"} and both.where("graph = 'a'").count() == len(_names_by_hand(asked, known))
+
+
+def test_odd_answers_are_passed_over(spark):
+    known = spark.createDataFrame([("g", "f", "fn:f", "function", 1), ("g", "Orders", "t:o", "data", 2), ("h", "f", "fn:h", "function", 1)], "graph string, name string, id string, kind string, seq long")
+    docs = [
+        None, "", "[1]", "{", '{"layers": 5, "flows": [1, "x", null], "lineage": {"a": 1}}', '{"services": [{"name": null}, {"name": " "}], "flows": [{"name": "f", "steps": "many"}]}',
+        '{"lineage": [{"function_name": "f", "reads": ["orders", "Old orders", "Orders ", 7, null], "writes": "orders", "transforms": [{"from_entity": "a", "to_entity": "a"}, {"from_entity": "a", "to_entity": "ab", "confidence": "x"}]}]}',
+        '{"lineage": [{"function_name": "f", "confidence": 9, "reads": ["stock"], "writes": ["stock table"]}], "data_flows": [{"source": "f", "target": "stock", "flow_type": "Consume"}, {"source": "stock", "target": "nothing", "flow_type": "fly"}]}',
+    ]
+    answers = spark.createDataFrame([("g", k, d) for k, d in enumerate(docs)] + [("z", 0, docs[-1])], "graph string, answer int, doc string")
+    got = Q.ingest_model_output(answers, known)
+    assert {x["id"] for x in got.nodes.where("graph = 'g'").collect()} == {"data_object:7", "data_object:a", "data_object:stock"}
+    edges = {(x["graph"], x["src"], x["type"], x["dst"]) for x in got.edges.collect()}
+    assert {e for e in edges if e[0] == "g"} >= {("g", "fn:f", "reads", "t:o"), ("g", "fn:f", "reads", "data_object:stock"), ("g", "fn:f", "writes", "data_object:stock"), ("g", "fn:f", "consumes", "data_object:stock")}
+    assert not any(e[0] == "z" and e[1].startswith("fn:") for e in edges) and {tuple(x) for x in got.unknown.collect()} == {("z", "lineage", "f")}
+    assert Q.ingest_model_output(answers.limit(0), known).nodes.count() == 0
+
+
+def test_rules_of_odd_answers(spark):
+    rows_ = [("domain_model", None), ("domain_model", "[]"), ("no such", '{"a": 1}'), ("data_lineage", '{"lineage": null}'), ("business_flow", '{"flows": []}'), ("architecture", '{"layers": [], "assignments": [{"node_name": "x", "layer": "L", "confidence": null}]}')]
+    got = {r["answer"]: (r["valid"], r["confidence"], sorted((x["place"], x["message"]) for x in r["issues"])) for r in Q.validate_response(spark.createDataFrame([(k, t, d) for k, (t, d) in enumerate(rows_)], "answer int, template string, doc string")).collect()}
+    assert got[0] == got[1] == (False, 0.0, [("", "is no JSON object")]) and got[2] == (True, 0.0, [])
+    assert got[3] == (False, 0.0, [("lineage", "is no list")]) and got[4] == (True, 0.0, [("flows", "none has 2 steps")])
+    assert got[5] == (True, 0.0, [("assignments[0]", "unknown layer: L"), ("layers", "has fewer than 1 entries")])
+
+
+def test_summary_of_small_graphs(spark):
+    n = [("a", "r", "Repository", "Shop", '{"git_commit":"0123456789abcdef"}', 0), ("a", "m1", "Module", "src", '{"path":"src","language":"go"}', 1), ("a", "m2", "Module", "api", '{"path":"src/api"}', 2), ("a", "m3", "Module", "v1", '{"path":"src/api/v1"}', 3), ("a", "m4", "Module", "deep", '{"path":"src/api/v1/deep"}', 4),
+         ("a", "t", "Table", "users", "{}", 5), ("a", "f", "Function", "f", None, 6), ("b", "x", "Odd", "x", None, 0)]
+    nodes = spark.createDataFrame(n, "graph string, id string, type string, name string, props string, seq long")
+    edges = spark.createDataFrame([("a", "m1", "f", "contains", "{}", 0), ("a", "f", "gone", "calls", "{}", 1)], "graph string, src string, dst string, type string, props string, seq long")
+    got = {r["graph"]: r for r in Z.repo_summary(nodes, edges).collect()}
+    assert got["a"]["text"].split("\n\n")[1] == "## Directory Structure\n- src\n  - api\n    - v1" and "- default (unknown): users" in got["a"]["text"]
+    assert got["a"]["text"].startswith("# Repository: Shop\nLanguages: go | Files: 0 | Nodes: 7 | Edges: 2\nGit commit: 0123456789ab\n\n## Directory") and not got["a"]["truncated"]
+    assert got["b"]["text"] == "# Repository: unknown\nLanguages: unknown | Files: 0 | Nodes: 1 | Edges: 0"
+    short = {r["graph"]: r for r in Z.repo_summary(nodes, edges, budget=10).collect()}
+    assert short["a"]["truncated"] and short["a"]["tokens"] == got["a"]["tokens"] == len(got["a"]["text"]) // 4 and len(short["a"]["text"]) // 4 <= 10
+    assert Z.repo_summary(nodes.limit(0), edges.limit(0)).count() == 0
+
+
+def test_odd_manifests_and_first_source_wins(spark):
+    files = spark.createDataFrame([("a.yaml", "kind: Deployment\nmetadata: {name: web}\nspec: [1, 2]"), ("b.yaml", "kind: Deployment\nmetadata: [x]\nspec: {template: {spec: {containers: [7, {image: 'x/web:1', env: [{name: PG_URL}, 5]}]}}}"), ("c.yaml", "kind: [")], "path string, content string")
+    got = D.scan_k8s(files)
+    assert rows(got.select("path", "name", "image", "env")) == sorted([("a.yaml", "web", None, None), ("b.yaml", None, None, None), ("b.yaml", None, "x/web:1", None), ("b.yaml", None, None, "PG_URL")], key=str)
+    k8s = spark.createDataFrame([("k", "Job", "run", None, "y/box:2", "PG_URL"), ("k", "Job", "", "n", None, None), ("k", "ConfigMap", "c", "n", None, None)], D.K8S)
+    docker = spark.createDataFrame([("d", "image", "z/box:1")], "path string, kind string, value string")
+    g = P.infra_graph(docker=docker, kubernetes=k8s)
+    assert rows(g.edges.select("src", "dst", "type")) == [("Service::run", "Cluster::default", "deployed_on"), ("Service::run", "Database::PostgreSQL", "uses")]
+    assert [(x["id"], '"z/box:1"' in x["props"]) for x in g.nodes.where("type = 'Component'").collect()] == [("Component::box", True)]
+    assert P.infra_graph(kubernetes=k8s.limit(0)).nodes.count() == 0
+
+
+def test_broker_of_files_without_one(spark):
+    imports = spark.createDataFrame([("a", "os", 1), ("a", "kafka.errors", 2), ("b", "os", 1), ("c", None, 1)], "path string, module string, line int")
+    classes = spark.createDataFrame([("a", "EventBus"), ("b", "my_event_bus"), ("c", "Bus"), ("d", None)], "path string, name string")
+    assert rows(D.detect_broker(imports)) == [("a", "kafka")] and rows(D.detect_broker(imports, classes)) == [("a", "kafka"), ("b", "eventbus")]
