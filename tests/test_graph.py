@@ -28,7 +28,16 @@ from lattica.streaming import upkeep as U
 
 
 def graph(spark, nodes, edges):
-    return Graph(spark.createDataFrame([(i, "Function", i, "{}", k) for k, i in enumerate(nodes)], NODE_SCHEMA), spark.createDataFrame([(a, b, t, "{}", k) for k, (a, b, t) in enumerate(edges)], EDGE_SCHEMA))
+    return Graph(spark.createDataFrame([(i, "Function", i, "{}", k) for k, i in enumerate(nodes)], NODE_SCHEMA).coalesce(1), spark.createDataFrame([(a, b, t, "{}", k) for k, (a, b, t) in enumerate(edges)], EDGE_SCHEMA).coalesce(1))
+
+
+@pytest.fixture
+def few(spark):
+    """One partition a shuffle: for what takes many small steps."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def rows(df):
@@ -429,7 +438,7 @@ def _layers_by_hand(ids, edges):
 
 
 @pytest.mark.parametrize("seed", range(2))
-def test_components_cycles_and_layers_brute_force(spark, seed):
+def test_components_cycles_and_layers_brute_force(spark, seed, few):
     r = random.Random(seed)
     n = 24
     ids = [f"n{i:02d}" for i in range(n)]
@@ -450,7 +459,7 @@ def test_components_cycles_and_layers_brute_force(spark, seed):
     assert dict(rows(K.layering(g, condense=True))) == {i: whole[own[i]] for i in ids}
 
 
-def test_long_chains_and_rings_take_few_steps(spark, monkeypatch):
+def test_long_chains_and_rings_take_few_steps(spark, monkeypatch, few):
     n, steps = 2000, []
     plain = K.cut
     monkeypatch.setattr(K, "cut", lambda *a: (steps.append(1), plain(*a))[1])
@@ -479,7 +488,7 @@ def _names_by_hand(names, known):
     return sorted(out)
 
 
-def test_names_made_on_the_way_brute_force(spark):
+def test_names_made_on_the_way_brute_force(spark, few):
     r = random.Random(3)
     parts = ["orders", "order", "ord", "user", "users", "us", "table", "t", "line", "x"]
     for _ in range(2):
@@ -493,7 +502,7 @@ def test_names_made_on_the_way_brute_force(spark):
     assert {x["id"] for x in both.where("graph = 'b'").collect()} == {"data_object:orders"} and both.where("graph = 'a'").count() == len(_names_by_hand(asked, known))
 
 
-def test_odd_answers_are_passed_over(spark):
+def test_odd_answers_are_passed_over(spark, few):
     known = spark.createDataFrame([("g", "f", "fn:f", "function", 1), ("g", "Orders", "t:o", "data", 2), ("h", "f", "fn:h", "function", 1)], "graph string, name string, id string, kind string, seq long")
     docs = [
         None, "", "[1]", "{", '{"layers": 5, "flows": [1, "x", null], "lineage": {"a": 1}}', '{"services": [{"name": null}, {"name": " "}], "flows": [{"name": "f", "steps": "many"}]}',
@@ -517,7 +526,7 @@ def test_rules_of_odd_answers(spark):
     assert got[5] == (True, 0.0, [("assignments[0]", "unknown layer: L"), ("layers", "has fewer than 1 entries")])
 
 
-def test_summary_of_small_graphs(spark):
+def test_summary_of_small_graphs(spark, few):
     n = [("a", "r", "Repository", "Shop", '{"git_commit":"0123456789abcdef"}', 0), ("a", "m1", "Module", "src", '{"path":"src","language":"go"}', 1), ("a", "m2", "Module", "api", '{"path":"src/api"}', 2), ("a", "m3", "Module", "v1", '{"path":"src/api/v1"}', 3), ("a", "m4", "Module", "deep", '{"path":"src/api/v1/deep"}', 4),
          ("a", "t", "Table", "users", "{}", 5), ("a", "f", "Function", "f", None, 6), ("b", "x", "Odd", "x", None, 0)]
     nodes = spark.createDataFrame(n, "graph string, id string, type string, name string, props string, seq long")
