@@ -8,7 +8,7 @@ A line is compared without white space at its ends. Lines of fewer than ``min_wo
 stay. Of a line on ``min_sites`` sites or more, the occurrence with the smallest
 (id, text hash, position) stays, all others go. A null site counts as one site, null or empty
 texts have no lines and come back as they are, repeated rows are treated alike, and columns
-other than the text pass through.
+other than the text pass through. Lines of any length are compared whole; an empty table stays empty.
 """
 
 from __future__ import annotations

@@ -19,7 +19,7 @@ passes is emitted; see the README.
 
 Null and empty texts are equal texts. Texts of fewer than k words have one shingle of all their
 words. A class is named by its smallest id; null ids only name a class without others. Of rows that
-repeat id and text, one stays. Columns other than id and text pass through.
+repeat id and text, one stays. Columns other than id and text pass through. An empty table stays empty.
 """
 
 from __future__ import annotations

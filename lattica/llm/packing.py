@@ -9,7 +9,10 @@ every document one by one. The plan's size follows from the capacity, not from t
 Pieces get their place in the plan by their rank within the length, from counts per bucket and
 ranks within a bucket, so a length that a third of all documents share is split over tasks.
 
-Null texts are packed as empty ones (the end id alone). Repeated rows and ids are packed each.
+Null texts are packed as empty ones (the end id alone). Repeated rows and ids are packed each. Pieces
+of one length are interchangeable in the plan and take their places by a hash of id, piece and ids, then by these. Very long
+texts are cut into as many pieces as they need. An empty table gives no rows; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ The model learns from four fifths of the trusted rows; the others set the thresh
 rejected if its perplexity is above the ``quantile`` of held-out trusted texts of its language
 (drawn towards that of all languages, the more the fewer they are: n of them weigh n / (n + PRIOR)). Texts without characters have no
 perplexity and are rejected. Without held-out trusted texts nothing but those is rejected. A null
-language is one of its own. Repeated rows are judged alike; further columns pass through.
+language is one of its own. Repeated rows are judged alike; further columns pass through. Very long
+texts are scored in chunks; an empty table stays empty.
 """
 
 from __future__ import annotations

@@ -3,7 +3,8 @@
 A rule bounds ``100 * part / whole`` of two counts; a count is measured once per row, whatever
 the number of rules. Null and blank texts have zero words and fail the base rule. Every row is
 judged alone, so ties, repeats and further columns change nothing; a column of docs that has
-the name of a measure gives way to it.
+the name of a measure gives way to it. Very long texts are measured whole, in memory that grows with
+their words; an empty table stays empty.
 """
 
 from __future__ import annotations

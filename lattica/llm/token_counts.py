@@ -11,7 +11,8 @@ crosses a border goes by an explicit rule:
 Each rule gives every token to one section, so the sections of a document sum to its tokens.
 Sections are the stretches of a text up to and with each ``sections`` string (a line end, say), so
 they cover it without gaps. Null and empty texts have one section without tokens. Repeated rows
-are counted each, ids may be null or repeated, and further columns are ignored.
+are counted each, ids may be null or repeated, and further columns are ignored. Very long texts are
+encoded whole; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ the numbers of the features that take part and holds the weights. Labels, lang,
 never features. Null and empty texts get the score of no features. Repeated rows get equal scores.
 Of labelled rows that share id and label, the text of the smallest hash counts; null labels are no
 labels, and rows without an id are not learnt from. Without rows of both labels the score is the share of label 1, or 0 without any. Columns
-other than id, text and label are ignored, so their names cannot clash.
+other than id, text and label are ignored, so their names cannot clash. Very long texts are read
+whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
