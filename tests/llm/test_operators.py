@@ -1,4 +1,6 @@
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -623,6 +625,50 @@ def test_deep_wide_and_broken_pages_give_rows(spark):
     assert got[2]["text"] == quotes and got[1]["n_chars"] == 99_999
 
 
+def test_pages_share_tags_and_shapes(monkeypatch):
+    r = random.Random(34)
+    pages = [_site(r, i)[0] for i in range(30)]
+    wrapper = None
+    for p in pages:
+        own = html_extract.wrapper_of(p, html_extract.parse(p))
+        wrapper = html_extract.merged(wrapper, own) if wrapper else own
+    alone = [html_extract.extract(html_extract.parse(p), dict(wrapper)) for p in pages]
+    made, split, words = [], [], html_extract._SPLIT_NAME
+    shapes = html_extract._Shapes
+    monkeypatch.setattr(html_extract, "_Shapes", lambda *x: made.append(1) or shapes(*x))
+    monkeypatch.setattr(html_extract, "_SPLIT_NAME", type("", (), {"split": lambda self, x: split.append(x) or words.split(x)})())
+    tags = {}
+    assert [html_extract.extract(html_extract.parse(p, tags), wrapper) for p in pages] == alone
+    # one numbering of the wrapper, and each source of a tag read once
+    assert len(made) == 1 and len(split) <= 4 * len(tags) and len(tags) < html_extract.TAGS
+
+    # what pages leave behind is bounded by the wrapper, and what tags leave behind by their number
+    monkeypatch.setattr(html_extract, "TAGS", 8)
+    tags = {}
+    for i in range(300):
+        page = "<body>" + "".join(f"<{r.choice(['div', 'p', 'ul'])} class='c{i} {'abc'[i % 3] * (i % 7)}'>x</div>" for _ in range(9)) + "</body>"
+        html_extract.extract(html_extract.parse(page, tags), wrapper)
+        assert len(tags) <= 8 and wrapper["shapes"].held <= wrapper["shapes"].most + 200
+
+
+def test_tags_are_read_alike_on_both_ways(monkeypatch):
+    r = random.Random(35)
+    bits = ["<", ">", '"', "'", "</", "/>", "<!--", "-->", "<![CDATA[", "]]>", " ", "\n", "&lt", "a", "<p>", "<div>", "</div>", "<DIV class='Menu > top'>", "<b\"c>", "<a href=x>", "</a>", "<br/>", "<script>", "</SCRIPT >", "</p \"", "<a <b>", "< p>"]
+    show = lambda x: [x.label, x.silent, x.noise, x.named, x.depth, [c if isinstance(c, str) else show(c) for c in x.children if c]]
+    pages, tags = ["".join(r.choice(bits) for _ in range(r.randrange(50))) for _ in range(500)], {}
+    got = [show(html_extract.parse(p, tags)) for p in pages]
+    monkeypatch.setattr(html_extract, "_PIECE", re.compile(r"(?!)"))
+    assert got == [show(html_extract.parse(p)) for p in pages]
+
+
+def test_quoted_ends_of_tags_are_looked_for_once():
+    began = time.process_time()
+    for odd in ("<a '>'", "<b '>' \""):
+        root = html_extract.parse(odd * 20_000)
+        assert root.children
+    assert time.process_time() - began < 20
+
+
 def test_simple_tree_matching_brute_force():
     def largest(a, b):  # of two forests, straight from its definition
         if not a or not b:
