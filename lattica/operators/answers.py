@@ -83,15 +83,15 @@ def ingest_model_output(answers: DataFrame, known: DataFrame) -> Ingested:
     props = lambda *cols: F.to_json(F.struct(*cols))
 
     def named(df: DataFrame, table: DataFrame, name: str, to: str, *on: str) -> DataFrame:
-        """df with the id of a name as <to>, null if it is unknown."""
-        return df.join(table.select(*on, F.col("name").alias(name), F.col("id").alias(to)), [*on, name], "left")
+        """df with the id of a name as <to>, null if it is unknown. Tables of names grow with answers, so none is sent whole to the driver, however small its file."""
+        return df.join(table.select(*on, F.col("name").alias(name), F.col("id").alias(to)).hint("merge"), [*on, name], "left")
 
     # what answers name themselves
     layers = of("layers").select(*base, _text("$.name").alias("name"), F.coalesce(_get("$.layer_index", "int"), F.lit(99)).alias("layer_index"), _text("$.description").alias("description")).where("name <> ''")
     layers = layers.withColumn("id", F.concat(F.lit("layer:"), slugify(F.col("name"))))
     services = of("services").select(*base, _text("$.name").alias("name"), _sure().alias("confidence"), _text("$.responsibility").alias("responsibility")).where("name <> ''")
     had = known.where("kind = 'service'").select("graph", F.lower("name").alias("low"), F.lit(True).alias("had")).distinct()
-    services = services.withColumn("low", F.lower("name")).join(had, ["graph", "low"], "left").withColumn("id", F.concat(F.lit("service:"), F.replace("low", F.lit(" "), F.lit("_"))))
+    services = services.withColumn("low", F.lower("name")).join(had.hint("merge"), ["graph", "low"], "left").withColumn("id", F.concat(F.lit("service:"), F.replace("low", F.lit(" "), F.lit("_"))))
     flows = of("flows").select(*base, "item", _text("$.name").alias("name"), _text("$.trigger").alias("trigger"), _sure(default=0.6).alias("confidence"), _get("$.steps", "array<variant>").alias("steps"))
     flows = flows.where((F.col("name") != "") & (F.size("steps") >= STEPS)).withColumn("id", F.concat(F.lit("flow:"), slugify(F.col("name"))))
     contexts = sure(of("bounded_contexts").select(*base, _text("$.name").alias("name"), _sure().alias("confidence"), _text("$.description").alias("description")).where("name <> ''"), "bounded_contexts")
@@ -99,23 +99,21 @@ def ingest_model_output(answers: DataFrame, known: DataFrame) -> Ingested:
     entities = sure(of("entities").select(*base, _text("$.name").alias("name"), _sure().alias("confidence"), F.coalesce(_get("$.entity_type"), F.lit("entity")).alias("entity_type"), _text("$.bounded_context").alias("context"), _text("$.source_class").alias("source")).where("name <> ''"), "entities")
     entities = entities.withColumn("id", F.concat(F.lit("domain_entity:"), slugify(F.col("name"))))
     own = lambda df: df.groupBy("graph", "answer", "name").agg(F.max_by("id", "position").alias("id"))
-    inside = ("graph", "answer")
 
-    # lists of edges: each row has its two ends' names, one of them may be an id already
+    # lists of edges: each row has its two ends' names, which the table of a scope knows; one of them may be an id already
+    def listed(df: DataFrame, kind: str | None = None, a: str | Column | None = None, b: str | Column | None = None) -> DataFrame:
+        """Edges of a kind, or of df's own kinds; a, b: the scopes that know the names of their ends, none if the id is given."""
+        had = lambda c, type_="string": F.col(c) if c in df.columns else F.lit(None).cast(type_)
+        scope = lambda x: x if isinstance(x, Column) else F.lit(x).cast("string")
+        return df.select(*base, had("src").alias("src"), had("dst").alias("dst"), (F.lit(kind) if kind else F.col("type")).alias("type"), "confidence", had("step_index", "int").alias("step_index"), "a", "b", scope(a).alias("of_a"), scope(b).alias("of_b"))
+
     assigned = sure(of("assignments").select(*base, _text("$.node_name").alias("a"), _text("$.layer").alias("b"), _sure().alias("confidence")), "assignments")
-    assigned = named(named(assigned, by_name, "a", "src", "graph"), own(layers), "b", "dst", *inside).withColumn("type", F.lit("belongs_to"))
     depends = sure(of("dependencies").select(*base, _text("$.from_service").alias("a"), _text("$.to_service").alias("b"), _sure().alias("confidence")), "dependencies")
-    depends = named(named(depends, own(services), "a", "src", *inside), own(services), "b", "dst", *inside).withColumn("type", F.lit("depends_on"))
     step = flows.select(*base, "id", "confidence", F.posexplode("steps").alias("k", "item")).where(_object()).select(*base, F.col("id").alias("src"), F.lit("").alias("a"), _text("$.function_name").alias("b"), "confidence", F.coalesce(_get("$.step_index", "int"), F.lit(0)).alias("step_index"))
-    step = named(step, functions, "b", "dst", "graph").withColumn("type", F.lit("flow_step"))
     trigger = flows.select(*base, "id", F.explode(_get("$.triggers", "array<string>")).alias("b")).select(*base, F.col("id").alias("src"), F.lit("").alias("a"), F.btrim("b").alias("b"), F.lit(1.0).alias("confidence"))
-    trigger = named(trigger, own(flows), "b", "dst", *inside).withColumn("type", F.lit("triggers"))
     part = entities.where("context <> ''").select(*base, F.col("id").alias("src"), F.lit("").alias("a"), F.col("context").alias("b"), "confidence")
-    part = named(part, own(contexts), "b", "dst", *inside).withColumn("type", F.lit("part_of"))
     source = entities.where("source <> ''").select(*base, F.col("source").alias("a"), F.lit("").alias("b"), F.col("id").alias("dst"), "confidence")
-    source = named(source, by_name, "a", "src", "graph").withColumn("type", F.lit("belongs_to"))
     relate = sure(of("relationships").select(*base, _text("$.from_entity").alias("a"), _text("$.to_entity").alias("b"), _sure().alias("confidence"), F.coalesce(_map(RELATION_EDGES)[_text("$.relation_type")], F.lit("depends_on")).alias("type")), "relationships")
-    relate = named(named(relate, own(entities), "a", "src", *inside), own(entities), "b", "dst", *inside)
 
     # lineage: one end is a function, the others are data, known or made
     line = sure(of("lineage").select(*base, "item", _text("$.function_name").alias("f"), _sure().alias("confidence")), "lineage")
@@ -129,15 +127,15 @@ def ingest_model_output(answers: DataFrame, known: DataFrame) -> Ingested:
     data = cut(reduce(DataFrame.unionByName, [touch("reads"), touch("writes"), turned, moved]), "data-ends")
     # in a flow a function's name goes first; names are resolved in the order in which an answer gives them
     ends = data.select(*base, "turn", "k", "type", "src", F.posexplode(F.array("x", "y")).alias("end", "name")).where("name is not null")
-    ends = named(ends, functions.withColumn("turn", F.lit(3)), "name", "function", "graph", "turn")
+    ends = cut(named(ends, functions.withColumn("turn", F.lit(3)), "name", "function", "graph", "turn"), "data-turns")
     place = cut(ends.where("function is null").groupBy("graph", "answer", "name").agg(F.min(_place()).alias("seq")), "data-names")
-    store = known.where("kind = 'data'").select("graph", "name", "id", "seq").join(place.select("graph", "answer").distinct(), "graph")
+    store = known.where("kind = 'data'").select("graph", "name", "id", "seq").join(place.select("graph", "answer").distinct().hint("merge"), "graph")
     found = cut(partial_name_resolve(place, store, by=("graph", "answer")), "data-ids")
     by_end = found.select("graph", "answer", "name", "id").distinct()
-    lineage = named(data, functions.withColumn("turn", F.lit(3)), "x", "fx", "graph", "turn")
-    lineage = named(lineage, functions.withColumn("turn", F.lit(3)), "y", "fy", "graph", "turn")
-    lineage = named(named(lineage, by_end, "x", "dx", *inside), by_end, "y", "dy", *inside)
-    lineage = lineage.select(*base, F.coalesce("src", "fx", "dx").alias("src"), F.coalesce("fy", "dy").alias("dst"), "type", "confidence", F.coalesce("x", F.lit("")).alias("a"), F.col("y").alias("b"))
+    in_flow = ends.where("function is not null").select("graph", "answer", "name", F.col("function").alias("id"), F.lit(0).alias("late")).distinct().unionByName(by_end.withColumn("late", F.lit(1)))
+    in_flow = in_flow.groupBy("graph", "answer", "name").agg(F.min_by("id", "late").alias("id"))
+    lineage = data.withColumnsRenamed({"x": "a", "y": "b"})
+    where = F.when(F.col("turn") == 3, "in_flow").otherwise("data")
 
     seq = F.col("position").cast("long")
     node = lambda df, kind, *more: df.select("graph", "id", F.lit(kind).alias("type"), "name", props(*more).alias("props"), seq.alias("seq"), "answer")
@@ -155,10 +153,27 @@ def ingest_model_output(answers: DataFrame, known: DataFrame) -> Ingested:
     # plain relations go by id
     plain = sure(of("relations").select(*base, _text("$.from").alias("a"), _text("$.to").alias("b"), _text("$.type").alias("type"), _sure(default=0.0).alias("confidence")), "relations").where("type <> ''")
     ids = known.select("graph", "id").unionByName(nodes.select("graph", "id")).distinct().withColumn("name", F.col("id"))
-    plain = named(named(plain, ids, "a", "src", "graph"), ids, "b", "dst", "graph")
 
-    edge = lambda df, *more: df.select("graph", "answer", "section", "position", "src", "dst", "type", props("confidence", *more).alias("props"), "a", "b")
-    edges = cut(reduce(DataFrame.unionByName, [*map(edge, (assigned, depends, trigger, part, source, relate, lineage, plain)), edge(step, "step_index")]), "answer-edges")
+    # all ends are looked up in one table of names: those of a graph, and those that an answer gives
+    of_graph = {"any": by_name, "function": functions, "id": ids}
+    of_answer = {"layer": own(layers), "service": own(services), "flow": own(flows), "context": own(contexts), "entity": own(entities), "data": by_end, "in_flow": in_flow}
+    scoped = [df.select("graph", (F.lit("") if s in of_graph else F.col("answer").cast("string")).alias("at"), F.lit(s).alias("scope"), "name", "id") for s, df in (of_graph | of_answer).items()]
+    names = cut(reduce(DataFrame.unionByName, scoped), "answer-names")
+    edges = reduce(DataFrame.unionByName, [
+        listed(assigned, "belongs_to", "any", "layer"),
+        listed(depends, "depends_on", "service", "service"),
+        listed(step, "flow_step", None, "function"),
+        listed(trigger, "triggers", None, "flow"),
+        listed(part, "part_of", None, "context"),
+        listed(source, "belongs_to", "any", None),
+        listed(relate, None, "entity", "entity"),
+        listed(lineage, None, where, where),
+        listed(plain, None, "id", "id"),
+    ])
+    for end, to in (("a", "src"), ("b", "dst")):
+        at = F.when(F.col(f"of_{end}").isin(*of_graph), F.lit("")).otherwise(F.col("answer").cast("string"))
+        edges = named(edges.withColumn("at", at), names.withColumnRenamed("scope", f"of_{end}"), end, "found", "graph", "at", f"of_{end}").withColumn(to, F.coalesce(to, "found")).drop("at", "found", f"of_{end}")
+    edges = cut(edges.select("graph", "answer", "section", "position", "src", "dst", "type", props("confidence", "step_index").alias("props"), "a", "b"), "answer-edges")
     lost = lambda end, name: edges.where(F.col(end).isNull()).select("graph", "section", F.col(name).alias("name"))
     unknown = lost("src", "a").union(lost("dst", "b")).union(line.where("src is null").select("graph", "section", "f")).where("name <> ''").distinct()
     first = F.min(F.struct("answer", "section", "position", "props")).alias("r")

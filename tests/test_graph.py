@@ -556,3 +556,16 @@ def test_broker_of_files_without_one(spark):
     imports = spark.createDataFrame([("a", "os", 1), ("a", "kafka.errors", 2), ("b", "os", 1), ("c", None, 1)], "path string, module string, line int")
     classes = spark.createDataFrame([("a", "EventBus"), ("b", "my_event_bus"), ("c", "Bus"), ("d", None)], "path string, name string")
     assert rows(D.detect_broker(imports)) == [("a", "kafka")] and rows(D.detect_broker(imports, classes)) == [("a", "kafka"), ("b", "eventbus")]
+
+
+def test_names_of_answers_are_not_sent_to_the_driver(spark, few, tmp_path, monkeypatch):
+    monkeypatch.setattr(N, "SENT", 0)
+    docs = [f'{{"lineage": [{{"function_name": "f", "reads": ["new {k}", "old"], "writes": ["copy of new {k}"]}}], "services": [{{"name": "S"}}, {{"name": "T"}}], "dependencies": [{{"from_service": "S", "to_service": "T"}}]}}' for k in range(5)]
+    answers = spark.createDataFrame([("g", k, d) for k, d in enumerate(docs)], "graph string, answer int, doc string")
+    known = spark.createDataFrame([("g", "f", "fn:f", "function", 1), ("g", "Old", "t:o", "data", 2)], "graph string, name string, id string, kind string, seq long")
+    plans = []
+    monkeypatch.setattr(Q, "cut", lambda df, name="step", old=Q.cut: plans.append(df._jdf.queryExecution().toString()) or old(df, name))
+    monkeypatch.setattr(N, "cut", lambda df, name="step", old=N.cut: plans.append(df._jdf.queryExecution().toString()) or old(df, name))
+    got = Q.ingest_model_output(answers, known)
+    assert got.edges.where("type = 'depends_on'").count() == 1 and got.edges.where("type = 'reads'").count() == 6
+    assert len(plans) > 10 and not any("BroadcastHashJoin" in p or "BroadcastNestedLoopJoin" in p for p in plans)
