@@ -589,6 +589,25 @@ def test_one_odd_page_does_not_spoil_a_constant():
     assert got[3] == "Story 3 as told\nMore 3" and got[7] == "Story 7 as told\nMore 7\nNothing to see"
 
 
+def test_constant_members_of_long_runs_go(spark):
+    # 90 paragraphs a page, of which six are on all pages, and one from the page on that ``since`` says
+    notes = [f"House note {k}, the same words on every page" for k in range(6)]
+    own = lambda i: [f"Story {i} part {j}" for j in range(84)]
+    late = lambda i, since: ["A late note, also longer than what varies"] if i >= since else []
+    page = lambda i, since: "<body><div>" + "".join(f"<p>{t}</p>" for t in [*own(i)[:40], *notes, *own(i)[40:], *late(i, since)]) + "</div></body>"
+    assert _texts([page(i, 99) for i in range(12)]) == ["\n".join(own(i)) for i in range(12)]
+    wrapper = None
+    for i in range(400):
+        one = html_extract.wrapper_of(page(i, 70), html_extract.parse(page(i, 70)))
+        wrapper = html_extract.merged(wrapper, one) if wrapper else one
+    assert html_extract.extract(html_extract.parse(page(3, 0)), wrapper) == "\n".join(own(3))
+    run = wrapper["tree"][3][0][3][0][3][0]
+    assert run[0] == "p" and len(run[7]) <= 91 * html_extract.RARE and len(html_extract._settled(wrapper["tree"])[3][0][3][0][3][0][7]) == 7
+    rows = [(i, "http://a.example/x", page(i, 99)) for i in range(12)]
+    got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert {x["page_id"]: x["text"] for x in got} == {i: "\n".join(own(i)) for i in range(12)}
+
+
 def test_wrappers_count_alike_in_any_order():
     r = random.Random(32)
     pages = [_site(r, i)[0] for i in range(30)]
