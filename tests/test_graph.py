@@ -3,6 +3,7 @@ import os
 import random
 import uuid
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -569,3 +570,19 @@ def test_names_of_answers_are_not_sent_to_the_driver(spark, few, tmp_path, monke
     got = Q.ingest_model_output(answers, known)
     assert got.edges.where("type = 'depends_on'").count() == 1 and got.edges.where("type = 'reads'").count() == 6
     assert len(plans) > 10 and not any("BroadcastHashJoin" in p or "BroadcastNestedLoopJoin" in p for p in plans)
+
+
+def test_members_leave_a_task_in_small_pieces(spark, monkeypatch):
+    files = spark.createDataFrame([("a.py", "python", "")], "path string, language string, content string")
+    runs = []
+    with monkeypatch.context() as m:
+        m.setattr(type(files), "mapInPandas", lambda self, f, schema: runs.append(f) or self)
+        Y.extract_members(files)
+    source = lambda k: f"def f{k}():\n" + "".join(f"    g{j}()\n" for j in range(300))
+    asked = []
+    batches = (asked.append(k) or pd.DataFrame({"path": [f"{k}.{i}.py" for i in range(100)], "content": [source(i) for i in range(100)]}) for k in range(3))
+    got = []
+    for k, piece in enumerate(runs[0](batches)):
+        assert len(piece) <= 10_000 and (k or asked == [0])
+        got += list(piece["path"])
+    assert got == [f"{k}.{i}.py" for k in range(3) for i in range(100) for _ in range(301)]
