@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import Graph, cut
+from ..model import Graph, cut, forget, sweep
 
 
 def type_counts(g: Graph) -> DataFrame:
@@ -38,28 +40,70 @@ def _degrees(ids: DataFrame, pairs: DataFrame) -> DataFrame:
     return ids.join(n, "id", "left").select("id", F.coalesce("i", F.lit(0)).cast("long").alias("in_degree"), F.coalesce("o", F.lit(0)).cast("long").alias("out_degree"))
 
 
-def pagerank(g: Graph, *, alpha: float = 0.85, iterations: int = 20, tol: float | None = None, max_iter: int = 100) -> DataFrame:
-    """id, pagerank (6 places) over distinct (src, dst); a fixed number of steps, or until the change is below tol a node."""
-    ids = cut(g.nodes.select("id").distinct(), "pr-ids")
+#: Nodes of a slice, and slices at most: the edges of a large graph are numbered a slice at a time, so that shuffle files of one slice only are on disk.
+SLICE, SLICES = 1 << 20, 8
+
+
+def _numbered(g: Graph) -> tuple[DataFrame, DataFrame, int]:
+    """Written tables: the nodes' ids with a number each (id, k), and the distinct pairs (s, d) of the numbers of known nodes with an edge; how many nodes.
+
+    Ids are shuffled with the edges twice, one end at a time; all that follows shuffles numbers.
+    """
+    ids = cut(g.nodes.select("id").distinct().withColumn("k", F.monotonically_increasing_id()), "ids")
     n = ids.count()
+    slices = max(1, min(SLICES, -(-n // SLICE)))
+    known = lambda end, k: ids.select(F.col("id").alias(end), F.col("k").alias(k))
+
+    def sliced(edges: DataFrame, end: str, k: str, last) -> tuple[DataFrame, list[DataFrame]]:
+        """Edges with the number of an end in place of its id, written slice by slice of that end; last: what follows in a slice."""
+        out, own = [], lambda i: F.pmod(F.xxhash64(end), F.lit(slices)) == i
+        for i in range(slices):
+            some, of = (edges.where(own(i)), known(end, k).where(own(i))) if slices > 1 else (edges, known(end, k))
+            out.append(cut(last(some.join(of.hint("merge"), end).drop(end)), "pairs"))
+            sweep(ids.sparkSession)
+        return reduce(DataFrame.union, out), out
+
+    half, parts = sliced(g.edges.select("src", "dst"), "src", "s", lambda df: df.select("s", "dst"))
+    # in the order of s their shuffles take little room
+    pairs, _ = sliced(half, "dst", "d", lambda df: df.select("s", "d").repartition("s").distinct().sortWithinPartitions("s", "d"))
+    forget(*parts)
+    return ids, pairs, n
+
+
+def _ranks(ids: DataFrame, pairs: DataFrame, n: int, alpha: float, iterations: int, tol: float | None, max_iter: int) -> DataFrame:
+    """k, r: the last step alone stays on disk."""
     if not n:
-        return ids.withColumn("pagerank", F.lit(0.0))
-    pairs = g.edges.select("src", "dst").distinct().join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    out = pairs.groupBy("src").agg(F.count("*").alias("out"))
-    pairs = cut(pairs.join(out, "src"), "pr-edges")
-    ranks = ids.join(out.withColumnRenamed("src", "id"), "id", "left").select("id", "out", F.lit(1.0 / n).alias("r"))
+        return ids.select("k", F.lit(0.0).alias("r"))
+    out = pairs.groupBy(F.col("s").alias("k")).agg(F.count("*").alias("out"))
+    ranks = cut(ids.select("k").join(out.hint("merge"), "k", "left").select("k", "out", F.lit(1.0 / n).alias("r")), "pr")
     for _ in range(iterations if tol is None else max_iter):
-        ranks = cut(ranks, "pr")
         lost = ranks.where(F.col("out").isNull()).agg(F.sum("r")).first()[0] or 0.0
-        got = pairs.join(ranks.select(F.col("id").alias("src"), "r"), "src").groupBy("dst").agg(F.sum(F.col("r") / F.col("out")).alias("got"))
-        new = ranks.join(got.withColumnRenamed("dst", "id"), "id", "left").select("id", "out", F.col("r").alias("was"), (alpha * (F.coalesce("got", F.lit(0.0)) + lost / n) + (1 - alpha) / n).alias("r"))
-        if tol is not None:
-            new = cut(new, "pr")
-            if (new.agg(F.sum(F.abs(F.col("r") - F.col("was")))).first()[0] or 0.0) < n * tol:
-                ranks = new
-                break
-        ranks = new.drop("was")
-    return ranks.select("id", F.round("r", 6).alias("pagerank"))
+        give = ranks.where(F.col("out").isNotNull()).select(F.col("k").alias("s"), (F.col("r") / F.col("out")).alias("share"))
+        got = pairs.join(give.hint("merge"), "s").groupBy(F.col("d").alias("k")).agg(F.sum("share").alias("got"))
+        new = ranks.join(got.hint("merge"), "k", "left").select("k", "out", (alpha * (F.coalesce("got", F.lit(0.0)) + lost / n) + (1 - alpha) / n).alias("r"), *([] if tol is None else [F.col("r").alias("was")]))
+        new = cut(new, "pr")
+        forget(ranks)
+        sweep(ids.sparkSession)  # else shuffle files of all steps stay
+        ranks = new
+        if tol is not None and (ranks.agg(F.sum(F.abs(F.col("r") - F.col("was")))).first()[0] or 0.0) < n * tol:
+            break
+    return ranks.select("k", "r")
+
+
+def pagerank(g: Graph, *, alpha: float = 0.85, iterations: int = 20, tol: float | None = None, max_iter: int = 100) -> DataFrame:
+    """id, pagerank (6 places) over distinct (src, dst); a fixed number of steps, or until the change is below tol a node."""
+    ids, pairs, n = _numbered(g)
+    ranks = _ranks(ids, pairs, n, alpha, iterations, tol, max_iter)
+    return ids.join(ranks.hint("merge"), "k").select("id", F.round("r", 6).alias("pagerank"))
+
+
+def metrics(g: Graph, *, alpha: float = 0.85, iterations: int = 20) -> DataFrame:
+    """id, in_degree, out_degree, pagerank: degree() and pagerank() from one reading of the graph."""
+    ids, pairs, n = _numbered(g)
+    count = lambda end, name: pairs.groupBy(F.col(end).alias("k")).agg(F.count("*").alias(name)).hint("merge")
+    degrees = cut(ids.join(count("d", "in_degree"), "k", "left").join(count("s", "out_degree"), "k", "left").na.fill(0, ["in_degree", "out_degree"]), "degrees")
+    ranks = _ranks(ids, pairs, n, alpha, iterations, None, 0)
+    return degrees.join(ranks.hint("merge"), "k").select("id", "in_degree", "out_degree", F.round("r", 6).alias("pagerank"))
 
 
 def rank_functions(g: Graph, metrics: DataFrame, n: int = 40, types=("Function",)) -> DataFrame:

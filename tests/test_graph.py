@@ -586,3 +586,26 @@ def test_members_leave_a_task_in_small_pieces(spark, monkeypatch):
         assert len(piece) <= 10_000 and (k or asked == [0])
         got += list(piece["path"])
     assert got == [f"{k}.{i}.py" for k in range(3) for i in range(100) for _ in range(301)]
+
+
+def test_ranks_leave_one_step_on_disk_and_slices_change_nothing(spark, few, monkeypatch):
+    r = random.Random(5)
+    ids = [f"n{i}" for i in range(12)]
+    links = [(r.choice(ids), r.choice([*ids[:6], "nobody"]), r.choice(("calls", "uses"))) for _ in range(40)] + [("nobody", "n1", "calls")]
+    g = graph(spark, ids, links)
+    pairs = {(a, b) for a, b, _ in links if "nobody" not in (a, b)}
+    out = {i: sum(a == i for a, _ in pairs) for i in ids}
+    rank = dict.fromkeys(ids, 1 / 12)
+    for _ in range(4):
+        lost = sum(rank[i] for i in ids if not out[i])
+        rank = {i: 0.85 * (sum(rank[a] / out[a] for a, b in pairs if b == i) + lost / 12) + 0.15 / 12 for i in ids}
+    want = {i: (sum(b == i for _, b in pairs), out[i], round(rank[i], 6)) for i in ids}
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    for slice_ in (5, 1 << 20):
+        monkeypatch.setattr(X, "SLICE", slice_, raising=False)
+        before = set(os.listdir(folder))
+        ranks = {x["id"]: x["pagerank"] for x in X.pagerank(g, iterations=4).collect()}
+        assert ranks == pytest.approx({i: w[2] for i, w in want.items()}, abs=1e-6)
+        assert sum(x.startswith("pr-") and not x.startswith(("pr-ids", "pr-edges")) for x in set(os.listdir(folder)) - before) == 1
+        got = {x["id"]: tuple(x)[1:] for x in X.metrics(g, iterations=4).select("id", "in_degree", "out_degree", "pagerank").collect()}
+        assert {i: x[:2] for i, x in got.items()} == {i: w[:2] for i, w in want.items()} and {i: x[2] for i, x in got.items()} == ranks
