@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,12 +49,42 @@ def callgraph_bfs(g: Graph, seeds: DataFrame, depth: int = 2) -> tuple[Graph, Da
     return neighbors(g, seeds, depth=depth, edge_types=("calls",))
 
 
+#: Ids of up to this number are sent to every task that reads edges, of more none.
+SENT = 100_000
+
+
+def _way(found: DataFrame) -> str:
+    """How a written table of ids meets edges: its number of rows decides, as its file can be small for that."""
+    return "broadcast" if found.count() <= SENT else "merge"
+
+
+def _touching(rows: DataFrame, found: DataFrame, way: str, *ends: str) -> DataFrame:
+    """The rows whose ends are all among the ids found; where these are few, the others never leave their task."""
+    ids = found.select("id").distinct()
+    return reduce(lambda df, end: df.join(ids.withColumnRenamed("id", end).hint(way), end, "left_semi"), ends, rows)
+
+
 def graph_expand(g: Graph, seeds: DataFrame, *, depth: int = 1, edge_types=None) -> Graph:
-    """Union of every seed's own neighbourhood: an edge counts if both ends lie in one seed's."""
-    own = _walk(cut(_both(_typed(g.edges, edge_types)).distinct(), "steps"), seeds.select(F.col("id").alias("seed"), "id"), depth, ("seed",)).select("seed", "id")
-    a, b = own.select("seed", F.col("id").alias("src")), own.select("seed", F.col("id").alias("dst"))
-    inner = g.edges.join(a, "src").join(b, ["seed", "dst"]).select("src", "dst", "type").distinct()
-    return Graph(g.nodes.join(own.select("id").distinct(), "id", "left_semi"), g.edges.join(inner, ["src", "dst", "type"], "left_semi").select(*g.edges.columns))
+    """Union of every seed's own neighbourhood: an edge counts if both ends lie in one seed's.
+
+    Each step reads the edges again and keeps those at its front: neither all edges nor both their
+    directions are ever written.
+    """
+    steps = _both(_typed(g.edges, edge_types))
+    own = front = cut(seeds.select(F.col("id").alias("seed"), "id").distinct(), "own")
+    for _ in range(depth):
+        way = _way(front)
+        near = _touching(steps, front, way, "src").distinct()
+        new = near.join(front.withColumnRenamed("id", "src").hint(way), "src").select("seed", F.col("dst").alias("id")).distinct()
+        front = cut(new.join(own, ["seed", "id"], "left_anti"), "own")
+        if front.isEmpty():
+            break
+        own = own.unionByName(front)
+    way = _way(own)
+    inside = cut(_touching(g.edges, own, way, "src", "dst"), "inside")
+    a, b = own.select("seed", F.col("id").alias("src")).hint(way), own.select("seed", F.col("id").alias("dst")).hint(way)
+    inner = inside.join(a, "src").join(b, ["seed", "dst"]).select("src", "dst", "type").distinct()
+    return Graph(_touching(g.nodes, own, way, "id").select(*g.nodes.columns), inside.join(inner, ["src", "dst", "type"], "left_semi").select(*g.edges.columns))
 
 
 def impact(g: Graph, sources: DataFrame, *, max_depth: int = 5, direction: str = "down") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import confidence
-from ..model import Graph
+from ..model import Graph, cut
 from .traverse import graph_expand
 
 
@@ -96,7 +96,7 @@ def vector_count(vectors: DataFrame) -> DataFrame:
 def rag_context(g: Graph, vectors: DataFrame, questions: DataFrame, *, search_limit: int = 5, expand_depth: int = 1, node_types=None, max_nodes: int = 15, max_edges: int = 20) -> DataFrame:
     """qid, confidence, sources, context: the prompt's context for each question, up to the model call."""
     where = F.col("node_type").isin(list(node_types)) if node_types else None
-    hits = vector_search(vectors, questions, limit=search_limit, where=where)
+    hits = cut(vector_search(vectors, questions, limit=search_limit, where=where), "hits")
     sub = graph_expand(g, hits.select("id").distinct(), depth=expand_depth)
     touch = sub.edges.select(F.col("src").alias("id"), F.col("dst").alias("near")).union(sub.edges.select("dst", "src")).union(hits.select("id", F.col("id").alias("near"))).distinct()
     mine = hits.select("qid", "id").join(touch, "id").select("qid", F.col("near").alias("id")).union(hits.select("qid", "id")).distinct().join(sub.nodes, "id")

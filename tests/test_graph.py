@@ -609,3 +609,19 @@ def test_ranks_leave_one_step_on_disk_and_slices_change_nothing(spark, few, monk
         assert sum(x.startswith("pr-") and not x.startswith(("pr-ids", "pr-edges")) for x in set(os.listdir(folder)) - before) == 1
         got = {x["id"]: tuple(x)[1:] for x in X.metrics(g, iterations=4).select("id", "in_degree", "out_degree", "pagerank").collect()}
         assert {i: x[:2] for i, x in got.items()} == {i: w[:2] for i, w in want.items()} and {i: x[2] for i, x in got.items()} == ranks
+
+
+def test_expanding_a_few_seeds_writes_no_table_of_all_edges(spark, few, monkeypatch):
+    ids = [f"n{i}" for i in range(400)]
+    links = [(ids[i], ids[i + 1], "calls") for i in range(399)] + [("n5", "n7", "uses"), ("n7", "n7", "uses"), ("n9", "gone", "uses")]
+    g = graph(spark, ids, links)
+    near = lambda s, d: (s if d == 0 else near(s | {b for a, b, _ in links if a in s} | {a for a, b, _ in links if b in s}, d - 1))
+    written = []
+    monkeypatch.setattr(T, "cut", lambda df, name="step", old=T.cut: written.append(old(df, name)) or written[-1])
+    for depth, sent in ((1, 100_000), (2, 0), (0, 100_000)):
+        monkeypatch.setattr(T, "SENT", sent, raising=False)
+        got = T.graph_expand(g, spark.createDataFrame([("n5",), ("n8",), ("n5",), ("lost",)], "id string"), depth=depth)
+        balls = [near({s}, depth) for s in ("n5", "n8", "lost")]
+        assert {x["id"] for x in got.nodes.collect()} == set().union(*balls) & set(ids)
+        assert sorted(tuple(x)[:3] for x in got.edges.collect()) == sorted(e for e in links if any({e[0], e[1]} <= b for b in balls))
+    assert written and max(w.count() for w in written) < 40
